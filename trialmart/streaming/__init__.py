@@ -1,0 +1 @@
+"""Empty: every computation of this engine is a batch job over closed days."""
