@@ -82,9 +82,13 @@ class Case:
     def metrics(self) -> DataFrame:
         return EXPERIMENT.rows_of(self.sources.table(Source.AB_USERS_METRICS))
 
+    @cached_property
+    def enrolled(self) -> DataFrame:
+        return enrolled_users(self.sources.table(Source.AB_USERS), EXPERIMENT)
+
     @cached_property
     def users(self) -> DataFrame:
-        return cohort_users(enrolled_users(self.sources.table(Source.AB_USERS), EXPERIMENT))
+        return cohort_users(self.enrolled)
 
     @cached_property
     def broadcast_users(self) -> bool:
@@ -93,10 +97,11 @@ class Case:
     @cached_property
     def cohort(self) -> DataFrame:
         return experiment_cohort(
-            self.sources.table(Source.AB_USERS),
+            self.enrolled,
             self.sources.table(Source.SESSIONS),
             EXPERIMENT,
             self.dates,
+            broadcast_users=self.broadcast_users,
         )
 
     @cached_property

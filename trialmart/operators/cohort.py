@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from trialmart.experiment import Experiment, ExperimentDates
 from trialmart.operators.segments import session_segments, session_snapshot, valid_sessions
-from trialmart.operators.skew import MAX_BROADCAST_ROWS, fits_broadcast
 
 
 def enrolled_users(ab_users: DataFrame, experiment: Experiment) -> DataFrame:
@@ -30,12 +29,12 @@ def enrolled_users(ab_users: DataFrame, experiment: Experiment) -> DataFrame:
 
 
 def experiment_cohort(
-    ab_users: DataFrame,
+    enrolled: DataFrame,
     sessions: DataFrame,
     experiment: Experiment,
     dates: ExperimentDates,
     *,
-    max_broadcast_rows: int = MAX_BROADCAST_ROWS,
+    broadcast_users: bool,
 ) -> DataFrame:
     """Enrolled users with the session attributes of their enrolment day.
 
@@ -46,12 +45,11 @@ def experiment_cohort(
     broadcast all others are dropped before their payload is parsed.
     """
     start, end = dates.require("test_start_date", "enroll_end_date")
-    enrolled = enrolled_users(ab_users, experiment)
     kept = valid_sessions(sessions, experiment.store, start, end)
-    enrolment_days = enrolled.select(
-        F.col("event_user").alias("user_id"), F.col("test_enroll_date").alias("partition_date")
-    )
-    if fits_broadcast(enrolment_days, max_broadcast_rows):
+    if broadcast_users:
+        enrolment_days = enrolled.selectExpr(
+            "event_user AS user_id", "test_enroll_date AS partition_date"
+        )
         kept = kept.join(F.broadcast(enrolment_days), ["user_id", "partition_date"], "left_semi")
     snapshot = session_snapshot(session_segments(kept))
     return enrolled.join(snapshot, ["event_user", "test_enroll_date"], "left").fillna(
@@ -64,10 +62,10 @@ def cohort_users(cohort: DataFrame) -> DataFrame:
     return cohort.select("event_user", "abgroup", "start_feature_user")
 
 
-def count_unique_users(cohort: DataFrame) -> int:
+def count_unique_users(users: DataFrame) -> int:
     """Number of users; an error if one is listed twice, which would double every metric."""
     row = (
-        cohort.groupBy("event_user")
+        users.groupBy("event_user")
         .agg(F.count(F.lit(1)).alias("n"))
         .agg(F.coalesce(F.sum("n"), F.lit(0)).alias("users"), F.max("n").alias("most"))
         .first()

@@ -16,11 +16,6 @@ HOT_ROWS = 1_000_000
 HOT_SHARE = 1e-5
 
 
-def fits_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> bool:
-    """Whether ``df`` was counted and found to have at most ``max_rows`` rows."""
-    return df.count() <= max_rows
-
-
 def hot_keys(
     df: DataFrame, key: str, hot_rows: int = HOT_ROWS, hot_share: float = HOT_SHARE
 ) -> DataFrame | None:

@@ -10,7 +10,12 @@ from pyspark.sql import functions as F
 
 from trialmart.experiment import Experiment, ExperimentDates, experiment_lookup, read_dates
 from trialmart.operators.attempts import attempt_facts
-from trialmart.operators.cohort import cohort_users, count_unique_users, experiment_cohort
+from trialmart.operators.cohort import (
+    cohort_users,
+    count_unique_users,
+    enrolled_users,
+    experiment_cohort,
+)
 from trialmart.operators.dataset import add_gameplay, base_dataset
 from trialmart.operators.monetisation import metrics_with_covariate
 from trialmart.operators.panel import cumulative_metrics, observed_days, user_day_panel
@@ -118,17 +123,18 @@ def create_dataset(
     """
     dates = dates or verify_ab_exp(sources, experiment)
     attempts_table = attempts_table or experiment.attempts_table
+    enrolled = enrolled_users(sources.table(Source.AB_USERS), experiment)
+    broadcast_users = count_unique_users(enrolled) <= max_broadcast_rows
     cohort = experiment_cohort(
-        sources.table(Source.AB_USERS),
+        enrolled,
         sources.table(Source.SESSIONS),
         experiment,
         dates,
-        max_broadcast_rows=max_broadcast_rows,
+        broadcast_users=broadcast_users,
     ).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         with session_conf(sources.spark, PLAN_CONF):
             users = cohort_users(cohort)
-            broadcast_users = count_unique_users(cohort) <= max_broadcast_rows
             metrics = experiment.rows_of(sources.table(Source.AB_USERS_METRICS))
             dataset = base_dataset(
                 cohort, cohort_user_days(metrics, users, broadcast_users=broadcast_users)

@@ -7,224 +7,180 @@ the same rows.
 
 from __future__ import annotations
 
-from datetime import date
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from trialmart.sources.catalog import Source
 
-FIRST_DAY = date(2024, 1, 1)
-LAST_DAY = date(2024, 1, 30)
-ENROLL_END = date(2024, 1, 10)
-FEATURE_START = date(2024, 1, 4)
-SILENT_FROM = date(2024, 1, 15)
+FIRST_DAY = "DATE'2024-01-01'"
+ENROLLED = f"date_add({FIRST_DAY}, CAST(user_id % 10 AS INT))"
+CALENDAR = f"""
+    {FIRST_DAY} AS test_start_date, DATE'2024-01-30' AS test_end_date,
+    DATE'2024-01-10' AS enroll_end_date,
+    DATE'2024-01-04' AS feature_start_date, DATE'2024-01-30' AS feature_end_date"""
+
+AB_USERS = f"""
+WITH users AS (SELECT DISTINCT user_id FROM {{events}}),
+enrolled AS (
+    SELECT 'T1' AS test_id, 'hs_as' AS app_short, user_id FROM users
+    UNION ALL SELECT 'T1', 'hs_gp', user_id FROM users WHERE user_id % 5 = 0
+    UNION ALL SELECT 'T2', 'hs_as', user_id FROM users WHERE user_id % 7 = 0
+)
+SELECT test_id, app_short, concat('g', user_id % 3) AS abgroup, user_id AS event_user,
+       user_id % 11 <> 0 AS good_user,
+       {ENROLLED} AS test_enroll_date, {ENROLLED} AS metric_calc_start_date,
+       CASE user_id % 4 WHEN 0 THEN 'EU' WHEN 1 THEN 'US' WHEN 2 THEN 'ASIA' ELSE 'OTHER' END
+           AS device_region,
+       {CALENDAR}
+FROM enrolled"""
+
+
+def _json(fields: dict[str, str]) -> str:
+    """SQL for JSON text of the fields; a field whose expression is NULL is left out."""
+    members = [f"""concat('"{name}": ', {value})""" for name, value in fields.items()]
+    return f"concat('{{{{', concat_ws(', ', {', '.join(members)}), '}}}}')"
+
+
+def _unless(n: int, value: str) -> str:
+    return f"CASE WHEN event_id % {n} <> 0 THEN {value} END"
+
+
+WITH_K = """
+    SELECT *, CAST(ts AS DATE) AS day, CAST(get_json_object(props, '$.k') AS INT) AS k
+    FROM {events}"""
+
+_SESSION_PAYLOAD = _json(
+    {
+        "level": "(k * 7 + event_id) % 300",
+        "segment.skill": _unless(
+            43, "if(event_id % 29 = 0, '0.829', concat('0.', lpad(k % 25 * 4, 2, '0')))"
+        ),
+        "segment.payment": (
+            "if(event_type = 'purchase',"
+            " concat(cents DIV 100, '.', lpad(cents % 100, 2, '0')), '0.0')"
+        ),
+        "payer_type": _unless(
+            41, """CASE k % 3 WHEN 0 THEN '"none"' WHEN 1 THEN '"minnow"' ELSE '"whale"' END"""
+        ),
+        "segment.skillpayment": """CASE WHEN event_id % 47 = 0 THEN '"custom_seg"' END""",
+    }
+)
+SESSIONS = f"""
+SELECT user_id, day AS partition_date,
+       CASE WHEN event_id % 17 = 0 THEN 'googleplay' ELSE 'ios' END AS store,
+       CASE WHEN event_id % 23 = 0 THEN NULL WHEN event_id % 19 = 0 THEN '-1'
+            ELSE concat('s', event_id) END AS session_id,
+       {_SESSION_PAYLOAD} AS user_payload
+FROM (SELECT *, CAST(floor(value * 5) AS BIGINT) AS cents FROM ({WITH_K}))"""
+
+_LEVEL_PAYLOAD = _json(
+    {
+        "coins_spent": _unless(13, "k"),
+        "coins_spent_additional_moves": "k % 7",
+        "coins_spent_inlevelboosters": "k % 5",
+        "coins_spent_startboosters": "k % 3",
+        "real_coins_spent": "k % 40",
+        "real_coins_spent_additional_moves": "k % 6",
+        "real_coins_spent_inlevelboosters": "k % 4",
+        "real_coins_spent_startboosters": "k % 2",
+        "boosts_aircraft": "event_id % 3 = 0",
+        "boosts_bomb_rocket": "event_id % 4 = 0",
+        "boosts_lightning": "event_id % 6 = 0",
+        "unlimited_boosts_aircraft": "event_id % 7 = 0",
+        "unlimited_boosts_bomb_rocket": "event_id % 8 = 0",
+        "unlimited_boosts_lightning": "event_id % 9 = 0",
+        "boosts_super_lightning": "event_id % 5 = 0",
+        "boosts_hammer": "event_id % 2",
+        "boosts_swap": _unless(31, "event_id % 3"),
+        "boosts_reshuffle": "event_id % 4",
+        "boosts_vertical_line": "event_id % 5",
+        "boosts_horizontal_line": "event_id % 6",
+        "mortas_helmets": "k % 4",
+        "levels_winstreak": "event_id % 60",
+        "levels_sb_streak": "event_id % 10",
+    }
+)
+LEVELS = f"""
+SELECT event_id, user_id, day AS partition_date, ts AS client_time,
+       CAST((k * 7 + event_id) % 300 AS INT) AS level,
+       CASE k % 3 WHEN 0 THEN 'easy' WHEN 1 THEN 'hard' ELSE 'super_hard' END AS complexity,
+       CAST(1 + (event_id * 7 + k) % 45 AS INT) AS attempt,
+       CASE WHEN event_id % 37 = 0 THEN NULL
+            WHEN event_type IN ('purchase', 'signup', 'view') THEN 'completed'
+            ELSE 'failed' END AS reason,
+       event_id % 2 = 0 AS influence,
+       {_LEVEL_PAYLOAD} AS event_payload
+FROM ({WITH_K})
+WHERE NOT (user_id % 4 = 0 AND day >= DATE'2024-01-15')"""
+
+
+
+def _metric_rows(metrics: dict[str, str]) -> str:
+    rows = [
+        f"named_struct('metric_name', '{name}', 'value', CAST({value} AS DOUBLE))"
+        for name, value in metrics.items()
+    ]
+    return f"array({', '.join(rows)})"
+
+
+_IN_TEST = _metric_rows(
+    {
+        "revenue": "revenue",
+        "revenue_cum": "total",
+        "is_payer": "revenue > 0",
+        "is_payer_cum": "total > 0",
+        "active": "1",
+        "weekly_churn": "(user_id + n_day) % 9 = 0",
+    }
+)
+_BEFORE_TEST = _metric_rows({"prev_revenue_cum": "total", "prev_active": "1"})
+# Before the test, ``total`` sums from the given day up to day -1; within it, from day 1.
+AB_USERS_METRICS = f"""
+WITH per_day AS (
+    SELECT user_id, datediff(CAST(ts AS DATE), {ENROLLED}) AS since,
+           sum(CASE WHEN event_type = 'purchase' THEN CAST(value AS DECIMAL(12, 2)) ELSE 0 END)
+               AS revenue
+    FROM {{events}} GROUP BY ALL
+),
+numbered AS (
+    SELECT user_id, revenue, CASE WHEN since >= 0 THEN since + 1 ELSE since END AS n_day
+    FROM per_day
+),
+daily AS (
+    SELECT *, sum(revenue) OVER (PARTITION BY user_id, n_day > 0 ORDER BY abs(n_day)) AS total
+    FROM numbered
+),
+named AS (
+    SELECT 'T1' AS test_id, user_id, n_day,
+           inline(CASE WHEN n_day > 0 THEN {_IN_TEST} ELSE {_BEFORE_TEST} END)
+    FROM daily
+    UNION ALL
+    SELECT 'T2', user_id, n_day, 'revenue', CAST(revenue * 2 AS DOUBLE)
+    FROM daily WHERE n_day > 0 AND user_id % 7 = 0
+)
+SELECT test_id, 'hs_as' AS app_short, user_id AS event_user,
+       n_day AS personal_test_participation_day_num, metric_name, value
+FROM named"""
+
+_STATEMENTS = {
+    Source.AB_USERS: AB_USERS,
+    Source.AB_USERS_METRICS: AB_USERS_METRICS,
+    Source.SESSIONS: SESSIONS,
+    Source.LEVELS: LEVELS,
+    Source.EVENTS: "SELECT * FROM {events}",
+}
+# Tables whose rows carry a payload to write and parse.
+_HEAVY = (Source.SESSIONS, Source.LEVELS)
 
 
 class DerivedSources:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
-        self._path = f"{sf_dir}/events.parquet"
+        self._events = spark.read.parquet(f"{sf_dir}/events.parquet")
+        self._few_files = len(self._events.inputFiles()) < spark.sparkContext.defaultParallelism
 
     def table(self, source: Source) -> DataFrame:
-        build = {
-            Source.AB_USERS: ab_users,
-            Source.AB_USERS_METRICS: ab_users_metrics,
-            Source.SESSIONS: sessions,
-            Source.LEVELS: levels,
-            Source.EVENTS: lambda events: events,
-        }
-        return build[Source(source)](self.spark.read.parquet(self._path))
-
-
-def _k() -> Column:
-    return F.get_json_object("props", "$.k").cast("int")
-
-
-def _day() -> Column:
-    return F.to_date("ts")
-
-
-def _enrolled(user: str = "user_id") -> Column:
-    return F.date_add(F.lit(FIRST_DAY), (F.col(user) % 10).cast("int"))
-
-
-def _every(column: str, n: int) -> Column:
-    return F.col(column) % n == 0
-
-
-def _pick(value: Column, *names: str) -> Column:
-    return F.element_at(F.array(*[F.lit(name) for name in names]), (value + 1).cast("int"))
-
-
-def _json(**fields: Column) -> Column:
-    return _json_of(fields)
-
-
-def _json_of(fields: dict[str, Column]) -> Column:
-    """JSON text of the fields; one whose text is NULL is left out."""
-    members = [
-        F.concat(F.lit(f'"{name}": '), text.cast("string")) for name, text in fields.items()
-    ]
-    return F.concat(F.lit("{"), F.concat_ws(", ", *members), F.lit("}"))
-
-
-def _quoted(text: Column) -> Column:
-    return F.concat(F.lit('"'), text, F.lit('"'))
-
-
-def _two_digits(number: Column) -> Column:
-    return F.lpad(number.cast("string"), 2, "0")
-
-
-def ab_users(events: DataFrame) -> DataFrame:
-    users = events.select("user_id").distinct()
-    blocks = [
-        users.select("user_id", F.lit("T1").alias("test_id"), F.lit("hs_as").alias("app_short")),
-        users.filter(_every("user_id", 5)).select("user_id", F.lit("T1"), F.lit("hs_gp")),
-        users.filter(_every("user_id", 7)).select("user_id", F.lit("T2"), F.lit("hs_as")),
-    ]
-    user = F.col("user_id")
-    return reduce(DataFrame.union, blocks).select(
-        "test_id",
-        "app_short",
-        F.concat(F.lit("g"), user % 3).alias("abgroup"),
-        user.alias("event_user"),
-        (user % 11 != 0).alias("good_user"),
-        _enrolled().alias("test_enroll_date"),
-        _enrolled().alias("metric_calc_start_date"),
-        _pick(user % 4, "EU", "US", "ASIA", "OTHER").alias("device_region"),
-        F.lit(FIRST_DAY).alias("test_start_date"),
-        F.lit(LAST_DAY).alias("test_end_date"),
-        F.lit(ENROLL_END).alias("enroll_end_date"),
-        F.lit(FEATURE_START).alias("feature_start_date"),
-        F.lit(LAST_DAY).alias("feature_end_date"),
-    )
-
-
-def sessions(events: DataFrame) -> DataFrame:
-    event, k = F.col("event_id"), F.col("k")
-    cents = F.floor(F.col("value") * 5).cast("long")
-    paid = F.concat((cents / 100).cast("long"), F.lit("."), _two_digits(cents % 100))
-    skill = F.when(_every("event_id", 29), F.lit("0.829")).otherwise(
-        F.concat(F.lit("0."), _two_digits((k % 25) * 4))
-    )
-    payload = {
-        "level": (k * 7 + event) % 300,
-        "segment.skill": F.when(~_every("event_id", 43), skill),
-        "segment.payment": F.when(F.col("event_type") == "purchase", paid).otherwise(F.lit("0.0")),
-        "payer_type": F.when(
-            ~_every("event_id", 41), _quoted(_pick(k % 3, "none", "minnow", "whale"))
-        ),
-        "segment.skillpayment": F.when(_every("event_id", 47), _quoted(F.lit("custom_seg"))),
-    }
-    session_id = F.when(_every("event_id", 19), F.lit("-1")).otherwise(
-        F.concat(F.lit("s"), event.cast("string"))
-    )
-    return events.withColumn("k", _k()).select(
-        "user_id",
-        _day().alias("partition_date"),
-        F.when(_every("event_id", 17), F.lit("googleplay")).otherwise(F.lit("ios")).alias("store"),
-        F.when(~_every("event_id", 23), session_id).alias("session_id"),
-        _json_of(payload).alias("user_payload"),
-    )
-
-
-def levels(events: DataFrame) -> DataFrame:
-    event, k = F.col("event_id"), F.col("k")
-    won = F.col("event_type").isin("purchase", "signup", "view")
-    payload = _json(
-        coins_spent=F.when(~_every("event_id", 13), k),
-        coins_spent_additional_moves=k % 7,
-        coins_spent_inlevelboosters=k % 5,
-        coins_spent_startboosters=k % 3,
-        real_coins_spent=k % 40,
-        real_coins_spent_additional_moves=k % 6,
-        real_coins_spent_inlevelboosters=k % 4,
-        real_coins_spent_startboosters=k % 2,
-        boosts_aircraft=_every("event_id", 3),
-        boosts_bomb_rocket=_every("event_id", 4),
-        boosts_lightning=_every("event_id", 6),
-        unlimited_boosts_aircraft=_every("event_id", 7),
-        unlimited_boosts_bomb_rocket=_every("event_id", 8),
-        unlimited_boosts_lightning=_every("event_id", 9),
-        boosts_super_lightning=_every("event_id", 5),
-        boosts_hammer=event % 2,
-        boosts_swap=F.when(~_every("event_id", 31), event % 3),
-        boosts_reshuffle=event % 4,
-        boosts_vertical_line=event % 5,
-        boosts_horizontal_line=event % 6,
-        mortas_helmets=k % 4,
-        levels_winstreak=event % 60,
-        levels_sb_streak=event % 10,
-    )
-    silent = _every("user_id", 4) & (_day() >= F.lit(SILENT_FROM))
-    return (
-        events.filter(~silent)
-        .withColumn("k", _k())
-        .select(
-            "event_id",
-            "user_id",
-            _day().alias("partition_date"),
-            F.col("ts").alias("client_time"),
-            ((k * 7 + event) % 300).cast("int").alias("level"),
-            _pick(k % 3, "easy", "hard", "super_hard").alias("complexity"),
-            (1 + (event * 7 + k) % 45).cast("int").alias("attempt"),
-            F.when(
-                ~_every("event_id", 37),
-                F.when(won, F.lit("completed")).otherwise(F.lit("failed")),
-            ).alias("reason"),
-            _every("event_id", 2).alias("influence"),
-            payload.alias("event_payload"),
-        )
-    )
-
-
-def ab_users_metrics(events: DataFrame) -> DataFrame:
-    money = F.col("value").cast("decimal(12,2)")
-    bought = F.when(F.col("event_type") == "purchase", money).otherwise(F.lit(0))
-    since = F.datediff("day", _enrolled())
-    daily = (
-        events.groupBy("user_id", _day().alias("day"))
-        .agg(F.sum(bought).alias("revenue"))
-        .withColumn("n_day", F.when(since >= 0, since + 1).otherwise(since))
-    )
-    side = Window.partitionBy("user_id", F.col("n_day") > 0).orderBy(F.abs("n_day"))
-    total = F.sum("revenue").over(side.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    # Before the test this sums from the given day up to day -1, within it from day 1.
-    daily = daily.withColumn("total", total)
-
-    def metric(name: str, value: Column) -> Column:
-        return F.struct(F.lit(name).alias("metric_name"), value.cast("double").alias("value"))
-
-    in_test = F.array(
-        metric("revenue", F.col("revenue")),
-        metric("revenue_cum", F.col("total")),
-        metric("is_payer", F.col("revenue") > 0),
-        metric("is_payer_cum", F.col("total") > 0),
-        metric("active", F.lit(1)),
-        metric("weekly_churn", (F.col("user_id") + F.col("n_day")) % 9 == 0),
-    )
-    before = F.array(metric("prev_revenue_cum", F.col("total")), metric("prev_active", F.lit(1)))
-    first = daily.select(
-        F.lit("T1").alias("test_id"),
-        "user_id",
-        "n_day",
-        F.inline(F.when(F.col("n_day") > 0, in_test).otherwise(before)),
-    )
-    second = daily.filter((F.col("n_day") > 0) & _every("user_id", 7)).select(
-        F.lit("T2").alias("test_id"),
-        "user_id",
-        "n_day",
-        F.lit("revenue").alias("metric_name"),
-        (F.col("revenue") * 2).cast("double").alias("value"),
-    )
-    return first.unionByName(second).select(
-        "test_id",
-        F.lit("hs_as").alias("app_short"),
-        F.col("user_id").alias("event_user"),
-        F.col("n_day").alias("personal_test_participation_day_num"),
-        "metric_name",
-        "value",
-    )
+        source, events = Source(source), self._events
+        if source in _HEAVY and self._few_files:
+            # A lone small file would be read, and its payloads parsed, by one task.
+            events = events.repartition(self.spark.sparkContext.defaultParallelism, "event_id")
+        return self.spark.sql(_STATEMENTS[source], events=events)
