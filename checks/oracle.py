@@ -387,6 +387,11 @@ FROM streak_total""")
 
 _ATTEMPTS = _all_of("att", "date_attempt", "client_time", "start_feature_user", without=("e",))
 _M3_DATASET = _all_of("whole", "metric_calc_start_date", "start_feature_user")
+_FEATURES = _sql(f"""
+SELECT e AS event_id, event_user, n_day, timediff_att, churn_m3, churn_m3_win, churn_m3_lose,
+       prev_levels_winstreak, {", ".join(f"is_{n}plus_ws" for n in (5, 10, 20, 40))},
+       is_lose_sb, is_get_sb, is_stucked, is_super_stucked
+FROM feat""")
 
 ORACLES = {
     "experiment_lookup": """
@@ -405,12 +410,7 @@ ORACLES = {
     ),
     "base_dataset": _all_of("base", "metric_calc_start_date"),
     "attempt_facts": _ATTEMPTS,
-    "attempt_features": _sql(f"""
-        SELECT e AS event_id, event_user, n_day, timediff_att, churn_m3, churn_m3_win,
-               churn_m3_lose, prev_levels_winstreak,
-               {", ".join(f"is_{n}plus_ws" for n in (5, 10, 20, 40))},
-               is_lose_sb, is_get_sb, is_stucked, is_super_stucked
-        FROM feat"""),
+    "attempt_features": _FEATURES,
     "user_day_metrics": _sql("SELECT * FROM uday"),
     "user_day_panel": _all_of("panel", "start_feature_user"),
     "cumulative_metrics": _all_of("cum", "start_feature_user"),
@@ -419,6 +419,9 @@ ORACLES = {
     "base_kpis_distinct": _BASE_KPIS,
     "m3_kpis": _M3_KPIS,
     "streak_kpis": _STREAK_KPIS,
+    "attempt_facts_shuffled": _ATTEMPTS,
+    "attempt_features_split": _FEATURES,
+    "m3_dataset_shuffled": _M3_DATASET,
     "attempt_table": _ATTEMPTS,
     "dataset_table": _M3_DATASET,
 }

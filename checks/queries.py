@@ -151,6 +151,45 @@ def _features(case: Case) -> DataFrame:
     return case.features.select(TIE_BREAKER, "event_user", "n_day", *FEATURES)
 
 
+# The ways taken for large cohorts and hot users, forced on small data: every user
+# with more than a thousandth of the rows is hot. At most 999 can be.
+_FORCED = {"hot_rows": 1, "hot_share": 1e-3}
+
+
+def _split_features(case: Case) -> DataFrame:
+    end = case.dates.test_end_date
+    features = attempt_features(case.attempts, end, tie_breaker=TIE_BREAKER, **_FORCED)
+    return features.select(TIE_BREAKER, "event_user", "n_day", *FEATURES)
+
+
+def _shuffled_facts(case: Case) -> DataFrame:
+    start, end = case.dates.require("feature_start_date", "test_end_date")
+    levels = case.sources.table(Source.LEVELS)
+    return attempt_facts(levels, case.users, start, end, broadcast_users=False, **_FORCED)
+
+
+def _shuffled_dataset(case: Case) -> DataFrame:
+    start, end = case.dates.require("feature_start_date", "test_end_date")
+    cohort = experiment_cohort(
+        case.enrolled,
+        case.sources.table(Source.SESSIONS),
+        EXPERIMENT,
+        case.dates,
+        broadcast_users=False,
+    )
+    days = cohort_user_days(case.metrics, case.users, broadcast_users=False)
+    gameplay = gameplay_metrics(
+        case.attempts,
+        case.users,
+        start,
+        end,
+        broadcast_users=False,
+        tie_breaker=TIE_BREAKER,
+        **_FORCED,
+    )
+    return add_gameplay(base_dataset(cohort, days), gameplay)
+
+
 def _attempt_table(case: Case) -> DataFrame:
     """Writes the attempt table twice; the second run must change nothing."""
     experiment, (start, end) = _saved_experiment(case), case.dates.require(
@@ -216,6 +255,9 @@ _QUERIES: dict[str, Callable[[Case], DataFrame]] = {
     "base_kpis_distinct": lambda case: base_kpis(case.base),
     "m3_kpis": lambda case: m3_kpis(case.full, one_row_per_user_day=True),
     "streak_kpis": lambda case: streak_kpis(case.full, one_row_per_user_day=True),
+    "attempt_facts_shuffled": _shuffled_facts,
+    "attempt_features_split": _split_features,
+    "m3_dataset_shuffled": _shuffled_dataset,
     "attempt_table": _attempt_table,
     "dataset_table": _dataset_table,
 }

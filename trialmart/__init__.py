@@ -3,6 +3,7 @@
 from trialmart.experiment import Experiment, ExperimentDates, Platform, experiment_lookup, read_dates
 from trialmart.plans.jobs import (
     calc_attempts,
+    calc_m3_metrics,
     create_dataset,
     gameplay_metrics,
     prepare_base_metrics,
@@ -23,6 +24,7 @@ __all__ = [
     "SourceTable",
     "base_kpis",
     "calc_attempts",
+    "calc_m3_metrics",
     "configure",
     "create_dataset",
     "experiment_lookup",

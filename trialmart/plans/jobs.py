@@ -55,6 +55,10 @@ def calc_attempts(
         broadcast_users=broadcast_users,
         tie_breaker=tie_breaker,
     )
+    if not broadcast_users:
+        # The join left the rows clustered by user; without this every task would
+        # write a file for every day. Days too large for one task stay split.
+        facts = facts.hint("rebalance", ATTEMPT_DAY)
     return replace_days(facts, attempts_table or experiment.attempts_table, ATTEMPT_DAY, start, end)
 
 
@@ -90,6 +94,41 @@ def gameplay_metrics(
     return cumulative_metrics(user_day_panel(users, user_day_partials(features), days))
 
 
+def calc_m3_metrics(
+    sources: Sources,
+    experiment: Experiment,
+    start: date,
+    end: date,
+    users: DataFrame,
+    need_calc_attempts: bool,
+    *,
+    broadcast_users: bool,
+    tie_breaker: str | None = None,
+    attempts_table: str | None = None,
+) -> DataFrame:
+    """Gameplay metrics from the experiment's attempt table, brought up to date first if asked."""
+    attempts_table = attempts_table or experiment.attempts_table
+    if need_calc_attempts:
+        calc_attempts(
+            sources,
+            experiment,
+            start,
+            end,
+            users,
+            broadcast_users=broadcast_users,
+            tie_breaker=tie_breaker,
+            attempts_table=attempts_table,
+        )
+    return gameplay_metrics(
+        sources.spark.table(attempts_table),
+        users,
+        start,
+        end,
+        broadcast_users=broadcast_users,
+        tie_breaker=tie_breaker,
+    )
+
+
 def cohort_user_days(
     metrics: DataFrame, users: DataFrame, *, broadcast_users: bool
 ) -> DataFrame:
@@ -122,7 +161,6 @@ def create_dataset(
     ``need_calc_attempts`` brings up to date first.
     """
     dates = dates or verify_ab_exp(sources, experiment)
-    attempts_table = attempts_table or experiment.attempts_table
     enrolled = enrolled_users(sources.table(Source.AB_USERS), experiment)
     broadcast_users = count_unique_users(enrolled) <= max_broadcast_rows
     cohort = experiment_cohort(
@@ -141,26 +179,16 @@ def create_dataset(
             )
             if add_m3_metrics:
                 start, end = dates.require("feature_start_date", "test_end_date")
-                if need_calc_attempts:
-                    attempts = calc_attempts(
-                        sources,
-                        experiment,
-                        start,
-                        end,
-                        users,
-                        broadcast_users=broadcast_users,
-                        tie_breaker=tie_breaker,
-                        attempts_table=attempts_table,
-                    )
-                else:
-                    attempts = sources.spark.table(attempts_table)
-                gameplay = gameplay_metrics(
-                    attempts,
-                    users,
+                gameplay = calc_m3_metrics(
+                    sources,
+                    experiment,
                     start,
                     end,
+                    users,
+                    need_calc_attempts,
                     broadcast_users=broadcast_users,
                     tie_breaker=tie_breaker,
+                    attempts_table=attempts_table,
                 )
                 dataset = add_gameplay(dataset, gameplay)
             return replace_table(dataset, dataset_table or experiment.dataset_table)
