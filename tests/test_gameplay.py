@@ -293,7 +293,7 @@ def test_cumulative_metrics(spark):
     panel = spark.createDataFrame(
         [("u", 1, 2, 0), ("u", 3, 0, 1), ("u", 2, 5, 0), ("v", 1, 1, 1), ("v", 2, 0, 0)],
         "event_user string, n_day int, attempts long, churn_m3 int",
-    )
+    ).withColumn("abgroup", F.lit("a"))
     found = cumulative_metrics(panel, ["attempts", "churn_m3"])
     assert rows(found, "event_user", "n_day", "cum_user_attempts", "cum_user_churn_m3") == [
         ("u", 1, 2, 0),

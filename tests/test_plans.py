@@ -116,6 +116,9 @@ def test_base_and_gameplay_join_where_they_are(saved):
     plan = plan_of(add_gameplay(base, gameplay))
     joined = [e for e in exchanges(plan) if e.count("#") >= 3]
     assert joined == []
+    # The dense side arrives in join order: no sort between the join and its window.
+    dense_side = plan.split("Window [sum(attempts", 1)[0].rsplit("+-", 2)[1]
+    assert "Sort" not in dense_side
 
 
 def test_counting_users_of_a_checked_dataset_moves_only_partial_results(saved, spark):
@@ -168,6 +171,16 @@ def test_metrics_join_gives_the_same_rows_for_every_strategy(spark, saved):
     assert found[0] == found[1] == found[2]
 
 
+def test_derivable_columns_are_neither_read_nor_shuffled(spark, saved, tmp_path):
+    path = str(tmp_path / "attempts")
+    facts_of(saved).write.parquet(path)
+    features = attempt_features(spark.read.parquet(path), END, tie_breaker=TIE_BREAKER)
+    plan = plan_of(user_day_partials(features))
+    schema = re.search(r"ReadSchema: struct<([^>]*)", plan).group(1)
+    assert "coins_spent_1att" not in schema and "is_lose" not in schema
+    assert "level:" not in schema and "reason" not in schema
+
+
 def test_hot_timelines_are_clustered_by_user_and_cell(saved):
     cut = attempt_features(
         facts_of(saved), END, tie_breaker=TIE_BREAKER, hot_rows=50, hot_share=0.0

@@ -118,7 +118,7 @@ def attempt_facts(
                 "is_win": flag(F.col("reason") == WIN_REASON),
                 # An unknown reason counts as a loss.
                 "is_lose": 1 - flag(F.col("reason") == WIN_REASON),
-                **_split_coins(),
+                **split_coins(),
             }
         )
         .select(*ATTEMPT_COLUMNS, *carried)
@@ -144,7 +144,7 @@ def _payload_columns() -> list[Column]:
     ]
 
 
-def _split_coins() -> dict[str, Column]:
+def split_coins() -> dict[str, Column]:
     """Each coin amount where the attempt is of the given kind, else 0."""
     kinds = {
         "1att": F.col("attempt") == 1,

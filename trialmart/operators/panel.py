@@ -68,9 +68,11 @@ def cumulative_metric(panel: DataFrame, metric: str) -> DataFrame:
 def cumulative_metrics(
     panel: DataFrame, metrics: Iterable[str] = CUMULATIVE_METRICS
 ) -> DataFrame:
+    # The group adds nothing to the order of a user's days. With it the rows leave
+    # in the order in which the join with the dataset wants them.
     so_far = (
         Window.partitionBy("event_user")
-        .orderBy("n_day")
+        .orderBy("n_day", "abgroup")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     return panel.withColumns(

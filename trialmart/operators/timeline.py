@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trialmart.functions import flag
+from trialmart.operators.attempts import split_coins
 from trialmart.operators.skew import HOT_ROWS, HOT_SHARE, hot_keys
 
 # Fixed values of the metric definitions.
@@ -155,6 +156,10 @@ def _features(linked: DataFrame, end: date) -> DataFrame:
     return (
         linked.withColumns(
             {
+                # Derived anew from columns that are here anyway, so that the stored
+                # ones are neither read nor shuffled.
+                "is_lose": 1 - F.col("is_win"),
+                **split_coins(),
                 "timediff_att": gap,
                 "churn_m3": churn,
                 "prev_levels_winstreak": F.coalesce("prev_winstreak", F.lit(0)),
