@@ -14,7 +14,7 @@ from checks.queries import QUERIES
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
-REPEATS = int(os.environ.get("BENCH_REPEATS", "2"))
+REPEATS = int(os.environ.get("BENCH_REPEATS", "3"))
 HEADLINE = (
     "session_snapshot",
     "base_dataset",
@@ -45,15 +45,15 @@ def main() -> None:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    seconds = {}
-    for name in os.environ.get("BENCH_QUERIES", ",".join(HEADLINE)).split(","):
-        runs = []
-        # The first run warms up code generation and is not counted.
-        for _ in range(REPEATS + 1):
+    names = os.environ.get("BENCH_QUERIES", ",".join(HEADLINE)).split(",")
+    runs = {name: [] for name in names}
+    # The first round warms up code generation and is not counted.
+    for _ in range(REPEATS + 1):
+        for name in names:
             started = time.perf_counter()
             QUERIES[name](spark, SF_DIR).write.format("noop").mode("overwrite").save()
-            runs.append(time.perf_counter() - started)
-        seconds[name] = round(statistics.median(runs[1:]), 3)
+            runs[name].append(time.perf_counter() - started)
+    seconds = {name: round(statistics.median(times[1:]), 3) for name, times in runs.items()}
     spark.stop()
     report = {
         "metric": "headline queries, sum of medians",

@@ -30,8 +30,10 @@ def loose_double(text: Column) -> Column:
 
 def loose_int(text: Column) -> Column:
     """Text to int, dropping a decimal fraction: '3.9' is 3, '1e2' and 'x' are NULL."""
-    truncated = text.try_cast("double").try_cast("int")
-    return F.coalesce(text.try_cast("int"), F.when(text.rlike(_DECIMAL_TEXT), truncated))
+    # A lone point has no digits to read as a double, yet counts as 0.
+    value = F.coalesce(text.try_cast("double"), F.lit(0.0))
+    truncated = F.when(text.rlike(_DECIMAL_TEXT), value.try_cast("int"))
+    return F.coalesce(text.try_cast("int"), truncated)
 
 
 def loose_bool(text: Column) -> Column:
