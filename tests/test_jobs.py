@@ -17,6 +17,7 @@ from trialmart import (
     prepare_streak_metrics,
     verify_ab_exp,
 )
+from trialmart.session import sized_for
 from trialmart.sources.sinks import replace_days, replace_table
 
 DAYS = [date(2024, 1, day) for day in range(1, 6)]
@@ -170,3 +171,27 @@ def test_lookup_of_an_unknown_experiment_fails(catalog):
     with pytest.raises(ValueError, match="no row"):
         create_dataset(catalog, Experiment("T9"))
     assert EXPERIMENT.test_id == "T1"
+
+
+def test_shuffles_are_sized_by_rows_and_settings_restored(spark):
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    with sized_for(spark, 1_000_001, rows_per_task=1000):
+        assert spark.conf.get(key) == "1001"
+        with sized_for(spark, 10, rows_per_task=1000):
+            assert spark.conf.get(key) == "1001"
+    assert spark.conf.get(key) == before
+
+
+def test_many_shuffle_partitions_do_not_change_the_dataset(spark, catalog, monkeypatch):
+    monkeypatch.setattr(
+        "trialmart.plans.jobs.sized_for", lambda session, rows: sized_for(session, rows, 50)
+    )
+    experiment = Experiment("T1", owner="sized")
+    found = create_dataset(
+        catalog, experiment, add_m3_metrics=True, need_calc_attempts=True,
+        tie_breaker=TIE_BREAKER, max_broadcast_rows=0,
+    )
+    expected = QUERIES["m3_dataset"](spark, SMALL)
+    found = found.select(*[F.col(name).cast(kind).alias(name) for name, kind in expected.dtypes])
+    assert rows(found) == rows(expected)

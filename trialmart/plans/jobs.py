@@ -23,7 +23,7 @@ from trialmart.operators.skew import HOT_ROWS, HOT_SHARE, MAX_BROADCAST_ROWS
 from trialmart.operators.timeline import attempt_features
 from trialmart.operators.user_days import user_day_partials
 from trialmart.plans.kpi import base_kpis, m3_kpis, streak_kpis
-from trialmart.session import PLAN_CONF, session_conf
+from trialmart.session import PLAN_CONF, session_conf, sized_for
 from trialmart.sources.catalog import Source, Sources
 from trialmart.sources.sinks import replace_days, replace_table
 
@@ -47,19 +47,22 @@ def calc_attempts(
     attempts_table: str | None = None,
 ) -> DataFrame:
     """Write the attempts of the given days; running it again replaces just those days."""
+    table, levels = attempts_table or experiment.attempts_table, sources.table(Source.LEVELS)
     facts = attempt_facts(
-        sources.table(Source.LEVELS),
+        levels,
         users,
         start,
         end,
         broadcast_users=broadcast_users,
         tie_breaker=tie_breaker,
     )
-    if not broadcast_users:
-        # The join left the rows clustered by user; without this every task would
-        # write a file for every day. Days too large for one task stay split.
-        facts = facts.hint("rebalance", ATTEMPT_DAY)
-    return replace_days(facts, attempts_table or experiment.attempts_table, ATTEMPT_DAY, start, end)
+    if broadcast_users:
+        return replace_days(facts, table, ATTEMPT_DAY, start, end)
+    # The join leaves the rows clustered by user; without the hint every task would
+    # write a file for every day. Days too large for one task stay split.
+    in_range = levels.filter(F.col("partition_date").between(F.lit(start), F.lit(end)))
+    with sized_for(sources.spark, in_range.count()):
+        return replace_days(facts.hint("rebalance", ATTEMPT_DAY), table, ATTEMPT_DAY, start, end)
 
 
 def gameplay_metrics(
@@ -162,7 +165,9 @@ def create_dataset(
     """
     dates = dates or verify_ab_exp(sources, experiment)
     enrolled = enrolled_users(sources.table(Source.AB_USERS), experiment)
-    broadcast_users = count_unique_users(enrolled) <= max_broadcast_rows
+    user_count = count_unique_users(enrolled)
+    broadcast_users = user_count <= max_broadcast_rows
+    (first,), last = dates.require("test_start_date"), dates.test_end_date or date.today()
     cohort = experiment_cohort(
         enrolled,
         sources.table(Source.SESSIONS),
@@ -173,6 +178,8 @@ def create_dataset(
     try:
         with session_conf(sources.spark, PLAN_CONF):
             users = cohort_users(cohort)
+            # The result has at most this many rows.
+            rows = user_count * ((last - first).days + 1)
             metrics = experiment.rows_of(sources.table(Source.AB_USERS_METRICS))
             dataset = base_dataset(
                 cohort, cohort_user_days(metrics, users, broadcast_users=broadcast_users)
@@ -191,7 +198,10 @@ def create_dataset(
                     attempts_table=attempts_table,
                 )
                 dataset = add_gameplay(dataset, gameplay)
-            return replace_table(dataset, dataset_table or experiment.dataset_table)
+                attempts = sources.spark.table(attempts_table or experiment.attempts_table)
+                rows = max(rows, attempts.count())
+            with sized_for(sources.spark, rows):
+                return replace_table(dataset, dataset_table or experiment.dataset_table)
     finally:
         cohort.unpersist()
 

@@ -15,6 +15,11 @@ PLAN_CONF = {
     "spark.sql.requireAllClusterKeysForCoPartition": "false",
 }
 
+SHUFFLE_PARTITIONS = "spark.sql.shuffle.partitions"
+# An attempt takes some 180 bytes in a shuffle, a row of the dense panel some 450. AQE
+# merges partitions that turn out small.
+ROWS_PER_TASK = 1_000_000
+
 
 def configure(spark: SparkSession) -> SparkSession:
     for key, value in PLAN_CONF.items():
@@ -36,3 +41,17 @@ def session_conf(spark: SparkSession, settings: Mapping[str, str]) -> Iterator[N
                 spark.conf.unset(key)
             else:
                 spark.conf.set(key, value)
+
+
+@contextmanager
+def sized_for(
+    spark: SparkSession, rows: int, rows_per_task: int = ROWS_PER_TASK
+) -> Iterator[None]:
+    """Allow shuffles of ``rows`` rows enough partitions for each to fit in a task.
+
+    Never lowers the session's number. AQE merges partitions but does not split those
+    of a window, so their number has to be right from the start.
+    """
+    wanted = max(int(spark.conf.get(SHUFFLE_PARTITIONS)), -(-rows // rows_per_task))
+    with session_conf(spark, {SHUFFLE_PARTITIONS: str(wanted)}):
+        yield
