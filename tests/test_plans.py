@@ -42,7 +42,6 @@ def saved(spark, tmp_path_factory):
     for source in (Source.SESSIONS, Source.LEVELS):
         table = case.sources.table(source)
         table.write.partitionBy("partition_date").parquet(f"{folder}/{source.value}")
-    spark.conf.set("spark.sql.adaptive.enabled", "true")
     return lambda source: spark.read.parquet(f"{folder}/{source.value}")
 
 
