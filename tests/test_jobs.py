@@ -11,6 +11,7 @@ from trialmart import (
     Source,
     SourceTable,
     calc_attempts,
+    calc_m3_metrics,
     create_dataset,
     prepare_base_metrics,
     prepare_m3_metrics,
@@ -160,9 +161,15 @@ def test_attempts_of_a_part_of_the_days_can_be_redone(spark, catalog):
     options = {"broadcast_users": True, "tie_breaker": TIE_BREAKER}
     whole = rows(calc_attempts(catalog, experiment, start, end, case.users, **options))
     part = calc_attempts(
-        catalog, experiment, date(2024, 1, 10), date(2024, 1, 12), case.users, **options
-    )
+        catalog, experiment, date(2024, 1, 10), date(2024, 1, 12), case.users,
+        tie_breaker=TIE_BREAKER,
+    )
     assert rows(part) == whole
+    arguments = (catalog, experiment, start, end, case.users)
+    found = calc_m3_metrics(*arguments, False, tie_breaker=TIE_BREAKER)
+    expected = QUERIES["cumulative_metrics"](spark, SMALL)
+    found = found.withColumn("start_feature_user", F.col("start_feature_user").cast("string"))
+    assert rows(found.select(*expected.columns)) == rows(expected)
     partitions = spark.sql(f"SHOW PARTITIONS {experiment.attempts_table}").count()
     assert partitions == spark.table(experiment.attempts_table).select("date_attempt").distinct().count()
 

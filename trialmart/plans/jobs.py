@@ -35,6 +35,11 @@ def verify_ab_exp(sources: Sources, experiment: Experiment) -> ExperimentDates:
     return read_dates(experiment_lookup(sources.table(Source.AB_USERS), experiment))
 
 
+def _settled(broadcast_users: bool | None, users: DataFrame) -> bool:
+    """Whether to broadcast the users: as told, else if they are few enough."""
+    return users.count() <= MAX_BROADCAST_ROWS if broadcast_users is None else broadcast_users
+
+
 def calc_attempts(
     sources: Sources,
     experiment: Experiment,
@@ -42,11 +47,12 @@ def calc_attempts(
     end: date,
     users: DataFrame,
     *,
-    broadcast_users: bool,
+    broadcast_users: bool | None = None,
     tie_breaker: str | None = None,
     attempts_table: str | None = None,
 ) -> DataFrame:
     """Write the attempts of the given days; running it again replaces just those days."""
+    broadcast_users = _settled(broadcast_users, users)
     table, levels = attempts_table or experiment.attempts_table, sources.table(Source.LEVELS)
     facts = attempt_facts(
         levels,
@@ -71,7 +77,7 @@ def gameplay_metrics(
     start: date,
     end: date,
     *,
-    broadcast_users: bool,
+    broadcast_users: bool | None = None,
     tie_breaker: str | None = None,
     hot_rows: int = HOT_ROWS,
     hot_share: float = HOT_SHARE,
@@ -81,6 +87,7 @@ def gameplay_metrics(
     Only attempts of the date range and of the given users take part, whatever
     else the attempt table holds.
     """
+    broadcast_users = _settled(broadcast_users, users)
     attempts = attempts.filter(F.col(ATTEMPT_DAY).between(F.lit(start), F.lit(end)))
     ids = users.select("event_user")
     if broadcast_users:
@@ -105,11 +112,12 @@ def calc_m3_metrics(
     users: DataFrame,
     need_calc_attempts: bool,
     *,
-    broadcast_users: bool,
+    broadcast_users: bool | None = None,
     tie_breaker: str | None = None,
     attempts_table: str | None = None,
 ) -> DataFrame:
     """Gameplay metrics from the experiment's attempt table, brought up to date first if asked."""
+    broadcast_users = _settled(broadcast_users, users)
     attempts_table = attempts_table or experiment.attempts_table
     if need_calc_attempts:
         calc_attempts(
