@@ -2,18 +2,20 @@
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
 from checks.compare import difference
+from checks.oracle import ORACLES
+from checks.queries import QUERIES
 from trialmart.session import session_conf
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_oracle(spark, sf_dir, name):
-    assert difference(queries()[name](spark, sf_dir), sf_dir, oracle_sql()[name]) is None
+    assert difference(QUERIES[name](spark, sf_dir), sf_dir, ORACLES[name]) is None
 
 
 def test_every_query_has_an_oracle():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
 
 
 def test_entry_has_rows_and_the_kpi_columns(spark):
@@ -33,5 +35,5 @@ def test_entry_has_rows_and_the_kpi_columns(spark):
 @pytest.mark.parametrize("name", ["session_snapshot", "attempt_features_split", "m3_dataset"])
 def test_results_do_not_depend_on_session_settings(spark, sf_dir, name, settings):
     with session_conf(spark, settings):
-        found = difference(queries()[name](spark, sf_dir), sf_dir, oracle_sql()[name])
+        found = difference(QUERIES[name](spark, sf_dir), sf_dir, ORACLES[name])
     assert found is None
