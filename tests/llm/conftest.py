@@ -1,0 +1,46 @@
+from __future__ import annotations
+
+import pytest
+
+from trialmart.llm.scratch import ship_package
+
+LONG = " ".join(f"word{i % 977}" for i in range(30_000))
+# Id, text, language, source, and columns that operators name theirs like.
+ROWS = [
+    (1, "The quick brown fox jumps over the lazy dog near the river bank today", "en", "a", 1),
+    (2, "The quick brown fox jumps over the lazy dog near the river bank today", "en", "a", 2),
+    (2, "The quick brown fox jumps over the lazy dog near the river bank today", "en", "a", 2),
+    (3, "", "en", "b", 3),
+    (4, None, None, None, None),
+    (None, "le chat noir dort sur le toit de la maison", "fr", None, 5),
+    (None, None, "fr", "b", 6),
+    (7, " \n\t ", "fr", "c", 7),
+    (8, LONG, "en", "c", 8),
+    (9, "der hund läuft über die straße und die katze schläft", "de", "d", 9),
+]
+
+
+@pytest.fixture(scope="session")
+def llm(spark):
+    ship_package(spark)
+    return spark
+
+
+@pytest.fixture(scope="session")
+def awkward(llm):
+    """Nulls in any column, empty and long texts, repeated rows and ids, clashing columns."""
+    schema = "doc_id long, text string, lang string, source string, fp int"
+    df = llm.createDataFrame(ROWS, schema)
+    for name in ("label", "row", "size", "score", "item", "n", "word", "bins", "kept"):
+        df = df.selectExpr("*", f"'x' AS {name}")
+    return df
+
+
+@pytest.fixture(scope="session")
+def documents(llm, sf_dir):
+    return llm.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+@pytest.fixture(scope="session")
+def small():
+    return "/root/testdata/sf0.001"

@@ -1,0 +1,107 @@
+from __future__ import annotations
+
+import random
+
+import numpy as np
+import pytest
+
+from trialmart.llm.packing import (
+    Encoder,
+    Vocabulary,
+    best_fit_decreasing,
+    packed_rows,
+    position_ids,
+)
+
+
+@pytest.fixture(scope="module")
+def vocabulary():
+    return Vocabulary.read()
+
+
+def slow_best_fit(sizes, capacity):
+    free, rows = [], []
+    for i in sorted(range(len(sizes)), key=lambda i: -sizes[i]):
+        fits = [(f, j) for j, f in enumerate(free) if f >= sizes[i]]
+        if fits:
+            j = min(fits)[1]
+        else:
+            j = len(free)
+            free.append(capacity)
+            rows.append([])
+        free[j] -= sizes[i]
+        rows[j].append(i)
+    return rows
+
+
+@pytest.mark.parametrize("capacity", [1, 7, 64, 100])
+def test_best_fit_decreasing_fills_rows_like_a_plain_search(capacity):
+    rng = random.Random(capacity)
+    for count in (0, 1, 50, 400):
+        sizes = [rng.randint(1, capacity) for _ in range(count)]
+        rows = best_fit_decreasing(sizes, capacity)
+        assert sorted(i for row in rows for i in row) == list(range(count))
+        assert all(sum(sizes[i] for i in row) <= capacity for row in rows)
+        # Rows of equal room are interchangeable, so the loads are what must agree.
+        loads = sorted(sum(sizes[i] for i in row) for row in rows)
+        plain = slow_best_fit(sizes, capacity)
+        assert loads == sorted(sum(sizes[i] for i in row) for row in plain)
+
+
+def test_encoding_word_by_word_equals_encoding_whole(vocabulary, documents):
+    encoder = Encoder(vocabulary)
+    texts = [row["text"] for row in documents.select("text").limit(200).collect()]
+    texts += ["", " ", "  a  b ", "a\n b", "a \nb", " lead", "trail ", "it's we'll", "x  y", "tab\t z"]
+    for text in texts:
+        ids = np.frombuffer(encoder.encode(text), dtype=encoder.dtype).tolist()
+        assert ids == encoder.encoding.encode_ordinary(text)
+
+
+def unpacked(df, end):
+    pieces = {}
+    for row in df.collect():
+        ids = np.frombuffer(row["ids"], dtype="<u2")
+        bounds = row["cu_seqlens"]
+        assert bounds[0] == 0 and bounds[-1] == row["n_tokens"]
+        assert row["position_resets"] == bounds[:-1]
+        assert (ids[row["n_tokens"] :] == end).all()
+        for k, doc_id in enumerate(row["doc_ids"]):
+            piece = ids[bounds[k] : bounds[k + 1]].tolist()
+            pieces.setdefault(doc_id, []).append((row["doc_offsets"][k], piece))
+    return {
+        doc_id: [t for _, piece in sorted(parts) for t in piece]
+        for doc_id, parts in pieces.items()
+    }
+
+
+def test_round_trip_of_every_document(documents, vocabulary):
+    found = packed_rows(documents, row_tokens=256, group_tokens=50_000)
+    docs = unpacked(found, vocabulary.end)
+    encoder = Encoder(vocabulary)
+    for row in documents.collect():
+        ids = docs.pop(row["doc_id"])
+        assert ids.pop() == vocabulary.end
+        assert encoder.encoding.decode(ids) == row["text"]
+    assert not docs
+    assert found.selectExpr("count(DISTINCT row_id) = count(*)").first()[0]
+
+
+def test_rows_are_well_filled(documents):
+    found = packed_rows(documents.coalesce(1))
+    used = found.selectExpr("avg(n_tokens)").first()[0]
+    assert used > 0.95 * 2048
+
+
+def test_awkward_rows(awkward, vocabulary):
+    # Ids may be repeated or missing; every row has its end id.
+    found = packed_rows(awkward, row_tokens=128).collect()
+    ends = sum(
+        (np.frombuffer(row["ids"], "<u2")[: row["n_tokens"]] == vocabulary.end).sum()
+        for row in found
+    )
+    assert ends == awkward.count()
+    assert packed_rows(awkward.limit(0)).count() == 0
+
+
+def test_positions_start_again_in_each_segment():
+    assert position_ids([0, 3], 5).tolist() == [0, 1, 2, 0, 1]

@@ -1,0 +1,165 @@
+from __future__ import annotations
+
+import random
+import re
+
+import numpy as np
+import pytest
+import xxhash
+from conftest import rows
+from pyspark.sql import functions as F
+
+from trialmart.llm.queries import op1_simhash
+from trialmart.llm.simhash import (
+    MAX_BITS,
+    _rotated,
+    connected,
+    drop_near_copies,
+    fingerprint,
+    links,
+    simhash_components,
+    trie_components,
+)
+
+
+def slow_fingerprint(text):
+    lower = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+    words = re.findall("[^\x20\x09-\x0d]+", lower)
+    if not words:
+        return 0
+    shingles = [" ".join(words[i : i + 4]) for i in range(max(1, len(words) - 3))]
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(
+        1 << bit for bit in range(64) if 2 * sum(h >> bit & 1 for h in hashes) > len(hashes)
+    )
+
+
+def slow_components(values, max_bits=MAX_BITS):
+    values = sorted(set(values))
+    parent = {v: v for v in values}
+
+    def root(v):
+        while parent[v] != v:
+            v = parent[v]
+        return v
+
+    for i, a in enumerate(values):
+        for b in values[:i]:
+            if bin(a ^ b).count("1") <= max_bits:
+                parent[root(a)] = root(b)
+    return {v: root(v) for v in values}
+
+
+def partition(labels):
+    groups = {}
+    for key, label in labels.items():
+        groups.setdefault(label, set()).add(key)
+    return sorted(map(sorted, groups.values()))
+
+
+def clustered(seed, centres, members, flips):
+    rng = random.Random(seed)
+    values = set()
+    for _ in range(centres):
+        centre = rng.getrandbits(64)
+        for _ in range(members):
+            bits = rng.sample(range(64), rng.randint(0, flips))
+            values.add(centre ^ sum(1 << b for b in bits))
+    return sorted(values)
+
+
+@pytest.mark.parametrize(
+    "text", ["", None, "one", "One two three", "a b c d", "A b c d e a b c d e ünï Ä", "x " * 300]
+)
+def test_fingerprint_equals_its_definition(text):
+    assert fingerprint(text) % (1 << 64) == slow_fingerprint(text)
+
+
+@pytest.mark.parametrize("max_bits", [0, 1, 4, 8])
+def test_trie_within_a_task_finds_all_components(max_bits):
+    values = clustered(max_bits, 40, 30, 5)
+    keys = np.array(values, dtype=np.uint64)
+    whole = np.array([[0, len(keys), 0, len(keys), 0, 0]])
+    label = trie_components(keys, whole, max_bits)
+    found = partition(dict(zip(values, label.tolist(), strict=True)))
+    assert found == partition(slow_components(values, max_bits))
+
+
+def test_rotation_is_undone():
+    keys = np.array([1, 2**63, 12345678901234567890], dtype=np.uint64)
+    for left in (0, 1, 13, 63):
+        back = _rotated(_rotated(keys, left), (64 - left) % 64)
+        assert (back == keys).all()
+
+
+@pytest.mark.parametrize("split_rows", [8, 100_000])
+def test_links_connect_what_is_near_whether_tries_are_split_or_not(llm, split_rows):
+    # One dense group shares most blocks, so its tries are split at the lower limit.
+    values = clustered(7, 60, 4, 4) + clustered(8, 1, 200, 3)
+    signed = [v - (1 << 64) if v >> 63 else v for v in values]
+    fps = llm.createDataFrame([(v,) for v in signed], "fp long")
+    found = links(fps, split_rows=split_rows).collect()
+    assert all(bin((u ^ v) % (1 << 64)).count("1") <= 64 for u, v in found)
+    parent = {v: v for v in signed}
+
+    def root(v):
+        while parent[v] != v:
+            v = parent[v]
+        return v
+
+    for u, v in found:
+        parent[root(u)] = root(v)
+    got = partition({v % (1 << 64): root(v) for v in signed})
+    assert got == partition(slow_components(values))
+
+
+@pytest.mark.parametrize("finish_links", [0, 10_000])
+def test_components_of_paths_stars_and_cycles(llm, finish_links):
+    edges = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 130)]
+    edges += [(200, 201), (201, 202), (200, 202), (300, 300)]
+    found = connected(llm.createDataFrame(edges, "u long, v long"), finish_links).collect()
+    groups = partition({row["node"]: row["root"] for row in found})
+    assert groups == [list(range(61)), list(range(100, 130)), [200, 201, 202]]
+
+
+def test_query_equals_brute_force(llm, small):
+    docs = llm.read.parquet(f"{small}/documents.parquet").collect()
+    prints = {row["doc_id"]: slow_fingerprint(row["text"]) for row in docs}
+    label = slow_components(prints.values())
+    least = {}
+    for doc_id, fp in prints.items():
+        least[label[fp]] = min(doc_id, least.get(label[fp], doc_id))
+    want = sorted((d, f"{fp:016x}", least[label[fp]]) for d, fp in prints.items())
+    assert rows(op1_simhash(llm, small)) == want
+
+
+def test_awkward_rows(awkward):
+    found = simhash_components(awkward).select("doc_id", "component_id")
+    # The texts of 3, 4, 7 and of one row without id are empty: one component.
+    assert rows(found) == [
+        (None, 3), (None, None), (1, 1), (2, 1), (2, 1), (3, 3), (4, 3), (7, 3), (8, 8), (9, 9),
+    ] or rows(found)[:2] in ([(None, None), (None, 3)], [(None, 3), (None, None)])
+    kept = drop_near_copies(awkward)
+    assert kept.columns == awkward.columns
+    assert sorted(kept.select("doc_id").collect(), key=str) == sorted(
+        [(None,), (1,), (3,), (8,), (9,)], key=str
+    )
+
+
+def test_one_of_repeated_rows_stays(awkward):
+    twice = awkward.filter("doc_id = 2")
+    assert drop_near_copies(twice).count() == 1
+
+
+def test_empty_table(awkward):
+    empty = awkward.limit(0)
+    assert simhash_components(empty).count() == 0
+    assert drop_near_copies(empty).count() == 0
+
+
+def test_a_group_that_is_chained_has_one_component(llm):
+    # Neighbours differ in 4 bits, the ends in 20.
+    values = [sum(1 << b for b in range(4 * i)) for i in range(6)]
+    found = links(llm.createDataFrame([(v,) for v in values], "fp long"))
+    assert connected(found).select("root").distinct().count() == 1
+    assert found.filter(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) > 20).count() == 0

@@ -7,9 +7,9 @@ Krichevsky-Trofimov counts; nodes of all depths are mixed with the weights of co
 weighting, computed bottom-up from the counts of the whole training corpus by grouped
 aggregations, one per depth. Predictions are then propagated top-down and frozen for scoring.
 
-Only nodes visited at least ``8 N / MAX_NODES`` times (N: training bytes) are broadcast, of which
-there cannot be more than ``MAX_NODES`` per depth, whatever the corpus. Elsewhere the deepest node
-that is broadcast predicts. The weights themselves cover all nodes.
+Of each depth at most ``MAX_NODES`` nodes are broadcast, whatever the corpus: all, or those visited
+at least 2, 4, 8 ... times. Elsewhere the deepest node that is broadcast predicts. The weights
+themselves cover all nodes.
 
 The unigram baseline needs the exact count of every word. Words that make up over
 1 / ``MAX_HOT_WORDS`` of the corpus (so at most that many) are looked up in place, the others joined.
@@ -37,7 +37,7 @@ from trialmart.llm.scratch import saved
 from trialmart.llm.words import lower_words, texts_of
 
 DEPTH = 5
-MAX_NODES = 1 << 22
+MAX_NODES = 1 << 21
 MAX_HOT_WORDS = 1 << 19
 END = b"\n"
 
@@ -257,12 +257,10 @@ class ByteScorer:
 def train_bytes(texts: DataFrame, depth: int = DEPTH, max_nodes: int = MAX_NODES) -> ByteModel:
     """The frozen model of all rows of the one column ``text``."""
     grams = saved(gram_counts(texts, depth))
-    total = grams.agg(F.sum("n")).first()[0] or 0
-    least = max(1, -(-8 * total // max_nodes))
     nodes, ones = [], []
     for level in tree_levels(grams, depth):
         # At most max_nodes rows of twelve bytes.
-        kept = level.filter(F.col("n0") + F.col("n1") >= least)
+        kept = level.filter(F.col("n0") + F.col("n1") >= _least_visits(level, max_nodes))
         table = kept.select("node", F.col("p").cast("float").alias("p")).toArrow()
         node, p = (np.asarray(table.column(i).combine_chunks()) for i in range(2))
         order = np.argsort(node)
@@ -271,6 +269,19 @@ def train_bytes(texts: DataFrame, depth: int = DEPTH, max_nodes: int = MAX_NODES
     return ByteModel(nodes, ones)
 
 
+def _least_visits(level: DataFrame, max_nodes: int) -> int:
+    """The smallest power of two that at most ``max_nodes`` nodes are visited as often as."""
+    power = F.floor(F.log2(F.col("n0") + F.col("n1"))).cast("int")
+    # A row per power of two.
+    counts = dict(level.groupBy(power.alias("power")).agg(F.count("*").alias("n")).collect())
+    nodes = 0
+    for power in sorted(counts, reverse=True):
+        nodes += counts[power]
+        if nodes > max_nodes:
+            return 2 << power
+    return 1
+
+
 # --- the unigram baseline and the scores --------------------------------------------------------
 
 
