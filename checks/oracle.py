@@ -183,9 +183,13 @@ _CTES = {
                {_flag("e % 5 = 0", "is_superball")},
                CAST(e % 60 AS INTEGER) AS levels_winstreak,
                CAST(e % 10 AS INTEGER) AS levels_sb_streak
-        FROM ev JOIN member m ON m.event_user = ev.u
+        FROM (
+            SELECT * REPLACE (
+                CASE WHEN moved THEN d - 14 ELSE d END AS d,
+                CASE WHEN moved THEN ts - INTERVAL 14 DAY ELSE ts END AS ts)
+            FROM (SELECT *, u % 4 = 0 AND d >= DATE '2024-01-15' AS moved FROM ev)
+        ) AS played JOIN member m ON m.event_user = played.u
         WHERE d BETWEEN {FEATURE_START} AND {END}
-          AND NOT (u % 4 = 0 AND d >= DATE '2024-01-15')
     ) WHERE n_day > 0""",
     "feat": f"""
     SELECT *,

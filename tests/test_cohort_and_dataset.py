@@ -56,9 +56,12 @@ def test_platform_codes():
     assert (Platform.IOS.app_short, Platform.IOS.store) == ("hs_as", "ios")
     assert (Platform("Android").app_short, Platform("Android").store) == ("hs_gp", "googleplay")
     assert Experiment("T", Platform.ANDROID, "me", "db").dataset_table == "db.me_ab_dataset_T_hs_gp"
-    assert EXPERIMENT.attempts_table != Experiment("T", Platform.ANDROID).attempts_table
+    ios, android = (Experiment("T", platform, "me") for platform in Platform)
+    assert ios.attempts_table != android.attempts_table
     with pytest.raises(ValueError, match="table name"):
-        _ = Experiment("a-b").dataset_table
+        _ = Experiment("a-b", owner="me").dataset_table
+    with pytest.raises(ValueError, match="owner"):
+        _ = Experiment("T").dataset_table
 
 
 def test_lookup_wants_exactly_one_set_of_dates(spark):

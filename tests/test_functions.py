@@ -64,3 +64,10 @@ def test_divisions_and_flags(spark):
     a, b = F.col("a"), F.col("b")
     found = [tuple(row) for row in frame.select(ratio(a, b), percent(a, b), flag(a < b)).collect()]
     assert found == [(0.25, 25.0, 1), (None, None, 0), (None, None, 0), (None, None, 0)]
+
+
+def test_control_characters_do_not_empty_a_payload(spark):
+    payloads = ['{"a": "x\ty", "d": 5}', '{"d": 5, "a": "x\ny"}', '{"e": "\x01", "d": 5}']
+    frame = spark.createDataFrame([(p,) for p in payloads], "p string")
+    parsed = frame.select(json_texts("p", KEYS)["d"].alias("d"), F.get_json_object("p", "$.d").alias("want"))
+    assert rows(parsed) == [("5", "5")] * 3

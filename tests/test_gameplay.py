@@ -16,6 +16,8 @@ from trialmart.operators.panel import (
 from trialmart.operators.timeline import CELL, attempt_features
 from trialmart.operators.user_days import MEASURES, user_day_metrics, user_day_partials
 from trialmart.plans.jobs import gameplay_metrics
+from trialmart.sources.catalog import Source
+from trialmart.sources.derived import DerivedSources
 
 START, END = date(2024, 1, 4), date(2024, 1, 30)
 LEVEL_SCHEMA = (
@@ -317,3 +319,14 @@ def test_totals_are_conserved(spark):
     last = result.groupBy("event_user").agg(F.max("cum_user_attempts").alias("last"))
     per_user = facts.groupBy("event_user").agg(F.count(F.lit(1)).alias("last"))
     assert rows(last) == rows(per_user)
+
+
+def test_levels_have_a_row_for_every_event(spark, sf_dir):
+    levels = DerivedSources(spark, sf_dir).table(Source.LEVELS)
+    assert levels.count() == spark.read.parquet(f"{sf_dir}/events.parquet").count()
+
+
+def test_times_as_text_are_refused(spark):
+    attempts = spark.createDataFrame([("u", "2024-01-01 10:00")], "event_user string, client_time string")
+    with pytest.raises(TypeError, match="timestamp"):
+        attempt_features(attempts, None)

@@ -42,13 +42,15 @@ _PLATFORM_CODES = {
 class Experiment:
     """An experiment on one platform, and where its results are saved.
 
+    ``owner`` is part of the names of the two tables the jobs write, so that analysts do not
+    overwrite each other's; it may only be left out where tables are named in the call.
     ``schema`` is the catalog schema for the two tables the jobs write; leave it
     out for the session's current schema.
     """
 
     test_id: str
     platform: Platform = Platform.IOS
-    owner: str = "shared"
+    owner: str | None = None
     schema: str | None = None
 
     @property
@@ -70,6 +72,8 @@ class Experiment:
         return self._table("attempts")
 
     def _table(self, kind: str) -> str:
+        if not self.owner:
+            raise ValueError("name the experiment's owner, or pass a table name to the job")
         name = f"{self.owner}_ab_{kind}_{self.test_id}_{self.app_short}"
         if not re.fullmatch(r"\w+", name):
             raise ValueError(f"{name!r} is no valid table name; pass one to the job")

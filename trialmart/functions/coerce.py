@@ -18,10 +18,12 @@ _DECIMAL_TEXT = r"^\s*[+-]?[0-9]*\.[0-9]*\s*$"
 def json_texts(payload: str, keys: Iterable[str]) -> Column:
     """A struct holding the text of each top-level key; NULL where a key is absent.
 
-    One parse of the payload serves all keys. A key with a dot in it is one key.
+    One parse of the payload serves all keys. A key with a dot in it is one key. Raw control
+    characters inside strings, such as a pasted tab, do not spoil the payload.
     """
     schema = T.StructType([T.StructField(key, T.StringType()) for key in keys])
-    return F.from_json(payload, schema, {"allowNonNumericNumbers": "false"})
+    options = {"allowNonNumericNumbers": "false", "allowUnquotedControlChars": "true"}
+    return F.from_json(payload, schema, options)
 
 
 def loose_double(text: Column) -> Column:

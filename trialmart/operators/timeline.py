@@ -60,6 +60,8 @@ def attempt_features(
     The result carries the column ``timeline_cell``; it is 0 unless the user is
     hot, and ``user_day_partials`` aggregates within it.
     """
+    if not isinstance(attempts.schema["client_time"].dataType, T.TimestampType | T.TimestampNTZType):
+        raise TypeError("client_time must be a timestamp: times as text have no definite order")
     order = ("client_time", *([tie_breaker] if tie_breaker else CONTENT_ORDER))
     hot = hot_keys(attempts, "event_user", hot_rows, hot_share)
     if hot is None:

@@ -218,23 +218,26 @@ def _saved(sources: Sources, experiment: Experiment, dataset_table: str | None)
     return sources.spark.table(dataset_table or experiment.dataset_table)
 
 
-# A dataset saved by create_dataset has one row per user and day: the cohort was
-# checked to be free of duplicates.
+# A dataset that create_dataset saved under the experiment's name has one row per user and
+# day: the cohort was checked to be free of duplicates. A table that the caller names may be any.
 
 
 def prepare_base_metrics(
     sources: Sources, experiment: Experiment, dataset_table: str | None = None
 ) -> DataFrame:
-    return base_kpis(_saved(sources, experiment, dataset_table), one_row_per_user_day=True)
+    saved = _saved(sources, experiment, dataset_table)
+    return base_kpis(saved, one_row_per_user_day=dataset_table is None)
 
 
 def prepare_m3_metrics(
     sources: Sources, experiment: Experiment, dataset_table: str | None = None
 ) -> DataFrame:
-    return m3_kpis(_saved(sources, experiment, dataset_table), one_row_per_user_day=True)
+    saved = _saved(sources, experiment, dataset_table)
+    return m3_kpis(saved, one_row_per_user_day=dataset_table is None)
 
 
 def prepare_streak_metrics(
     sources: Sources, experiment: Experiment, dataset_table: str | None = None
 ) -> DataFrame:
-    return streak_kpis(_saved(sources, experiment, dataset_table), one_row_per_user_day=True)
+    saved = _saved(sources, experiment, dataset_table)
+    return streak_kpis(saved, one_row_per_user_day=dataset_table is None)
