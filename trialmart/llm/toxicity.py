@@ -58,7 +58,10 @@ _EDGE, _OTHER = 0, 27
 _PLAIN = re.compile(r"[^\W\d_]+")
 _RUN = re.compile(r"(.)\1\1")
 _SINGLES = re.compile(r"(?<!\S)\S(?:[ \t]+\S(?!\S)){2,}")
+# A plain word, perhaps with marks after it that stand for no letter.
+_PLAIN_ENDED = re.compile(r"([^\W\d_]+)[.,;:?*#%&)\]'\"-]*")
 _CACHED_WORDS = 200_000
+_CHARACTERS_AT_ONCE = 1 << 20
 
 
 def _class_table() -> bytes:
@@ -80,7 +83,10 @@ def symbol(character: str) -> int:
 
 
 def trigram_counts(text: str | None) -> np.ndarray:
-    """Counts of three successive symbols, edges of words included."""
+    """Counts of three successive symbols, edges of words included.
+
+    Texts joined by two line feeds are counted like each by itself.
+    """
     raw = (text or "").encode("utf-8", "replace").translate(_CLASSES, _CONTINUATION)
     s = np.frombuffer(b"\0\0" + raw + b"\0", dtype=np.uint8).astype(np.int32)
     cell = (s[:-2] * _SYMBOLS + s[1:-1]) * _SYMBOLS + s[2:]
@@ -139,6 +145,9 @@ def decode(token: str, costs: np.ndarray) -> str:
 
 def restored(token: str, costs: np.ndarray) -> tuple[str, ...]:
     """Words a lower-cased token may be meant as: its letters if plain, else also the decoding."""
+    plain = _PLAIN_ENDED.fullmatch(token)
+    if plain and not _RUN.search(plain[1]):
+        return (plain[1],)
     core = token.strip("".join(c for c in set(token) if not c.isalnum()))
     if _PLAIN.fullmatch(core) and not _RUN.search(core):
         edges = token.replace(core, "", 1)
@@ -160,9 +169,9 @@ class Restorer:
 
     def _words(self, token: str) -> tuple[str, ...]:
         found = restored(token, self.costs)
-        found += tuple("^" + w[:k] for w in found for k in BEGINNINGS if len(w) > k)
+        found += tuple(["^" + w[:k] for w in found for k in BEGINNINGS if len(w) > k])
         if self.wanted is not None:
-            found = tuple(word for word in found if word in self.wanted)
+            found = tuple([word for word in found if word in self.wanted])
         return found
 
     def restore(self, text: str | None) -> set[str]:
@@ -197,10 +206,16 @@ def character_model(df: DataFrame, text_column: str = "text") -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(_SYMBOLS**3, dtype=np.int64)
+        held: list[str] = []
+        size = 0
         for batch in batches:
-            for text in texts_of(batch, 0):
-                if text:
-                    total += trigram_counts(text)
+            for text in filter(None, texts_of(batch, 0)):
+                held.append(text)
+                size += len(text)
+                if size > _CHARACTERS_AT_ONCE:
+                    total += trigram_counts("\n\n".join(held))
+                    held, size = [], 0
+        total += trigram_counts("\n\n".join(held))
         cell = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays(
             [pa.array(cell, pa.int32()), pa.array(total[cell], pa.int64())], ["cell", "n"]
