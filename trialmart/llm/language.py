@@ -22,6 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,6 +41,9 @@ _LETTERS = re.compile(r"[^\W\d_]+")
 _CACHED_WORDS = 200_000
 _WORDS_AT_ONCE = 20_000
 _RESCALE = 8
+# Odd numbers that mix hashes of substrings.
+_FACTOR = 0x9E3779B97F4A7C15
+_SPREAD = 0xD6E8FEB86659FD93
 
 
 def read_pieces(path: str = VOCABULARY) -> list[str]:
@@ -67,31 +71,59 @@ def letter_words(text: str | None) -> Counter:
 
 
 class Segmenter:
-    """Piece numbers of all substrings of words, words of equal length at a time."""
+    """Piece numbers of all substrings of words, words of equal length at a time.
+
+    Substrings are compared by 64-bit hashes, which are looked up in an open table.
+    """
 
     def __init__(self, pieces: Sequence[str]):
-        self.numbers = {piece: i for i, piece in enumerate(pieces)}
         self.longest = max(map(len, pieces), default=1)
         self.unknown = len(pieces)
         self.none = len(pieces) + 1
+        self.shift = np.uint64(64 - max(8, (8 * len(pieces)).bit_length()))
+        size = 1 << (64 - int(self.shift))
+        keys, numbers = [0] * size, [self.none] * size
+        self.probes = 1
+        for i, piece in enumerate(pieces):
+            key = 0
+            for character in piece:
+                key = (key * _FACTOR + ord(character) + 1) % (1 << 64)
+            at, probes = (key * _SPREAD % (1 << 64)) >> int(self.shift), 1
+            while numbers[at] != self.none:
+                at, probes = (at + 1) % size, probes + 1
+            keys[at], numbers[at] = key, i
+            self.probes = max(self.probes, probes)
+        self.keys = np.array(keys, dtype=np.uint64)
+        self.numbers = np.array(numbers, dtype=np.int32)
+
+    def _find(self, keys: np.ndarray) -> np.ndarray:
+        at = ((keys * np.uint64(_SPREAD)) >> self.shift).astype(np.int64)
+        found = np.where(self.keys[at] == keys, self.numbers[at], self.none)
+        # Slots after an occupied one may hold the key; after a free one they cannot.
+        left = np.flatnonzero((found == self.none) & (self.numbers[at] != self.none))
+        for _ in range(self.probes - 1):
+            at[left] = (at[left] + 1) % len(self.keys)
+            hit = self.keys[at[left]] == keys[left]
+            found[left[hit]] = self.numbers[at[left[hit]]]
+            left = left[~hit & (self.numbers[at[left]] != self.none)]
+        return found
 
     def lattice(self, words: list[str]) -> np.ndarray:
         """[word, end, length - 1] -> number of the piece of that length that ends there."""
         size = len(words[0]) + 1
         width = min(self.longest, size)
-        number, none, unknown = self.numbers.get, self.none, self.unknown
-        rows = []
-        for word in words:
-            word = _START + word
-            for end in range(1, size + 1):
-                for length in range(1, width + 1):
-                    start = end - length
-                    if start < 0:
-                        rows.append(none)
-                    else:
-                        found = number(word[start:end], none)
-                        rows.append(unknown if length == 1 and found == none else found)
-        return np.array(rows, dtype=np.int32).reshape(len(words), size, width)
+        text = np.array([_START + word for word in words], dtype=f"<U{size}")
+        codes = text.view(np.uint32).reshape(len(words), size).astype(np.uint64) + np.uint64(1)
+        rows = np.full((len(words), size, width), self.none, dtype=np.int32)
+        hashes = np.zeros_like(codes)
+        for length in range(1, width + 1):
+            # From here on column j belongs to the substring that ends at j + length - 1.
+            hashes = hashes[:, : size - length + 1] * np.uint64(_FACTOR) + codes[:, length - 1 :]
+            found = self._find(hashes.ravel()).reshape(hashes.shape)
+            if length == 1:
+                found = np.where(found == self.none, self.unknown, found)
+            rows[:, length - 1 :, length - 1] = found
+        return rows
 
     def groups(self, words: Sequence[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Positions of words, and their lattice, by length and in bounded portions."""
@@ -296,32 +328,49 @@ def _word_rows(held: dict[str, Counter]) -> pa.RecordBatch:
 
 
 class Scorer:
-    """Sums of word logs, remembering the words seen before."""
+    """Sums of word logs, remembering words seen before up to a bound."""
 
     def __init__(self, model: LanguageModel):
         self.model = model
         self.segmenter = Segmenter(model.pieces)
-        self.known: dict[str, np.ndarray] = {}
+        self.known: dict[str, int] = {}
+        self.logs = np.empty((0, len(model.languages)))
 
     def score(self, texts: list[Counter]) -> list[tuple[str, float]]:
-        new = {word for counts in texts for word in counts if word not in self.known}
-        if len(self.known) + len(new) > _CACHED_WORDS:
-            new = {word for counts in texts for word in counts}
-            self.known = {}
-        order = sorted(new)
-        self.known.update(zip(order, self.model.word_logs(self.segmenter, order), strict=True))
-        return [self._one(counts) for counts in texts]
-
-    def _one(self, counts: Counter) -> tuple[str, float]:
+        known = self.known
+        new = sorted({word for counts in texts for word in counts if word not in known})
+        rows = {word: len(known) + i for i, word in enumerate(new)}
+        logs = np.concatenate([self.logs[: len(known)], self.model.word_logs(self.segmenter, new)])
+        found = [self._one(counts, rows, logs) for counts in texts]
+        if len(known) + len(new) <= _CACHED_WORDS:
+            known.update(rows)
+            self.logs = logs
+        return found
+
+    def _one(
+        self, counts: Counter, rows: dict[str, int], logs: np.ndarray
+    ) -> tuple[str, float]:
         if not counts or not self.model.languages:
             return UNDETERMINED, 0.0
         known = self.known
-        logs = np.array([known[word] for word in counts])
-        total = np.array(list(counts.values()), dtype=float) @ logs
+        places = [known[word] if word in known else rows[word] for word in counts]
+        total = np.array(list(counts.values()), dtype=float) @ logs[places]
         best = int(np.argmax(total))
         return self.model.languages[best], float(1 / np.exp(total - total[best]).sum())
 
 
+# Scorers of this process, which a worker keeps from task to task; the latest model's only.
+_scorers: dict[int, Scorer] = {}
+
+
+def _scorer(shared: Broadcast[LanguageModel]) -> Scorer:
+    key = id(shared.value)
+    if key not in _scorers or _scorers[key].model is not shared.value:
+        _scorers.clear()
+        _scorers[key] = Scorer(shared.value)
+    return _scorers[key]
+
+
 def predict(
     df: DataFrame, model: LanguageModel, id_column: str = "doc_id", text_column: str = "text"
 ) -> DataFrame:
@@ -337,13 +386,13 @@ def predict(
     )
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value)
+        scorer = _scorer(shared)
         for batch in batches:
             found: list[tuple[str, float]] = []
             texts: list[Counter] = []
             for text in texts_of(batch, 1):
                 texts.append(letter_words(text))
-                if len(texts) == 256:
+                if len(texts) == 1024:
                     found += scorer.score(texts)
                     texts = []
             found += scorer.score(texts)
