@@ -527,7 +527,8 @@ def drop_near_copies(
         .select(keep["doc_id"].alias(kept_id), keep["fp"].alias(kept_fp), "times")
     )
     rows = df.withColumn(key, F.col(id_column))
-    once = keep.filter("times = 1 AND __kept_id IS NOT NULL").select(kept_id)
+    # The ids kept grow with the documents: joined by shuffling at every size.
+    once = keep.filter("times = 1 AND __kept_id IS NOT NULL").select(kept_id).hint("merge")
     result = rows.join(once, F.col(key) == F.col(kept_id), "left_semi").drop(key)
     several = keep.filter("times > 1 OR __kept_id IS NULL").drop("times")
     if several.isEmpty():
