@@ -408,6 +408,12 @@ ORACLES = {
     "test_cohort": _all_of(
         "cohort", "metric_calc_start_date", "test_enroll_date", "start_feature_user"
     ),
+    "test_cohort_android": _all_of(
+        "cohort", "metric_calc_start_date", "test_enroll_date", "start_feature_user"
+    )
+    .replace("'hs_as' AS app_short", "'hs_gp' AS app_short")
+    .replace("WHERE u % 11 <> 0", "WHERE u % 11 <> 0 AND u % 5 = 0")
+    .replace("e % 17 <> 0", "e % 17 = 0"),
     "pre_period_covariate": _sql("SELECT * FROM prior"),
     "main_metrics_pivot": _sql(
         "SELECT main.* FROM main JOIN member ON member.event_user = main.event_user"
@@ -428,4 +434,7 @@ ORACLES = {
     "m3_dataset_shuffled": _M3_DATASET,
     "attempt_table": _ATTEMPTS,
     "dataset_table": _M3_DATASET,
+    "prepare_base": _BASE_KPIS,
+    "prepare_m3": _M3_KPIS,
+    "prepare_streak": _STREAK_KPIS,
 }

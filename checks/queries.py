@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trialmart.experiment import Experiment, experiment_lookup
+from trialmart.experiment import Experiment, Platform, experiment_lookup
 from trialmart.operators.attempts import ATTEMPT_COLUMNS, attempt_facts
 from trialmart.operators.cohort import (
     cohort_users,
@@ -36,12 +36,16 @@ from trialmart.plans.jobs import (
     cohort_user_days,
     create_dataset,
     gameplay_metrics,
+    prepare_base_metrics,
+    prepare_m3_metrics,
+    prepare_streak_metrics,
     verify_ab_exp,
 )
 from trialmart.plans.kpi import base_kpis, m3_kpis, streak_kpis
 from trialmart.session import configure
-from trialmart.sources.catalog import Source
+from trialmart.sources.catalog import CatalogSources, Source
 from trialmart.sources.derived import DerivedSources
+from trialmart.sources.sinks import replace_table
 
 EXPERIMENT = Experiment("T1")
 TIE_BREAKER = "event_id"
@@ -218,6 +222,40 @@ def _dataset_table(case: Case) -> DataFrame:
     )
 
 
+def _catalog(case: Case) -> CatalogSources:
+    """The sources saved under catalog names, as a deployment has them."""
+    schema, names = _saved_experiment(case).schema, {}
+    for source in (Source.AB_USERS, Source.AB_USERS_METRICS, Source.SESSIONS, Source.LEVELS):
+        names[source.value] = f"{schema}.src_{source.value}"
+        replace_table(case.sources.table(source), names[source.value])
+    return CatalogSources(case.spark, names)
+
+
+def _prepared(prepare: Callable[..., DataFrame], **settings) -> Callable[[Case], DataFrame]:
+    """The way users go: sources in a catalog, the dataset job, and a KPI table of what it saved."""
+
+    def build(case: Case) -> DataFrame:
+        sources = _catalog(case)
+        experiment = replace(_saved_experiment(case), owner=prepare.__name__)
+        create_dataset(sources, experiment, tie_breaker=TIE_BREAKER, **settings)
+        return prepare(sources, experiment)
+
+    return build
+
+
+def _android_cohort(case: Case) -> DataFrame:
+    """The same test on the other platform, with that platform's codes."""
+    experiment = replace(EXPERIMENT, platform=Platform.ANDROID)
+    enrolled = enrolled_users(case.sources.table(Source.AB_USERS), experiment)
+    return experiment_cohort(
+        enrolled,
+        case.sources.table(Source.SESSIONS),
+        experiment,
+        verify_ab_exp(case.sources, experiment),
+        broadcast_users=count_unique_users(enrolled) <= MAX_BROADCAST_ROWS,
+    )
+
+
 def _saved_experiment(case: Case) -> Experiment:
     """The experiment with a schema of its own, placed where all executors can write."""
     context = case.spark.sparkContext
@@ -236,6 +274,7 @@ _QUERIES: dict[str, Callable[[Case], DataFrame]] = {
     "session_segments": lambda case: session_segments(case.sessions),
     "session_snapshot": lambda case: session_snapshot(session_segments(case.sessions)),
     "test_cohort": lambda case: case.cohort,
+    "test_cohort_android": _android_cohort,
     "pre_period_covariate": lambda case: pre_period_covariate(case.metrics),
     "main_metrics_pivot": _main_metrics,
     "base_dataset": lambda case: case.base,
@@ -260,6 +299,11 @@ _QUERIES: dict[str, Callable[[Case], DataFrame]] = {
     "m3_dataset_shuffled": _shuffled_dataset,
     "attempt_table": _attempt_table,
     "dataset_table": _dataset_table,
+    "prepare_base": _prepared(prepare_base_metrics),
+    "prepare_m3": _prepared(prepare_m3_metrics, add_m3_metrics=True, need_calc_attempts=True),
+    "prepare_streak": _prepared(
+        prepare_streak_metrics, add_m3_metrics=True, need_calc_attempts=True
+    ),
 }
 
 

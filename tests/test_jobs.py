@@ -19,7 +19,7 @@ from trialmart import (
     verify_ab_exp,
 )
 from trialmart.session import sized_for
-from trialmart.sources.sinks import replace_days, replace_table
+from trialmart.sources.sinks import finished_table, replace_days, replace_table
 
 DAYS = [date(2024, 1, day) for day in range(1, 6)]
 SMALL = SF_DIR.replace("sf0.01", "sf0.001")
@@ -67,6 +67,28 @@ def test_a_failed_run_leaves_the_table_as_it_was(spark):
     assert mode.lower() == "static"
 
 
+def test_a_table_with_days_half_replaced_is_refused_until_they_are_written(spark, monkeypatch):
+    first = days_of(spark, (DAYS[0], 1), (DAYS[1], 2), (DAYS[2], 3))
+    replace_days(first, "days_d", "day", DAYS[0], DAYS[2])
+    assert finished_table(spark, "days_d").count() == 3
+
+    def lost(*_):
+        raise ConnectionError("lost")
+
+    new = days_of(spark, (DAYS[1], 9))
+    with monkeypatch.context() as patch:
+        patch.setattr("trialmart.sources.sinks._stored_days", lost)
+        with pytest.raises(ConnectionError):
+            replace_days(new, "days_d", "day", DAYS[1], DAYS[2])
+    # Day 2 is stale.
+    with pytest.raises(RuntimeError, match="2024-01-02/2024-01-03"):
+        finished_table(spark, "days_d")
+    with pytest.raises(ValueError, match="first write"):
+        replace_days(new, "days_d", "day", DAYS[1], DAYS[1])
+    replace_days(new, "days_d", "day", DAYS[1], DAYS[2])
+    assert rows(finished_table(spark, "days_d"), "day", "value") == [(DAYS[0], 1), (DAYS[1], 9)]
+
+
 def test_replace_table_replaces_rows_and_schema(spark):
     replace_table(days_of(spark, (DAYS[0], 1), (DAYS[1], 2)), "whole")
     table = replace_table(spark.createDataFrame([("x",)], "other string"), "whole")
@@ -170,6 +192,8 @@ def test_attempts_of_a_part_of_the_days_can_be_redone(spark, catalog):
     expected = QUERIES["cumulative_metrics"](spark, SMALL)
     found = found.withColumn("start_feature_user", F.col("start_feature_user").cast("string"))
     assert rows(found.select(*expected.columns)) == rows(expected)
+    chosen = calc_m3_metrics(*arguments, False, tie_breaker=TIE_BREAKER, cumulative=["wins"])
+    assert [name for name in chosen.columns if name.startswith("cum_user_")] == ["cum_user_wins"]
     partitions = spark.sql(f"SHOW PARTITIONS {experiment.attempts_table}").count()
     assert partitions == spark.table(experiment.attempts_table).select("date_attempt").distinct().count()
 

@@ -46,7 +46,7 @@ SPLIT_COINS = tuple(
     for coins in ("coins_spent", "real_coins_spent")
     for part in ("1att", "2plus_att", "superball")
 )
-# The 34 columns of the table, in order.
+# The 34 columns of the table, in order.
 ATTEMPT_COLUMNS = (
     "event_user",
     "abgroup",

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from trialmart.operators.user_days import FLAGS, MEASURES, USER_DAY, merged_measures
 
+# The prefix, and the metrics that get a running value unless others are asked for.
 CUMULATIVE_PREFIX = "cum_user_"
 CUMULATIVE_METRICS = (
     "attempts",

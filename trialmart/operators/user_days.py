@@ -10,7 +10,7 @@ from trialmart.operators.timeline import CELL, STUCK_ABOVE, WIN_STREAK_ABOVE
 
 USER_DAY = ("event_user", "abgroup", "n_day")
 
-# Output column -> attempt column it sums.
+# Output column -> attempt column it sums.
 SUMMED = {
     **{name: name for name in COINS},
     "pre_boosters": "pre_boosters",
@@ -22,7 +22,7 @@ SUMMED = {
     "cnt_lose_sb": "is_lose_sb",
     "cnt_get_sb": "is_get_sb",
 }
-# Whether any attempt of the day had the flag.
+# Whether any attempt of the day had the flag.
 FLAGS = (
     "churn_m3",
     "churn_m3_win",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import date
 
 from pyspark import StorageLevel
@@ -18,14 +19,19 @@ from trialmart.operators.cohort import (
 )
 from trialmart.operators.dataset import add_gameplay, base_dataset
 from trialmart.operators.monetisation import metrics_with_covariate
-from trialmart.operators.panel import cumulative_metrics, observed_days, user_day_panel
+from trialmart.operators.panel import (
+    CUMULATIVE_METRICS,
+    cumulative_metrics,
+    observed_days,
+    user_day_panel,
+)
 from trialmart.operators.skew import HOT_ROWS, HOT_SHARE, MAX_BROADCAST_ROWS
 from trialmart.operators.timeline import attempt_features
 from trialmart.operators.user_days import user_day_partials
 from trialmart.plans.kpi import base_kpis, m3_kpis, streak_kpis
 from trialmart.session import PLAN_CONF, session_conf, sized_for
 from trialmart.sources.catalog import Source, Sources
-from trialmart.sources.sinks import replace_days, replace_table
+from trialmart.sources.sinks import finished_table, replace_days, replace_table
 
 ATTEMPT_DAY = "date_attempt"
 
@@ -81,11 +87,13 @@ def gameplay_metrics(
     tie_breaker: str | None = None,
     hot_rows: int = HOT_ROWS,
     hot_share: float = HOT_SHARE,
+    cumulative: Sequence[str] = CUMULATIVE_METRICS,
 ) -> DataFrame:
     """Daily and cumulative gameplay metrics of every user on every observed day.
 
     Only attempts of the date range and of the given users take part, whatever
-    else the attempt table holds.
+    else the attempt table holds. ``cumulative`` names the daily metrics that
+    also get a running value.
     """
     broadcast_users = _settled(broadcast_users, users)
     attempts = attempts.filter(F.col(ATTEMPT_DAY).between(F.lit(start), F.lit(end)))
@@ -101,7 +109,8 @@ def gameplay_metrics(
     features = attempt_features(
         attempts, end, tie_breaker=tie_breaker, hot_rows=hot_rows, hot_share=hot_share
     )
-    return cumulative_metrics(user_day_panel(users, user_day_partials(features), days))
+    panel = user_day_panel(users, user_day_partials(features), days)
+    return cumulative_metrics(panel, cumulative)
 
 
 def calc_m3_metrics(
@@ -115,6 +124,7 @@ def calc_m3_metrics(
     broadcast_users: bool | None = None,
     tie_breaker: str | None = None,
     attempts_table: str | None = None,
+    cumulative: Sequence[str] = CUMULATIVE_METRICS,
 ) -> DataFrame:
     """Gameplay metrics from the experiment's attempt table, brought up to date first if asked."""
     broadcast_users = _settled(broadcast_users, users)
@@ -131,12 +141,13 @@ def calc_m3_metrics(
             attempts_table=attempts_table,
         )
     return gameplay_metrics(
-        sources.spark.table(attempts_table),
+        finished_table(sources.spark, attempts_table),
         users,
         start,
         end,
         broadcast_users=broadcast_users,
         tie_breaker=tie_breaker,
+        cumulative=cumulative,
     )
 
 
@@ -164,12 +175,14 @@ def create_dataset(
     dataset_table: str | None = None,
     attempts_table: str | None = None,
     max_broadcast_rows: int = MAX_BROADCAST_ROWS,
+    cumulative: Sequence[str] = CUMULATIVE_METRICS,
 ) -> DataFrame:
     """Build the user-by-day dataset of an experiment, save it, and return the saved table.
 
     ``add_m3_metrics`` adds the gameplay columns (72 in all instead of 20). They
     are computed from the experiment's attempt table, which
-    ``need_calc_attempts`` brings up to date first.
+    ``need_calc_attempts`` brings up to date first. Of the running values among
+    them, only those of the metrics in ``cumulative`` are computed.
     """
     dates = dates or verify_ab_exp(sources, experiment)
     enrolled = enrolled_users(sources.table(Source.AB_USERS), experiment)
@@ -204,6 +217,7 @@ def create_dataset(
                     broadcast_users=broadcast_users,
                     tie_breaker=tie_breaker,
                     attempts_table=attempts_table,
+                    cumulative=cumulative,
                 )
                 dataset = add_gameplay(dataset, gameplay)
                 attempts = sources.spark.table(attempts_table or experiment.attempts_table)

@@ -114,6 +114,7 @@ def _cumulative_means(*names: str) -> list[Mean]:
     return [Mean(f"cum_{name}", f"cum_user_{name}") for name in names]
 
 
+# Names and formulas of the KPI columns, here and below.
 BASE_TERMS = (
     Users("total_users"),
     Total("retained_users", "retained"),

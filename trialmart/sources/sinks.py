@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from trialmart.session import session_conf
 
+# Table property with the days that are being replaced.
+UNFINISHED = "trialmart.unfinished"
+
 
 def replace_table(df: DataFrame, table: str) -> DataFrame:
     """Write ``df`` as the whole content and schema of ``table``."""
@@ -21,7 +24,8 @@ def replace_days(df: DataFrame, table: str, day_column: str, start: date, end: d
 
     Days that ``df`` has rows for are swapped in by the write itself. Days of the
     range it has none for are dropped after the write has succeeded, so a failed
-    run never leaves fewer days than before.
+    run never leaves fewer days than before. Until both steps are done the table
+    carries a mark by which ``finished_table`` refuses it.
     """
     spark = df.sparkSession
     if not spark.catalog.tableExists(table):
@@ -30,6 +34,13 @@ def replace_days(df: DataFrame, table: str, day_column: str, start: date, end: d
     columns = spark.table(table).columns
     if set(columns) != set(df.columns):
         raise ValueError(f"{table} has other columns than the rows to write")
+    days = f"{start.isoformat()}/{end.isoformat()}"
+    unfinished = _unfinished_days(spark, table)
+    if unfinished:
+        first, last = unfinished.split("/")
+        if first < start.isoformat() or last > end.isoformat():
+            raise ValueError(f"{table}: first write the unfinished days {unfinished} again")
+    spark.sql(f"ALTER TABLE {table} SET TBLPROPERTIES ('{UNFINISHED}' = '{days}')")
 
     written = Observation()
     rows = df.select(*columns).observe(written, F.collect_set(day_column).alias("days"))
@@ -45,9 +56,23 @@ def replace_days(df: DataFrame, table: str, day_column: str, start: date, end: d
     if stale:
         specs = ", ".join(f"PARTITION ({day_column} = '{day}')" for day in stale)
         spark.sql(f"ALTER TABLE {table} DROP IF EXISTS {specs}")
+    spark.sql(f"ALTER TABLE {table} UNSET TBLPROPERTIES IF EXISTS ('{UNFINISHED}')")
+    return spark.table(table)
+
+
+def finished_table(spark: SparkSession, table: str) -> DataFrame:
+    """The table, or an error if replacing some of its days was broken off."""
+    unfinished = _unfinished_days(spark, table)
+    if unfinished:
+        raise RuntimeError(f"{table}: the days {unfinished} were not written to the end; run again")
     return spark.table(table)
 
 
+def _unfinished_days(spark: SparkSession, table: str) -> str | None:
+    properties = spark.sql(f"SHOW TBLPROPERTIES {table}").collect()
+    return {row["key"]: row["value"] for row in properties}.get(UNFINISHED)
+
+
 def _stored_days(spark: SparkSession, table: str) -> list[str]:
     partitions = spark.sql(f"SHOW PARTITIONS {table}").collect()
     return [row["partition"].split("=", 1)[1] for row in partitions]
