@@ -18,7 +18,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -195,9 +195,14 @@ class ToxicityModel:
     weights: np.ndarray = field(default_factory=lambda: np.array([-35.0]))
 
     def score(self, present: set[str]) -> float:
-        return float(sigmoid(self.weights[0] + sum(
-            w for word, w in zip(self.words, self.weights[1:], strict=True) if word in present
-        )))
+        known = self.by_word
+        return float(sigmoid(
+            self.weights[0] + sum(known[word] for word in sorted(present) if word in known)
+        ))
+
+    @cached_property
+    def by_word(self) -> dict[str, float]:
+        return dict(zip(self.words, self.weights[1:].tolist(), strict=True))
 
 
 def character_model(df: DataFrame, text_column: str = "text") -> np.ndarray:
