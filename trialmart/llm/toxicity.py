@@ -145,6 +145,8 @@ def decode(token: str, costs: np.ndarray) -> str:
 
 def restored(token: str, costs: np.ndarray) -> tuple[str, ...]:
     """Words a lower-cased token may be meant as: its letters if plain, else also the decoding."""
+    if token.isalpha() and not _RUN.search(token):
+        return (token,)
     plain = _PLAIN_ENDED.fullmatch(token)
     if plain and not _RUN.search(plain[1]):
         return (plain[1],)
@@ -164,11 +166,17 @@ class Restorer:
 
     def __init__(self, costs: np.ndarray, wanted: frozenset[str] | None = None):
         self.wanted = wanted
+        # Most words begin like no wanted one.
+        self.heads = wanted and {word.removeprefix("^")[: BEGINNINGS[0]] for word in wanted}
         self.words = lru_cache(maxsize=_CACHED_WORDS)(self._words)
         self.costs = costs
 
     def _words(self, token: str) -> tuple[str, ...]:
         found = restored(token, self.costs)
+        if self.heads is not None:
+            found = tuple([w for w in found if w[: BEGINNINGS[0]] in self.heads])
+            if not found:
+                return found
         found += tuple(["^" + w[:k] for w in found for k in BEGINNINGS if len(w) > k])
         if self.wanted is not None:
             found = tuple([word for word in found if word in self.wanted])
