@@ -271,7 +271,6 @@ def train(
         for batch in batches:
             for label, text in zip(batch.column(0).to_pylist(), texts_of(batch, 1), strict=True):
                 held[label > 0].update(restorer.restore(text))
-                held[label > 0][""] += 1
             if len(held[0]) + len(held[1]) > 2 * _CACHED_WORDS:
                 yield _count_rows(held)
                 held = Counter(), Counter()
@@ -280,10 +279,13 @@ def train(
     words = known.mapInArrow(count, "word string, clean long, toxic long")
     words = words.groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     # Toxic words only: the log-likelihood ratio of a word's two shares, the largest first.
-    totals = words.filter("word = ''").first()
-    if totals is None:
-        return ToxicityModel(costs.value)
+    # The two totals need no text: the scan reads ids alone.
+    totals = known.agg(
+        F.count_if(F.col("label") <= 0).alias("clean"), F.count_if(F.col("label") > 0).alias("toxic")
+    ).first()
     clean, toxic = float(totals["clean"]), float(totals["toxic"])
+    if not clean and not toxic:
+        return ToxicityModel(costs.value)
     if not clean or not toxic:
         edge = 35.0 if toxic else -35.0
         return ToxicityModel(costs.value, [], np.array([edge]))
@@ -293,7 +295,7 @@ def train(
         f" + if(clean = 0, 0, clean * ln(clean / ({clean} * {rate})))"
     )
     best = (
-        words.filter(f"word <> '' AND toxic >= {MIN_DOCUMENTS}")
+        words.filter(f"toxic >= {MIN_DOCUMENTS}")
         .filter(f"toxic / {toxic} > {MIN_RATIO} * clean / {clean}")
         .orderBy(gain.desc(), "word")
         .limit(features)
