@@ -202,15 +202,24 @@ def busy_levels():
     return levels
 
 
-@pytest.mark.parametrize("hot_rows, cell_seconds", [(100, 60), (4, 60), (150, 1), (100, 3600)])
-def test_cutting_hot_timelines_changes_nothing(spark, hot_rows, cell_seconds):
-    levels, names = busy_levels(), ("hot", "warm", "quiet")
+def one_moment(levels):
+    """The same attempts, those of the hot user all at one time."""
+    return [(*row[:3], at(4), *row[4:]) if row[1] == "hot" else row for row in levels]
+
+
+def untimed(levels):
+    return [(*row[:3], None, *row[4:]) if row[1] == "hot" else row for row in levels]
+
+
+@pytest.mark.parametrize("times", [list, one_moment, untimed])
+@pytest.mark.parametrize("hot_rows, cells", [(100, 3), (4, 50), (150, None)])
+def test_cutting_hot_timelines_changes_nothing(spark, times, hot_rows, cells):
+    levels, names = times(busy_levels()), ("hot", "warm", "quiet")
     whole = features_of(spark, levels, *names)
-    cut = features_of(
-        spark, levels, *names, hot_rows=hot_rows, hot_share=0.0, cell_seconds=cell_seconds
-    )
-    cells = cut.filter("event_user = 'hot'").select(CELL).distinct().count()
-    assert cells > 1 and whole.select(CELL).distinct().count() == 1
+    cut = features_of(spark, levels, *names, hot_rows=hot_rows, hot_share=0.0, cells=cells)
+    found = cut.filter("event_user = 'hot'").groupBy(CELL).count().collect()
+    assert len(found) > 1 and max(row["count"] for row in found) < 400
+    assert whole.select(CELL).distinct().count() == 1
     columns = [name for name in whole.columns if name != CELL]
     assert rows(cut, *columns) == rows(whole, *columns)
     assert rows(user_day_metrics(cut)) == rows(user_day_metrics(whole))

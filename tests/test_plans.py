@@ -147,13 +147,23 @@ def test_hot_keys_are_few_by_construction(spark):
     assert hot_keys(frame, "event_user") is None
 
 
-def test_hot_users_are_joined_without_moving_their_rows(spark):
+def test_hot_users_are_joined_in_parts(spark):
     frame = hot_frame(spark)
     users = frame.select("event_user").distinct().filter("event_user <> 'u5'")
     joined = join_users(frame, users, broadcast_users=False, hot_rows=50, hot_share=0.0)
     assert rows(joined) == rows(frame.join(users, "event_user"))
-    hot_part = plan_of(joined).split("SortMergeJoin")[0]
-    assert "BroadcastHashJoin" in hot_part
+    moved = [re.sub(r"#\d+L?", "", e) for e in exchanges(plan_of(joined))]
+    assert moved.count("hashpartitioning(event_user, salt, 4)") == 2
+
+
+def test_large_cohorts_read_attempts_once_and_move_no_payload(saved):
+    for options in ({}, {"hot_rows": 50, "hot_share": 0.0}):
+        plan = saved_plan = plan_of(facts_of(saved, broadcast_users=False, **options))
+        assert len(re.findall(r"FileScan parquet [^\n]*event_payload", plan)) == 1
+        assert plan.count("from_json") == 1
+        # What lies above the first shuffle of the attempts never names the payload.
+        above = saved_plan.split("from_json")[0].rsplit("Exchange", 1)[0]
+        assert "event_payload" not in above
 
 
 def test_metrics_join_gives_the_same_rows_for_every_strategy(spark, saved):

@@ -87,7 +87,8 @@ def attempt_facts(
     """Attempts of cohort users from their first feature day on.
 
     One scan covers the whole inclusive date range. The payload is parsed once
-    per row, after the join and the day filter. ``tie_breaker`` names a unique
+    per row: after the join and the day filter where the facts stay in place, before
+    the shuffle otherwise, so that it moves as a few typed columns. ``tie_breaker`` names a unique
     column of ``levels`` to carry along, so that attempts with equal
     ``client_time`` have a defined order later.
     """
@@ -104,15 +105,19 @@ def attempt_facts(
         "event_payload",
         *carried,
     )
+    parse = json_texts("event_payload", PAYLOAD_KEYS)
+    if not broadcast_users:
+        in_range = _typed(in_range.withColumn("payload", parse))
     joined = join_users(
         in_range, users, broadcast_users=broadcast_users, hot_rows=hot_rows, hot_share=hot_share
     )
+    present = joined.withColumn(
+        "n_day", F.datediff("date_attempt", "start_feature_user") + 1
+    ).filter(F.col("n_day") > 0)
+    if broadcast_users:
+        present = _typed(present.withColumn("payload", parse))
     return (
-        joined.withColumn("n_day", F.datediff("date_attempt", "start_feature_user") + 1)
-        .filter(F.col("n_day") > 0)
-        .withColumn("payload", json_texts("event_payload", PAYLOAD_KEYS))
-        .select("*", *_payload_columns())
-        .withColumns(
+        present.withColumns(
             {
                 "influence": flag(loose_bool(F.col("influence"))),
                 "is_win": flag(F.col("reason") == WIN_REASON),
@@ -125,6 +130,10 @@ def attempt_facts(
     )
 
 
+def _typed(parsed: DataFrame) -> DataFrame:
+    return parsed.select("*", *_payload_columns()).drop("payload", "event_payload")
+
+
 def _text(key: str) -> Column:
     return F.col("payload").getField(key)
 

@@ -11,9 +11,13 @@ MAX_BROADCAST_ROWS = 1_000_000
 
 # A key is hot when it holds more than this many rows and more than this share
 # of all rows. By the share, fewer than 1 / HOT_SHARE keys can be hot, whatever
-# the data; that bound is what allows the list of them to be fetched.
+# the data; that bound is what allows the list of them to be fetched. Up to 10^12
+# rows the number of rows alone decides.
 HOT_ROWS = 1_000_000
-HOT_SHARE = 1e-5
+HOT_SHARE = 1 / MAX_BROADCAST_ROWS
+
+# Parts that a hot user's rows are dealt to, where they must be shuffled.
+SALTS = 64
 
 
 def hot_keys(
@@ -52,15 +56,24 @@ def join_users(
     """Inner join of a large fact table with one row per user.
 
     With a small user side the facts never move. Otherwise both sides are
-    shuffled, except for the facts of hot users: those stay where they are and
-    meet a broadcast of just the hot users' rows.
+    shuffled by user and a salt, in one pass over the facts. The salt is 0 but
+    for hot users, whose facts are dealt to ``SALTS`` parts by their content,
+    each of which meets a copy of the user's row.
     """
     if broadcast_users:
         return facts.join(F.broadcast(users), key)
     hot = hot_keys(facts, key, hot_rows, hot_share)
     if hot is None:
         return facts.join(users, key)
-    hot = F.broadcast(hot)
-    of_hot_users = facts.join(F.broadcast(users.join(hot, key, "left_semi")), key)
-    of_others = facts.join(hot, key, "left_anti").join(users, key)
-    return of_hot_users.unionByName(of_others)
+    hot = F.broadcast(hot.withColumn("is_hot", F.lit(True)))
+    content = F.pmod(F.xxhash64(*facts.columns), F.lit(SALTS)).cast("int")
+    every = F.sequence(F.lit(0), F.lit(SALTS - 1))
+    salted_facts = facts.join(hot, key, "left").withColumn(
+        "salt", F.when(F.col("is_hot"), content).otherwise(F.lit(0))
+    )
+    salted_users = users.join(hot, key, "left").withColumn(
+        "salt", F.explode(F.when(F.col("is_hot"), every).otherwise(F.array(F.lit(0))))
+    )
+    # Stated, so that the join never settles on clustering facts by user alone.
+    salted_users = salted_users.drop("is_hot").repartition(key, "salt")
+    return salted_facts.drop("is_hot").join(salted_users, [key, "salt"]).drop("salt")

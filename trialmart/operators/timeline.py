@@ -2,10 +2,11 @@
 
 Each attempt looks at the one before and the one after it, over the user's whole
 timeline. A window per user does that, but would put all attempts of one user in
-one task. The timelines of hot users are therefore cut into short time cells: the
-window runs inside each cell, and the first and last attempt of a cell get their
-missing neighbour from the adjoining cells' edge rows. An hour of play has at
-most 60 edges however many attempts it holds, so the edge rows stay few.
+one task. The timelines of hot users are therefore cut into cells, which are ranges
+of the very order the window uses: the window runs inside each cell, and the first
+and last attempt of a cell get their missing neighbour from the adjoining cells'
+edge rows. Attempts of one moment, or without a time, are cut like any others; only
+rows equal in the whole order stay together.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import date
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,9 +29,6 @@ WIN_STREAK_ABOVE = {"is_5plus_ws": 4, "is_10plus_ws": 9, "is_20plus_ws": 19, "is
 STUCK_ABOVE = {"is_stucked": 20, "is_super_stucked": 40}
 
 CELL = "timeline_cell"
-CELL_SECONDS = 60
-# Attempts without a time sort first, so they form the first cell.
-UNTIMED_CELL = -(2**62)
 
 # Without a unique tie-breaker, attempts of the same moment are ordered by what
 # the features read from them; rows that agree on all of it are interchangeable.
@@ -53,12 +52,13 @@ def attempt_features(
     tie_breaker: str | None = None,
     hot_rows: int = HOT_ROWS,
     hot_share: float = HOT_SHARE,
-    cell_seconds: int = CELL_SECONDS,
+    cells: int | None = None,
 ) -> DataFrame:
     """Attempts with churn, win-streak, superball and stuck flags.
 
     The result carries the column ``timeline_cell``; it is 0 unless the user is
-    hot, and ``user_day_partials`` aggregates within it.
+    hot, and ``user_day_partials`` aggregates within it. All hot users together
+    are cut into ``cells`` ranges, by default as many as a shuffle has partitions.
     """
     if not isinstance(attempts.schema["client_time"].dataType, T.TimestampType | T.TimestampNTZType):
         raise TypeError("client_time must be a timestamp: times as text have no definite order")
@@ -67,7 +67,7 @@ def attempt_features(
     if hot is None:
         linked = _neighbours(attempts.withColumn(CELL, F.lit(0).cast("long")), ["event_user"], order)
     else:
-        linked = _neighbours_across_cells(attempts, hot, order, cell_seconds)
+        linked = _neighbours_across_cells(attempts, hot, order, cells)
     return _features(linked, end)
 
 
@@ -82,30 +82,25 @@ def _neighbours(attempts: DataFrame, timeline: Sequence[str], order: Sequence[st
     )
 
 
-def _seconds(df: DataFrame, column: str) -> Column:
-    """Seconds on a scale that never runs backwards, whatever the session's time zone."""
-    time = F.col(column)
-    if df.schema[column].dataType == T.TimestampType():
-        return F.unix_seconds(time)
-    time = time.cast("timestamp_ntz")
-    days = F.datediff(time, F.lit(date(1970, 1, 1))).cast("long")
-    return ((days * 24 + F.hour(time)) * 60 + F.minute(time)) * 60 + F.second(time)
-
-
 def _neighbours_across_cells(
-    attempts: DataFrame, hot: DataFrame, order: Sequence[str], cell_seconds: int
+    attempts: DataFrame, hot: DataFrame, order: Sequence[str], cells: int | None
 ) -> DataFrame:
-    cell = F.floor(_seconds(attempts, "client_time") / cell_seconds)
-    is_hot = F.col("is_hot").isNotNull()
-    celled = (
-        attempts.join(F.broadcast(hot.withColumn("is_hot", F.lit(True))), "event_user", "left")
-        .withColumn(CELL, F.when(is_hot, F.coalesce(cell, F.lit(UNTIMED_CELL))).otherwise(F.lit(0)))
+    hot = F.broadcast(hot)
+    cells = cells or int(attempts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Kept, so that edges and attempts see the same ranges and a lost part is dealt out by
+    # the same bounds again. Given a number, the adaptive planner leaves the partitions alone.
+    ranged = (
+        attempts.join(hot, "event_user", "left_semi")
+        .repartitionByRange(cells, "event_user", *order)
+        .withColumn(CELL, F.spark_partition_id().cast("long") + 1)
+        .persist(StorageLevel.DISK_ONLY)
     )
+    others = attempts.join(hot, "event_user", "left_anti")
+    celled = others.withColumn(CELL, F.lit(0).cast("long")).unionByName(ranged)
     position = F.struct(*order)
     cell_order = Window.partitionBy("event_user").orderBy(CELL)
     edges = (
-        celled.filter(is_hot)
-        .groupBy("event_user", CELL)
+        ranged.groupBy("event_user", CELL)
         .agg(
             F.min_by(F.struct("client_time", "is_superball"), position).alias("first"),
             F.max_by(F.struct("levels_winstreak"), position).alias("last"),
@@ -141,7 +136,7 @@ def _neighbours_across_cells(
                 ).otherwise(F.col("prev_winstreak")),
             }
         )
-        .drop("is_hot", "after", "before", "opens_cell", "closes_cell")
+        .drop("after", "before", "opens_cell", "closes_cell")
     )
 
 
