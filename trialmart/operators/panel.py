@@ -39,13 +39,14 @@ def observed_days(attempts: DataFrame) -> DataFrame:
 def user_day_panel(users: DataFrame, user_days: DataFrame, days: DataFrame) -> DataFrame:
     """One row per user and observed day; measures are 0 on days without attempts.
 
-    Users and their partial measures are put in one relation and shuffled once by
-    user. Only then does each user's own row unfold into the days, so the dense
-    panel itself is never shuffled, and the running metrics that follow find it
-    clustered as they need it. Measures of users outside ``users`` are dropped.
+    Partial measures come clustered by user; users are dealt out the same way and
+    put in one relation with them. Only then does each user's own row unfold into
+    the days, so neither the measures nor the dense panel are shuffled, and the
+    running metrics that follow find it clustered as they need it. Measures of users
+    outside ``users`` are dropped.
     """
     members = users.select("event_user", "abgroup", "start_feature_user", F.lit(True).alias("is_member"))
-    together = user_days.unionByName(members, allowMissingColumns=True).repartition("event_user")
+    together = user_days.unionByName(members.repartition("event_user"), allowMissingColumns=True)
     day = F.when(F.col("is_member"), days.scalar()).otherwise(F.array("n_day"))
     return (
         together.withColumn("n_day", F.explode(day))

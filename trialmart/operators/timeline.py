@@ -14,7 +14,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import date
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,6 +21,7 @@ from pyspark.sql import types as T
 from trialmart.functions import flag
 from trialmart.operators.attempts import split_coins
 from trialmart.operators.skew import HOT_ROWS, HOT_SHARE, hot_keys
+from trialmart.session import stored
 
 # Fixed values of the metric definitions.
 CHURN_GAP_DAYS = 7
@@ -29,6 +29,8 @@ WIN_STREAK_ABOVE = {"is_5plus_ws": 4, "is_10plus_ws": 9, "is_20plus_ws": 19, "is
 STUCK_ABOVE = {"is_stucked": 20, "is_super_stucked": 40}
 
 CELL = "timeline_cell"
+# Metadata of the cell column where timelines were cut: attempts are not clustered by user alone.
+CUT = "cut"
 
 # Without a unique tie-breaker, attempts of the same moment are ordered by what
 # the features read from them; rows that agree on all of it are interchangeable.
@@ -87,16 +89,16 @@ def _neighbours_across_cells(
 ) -> DataFrame:
     hot = F.broadcast(hot)
     cells = cells or int(attempts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # Kept, so that edges and attempts see the same ranges and a lost part is dealt out by
-    # the same bounds again. Given a number, the adaptive planner leaves the partitions alone.
-    ranged = (
+    # Stored, because the bounds are drawn from a sample: edges and attempts must see the same
+    # ranges. Given a number, the adaptive planner leaves the partitions alone.
+    ranged = stored(
         attempts.join(hot, "event_user", "left_semi")
         .repartitionByRange(cells, "event_user", *order)
         .withColumn(CELL, F.spark_partition_id().cast("long") + 1)
-        .persist(StorageLevel.DISK_ONLY)
     )
     others = attempts.join(hot, "event_user", "left_anti")
     celled = others.withColumn(CELL, F.lit(0).cast("long")).unionByName(ranged)
+    celled = celled.withMetadata(CELL, {CUT: True})
     position = F.struct(*order)
     cell_order = Window.partitionBy("event_user").orderBy(CELL)
     edges = (

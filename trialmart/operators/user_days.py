@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trialmart.operators.attempts import COINS, SPLIT_COINS
-from trialmart.operators.timeline import CELL, STUCK_ABOVE, WIN_STREAK_ABOVE
+from trialmart.operators.timeline import CELL, CUT, STUCK_ABOVE, WIN_STREAK_ABOVE
 
 USER_DAY = ("event_user", "abgroup", "n_day")
 
@@ -42,10 +42,10 @@ def user_day_partials(features: DataFrame) -> DataFrame:
     """Measures per user, day and timeline cell.
 
     This needs no shuffle: the features are already clustered by user and cell.
-    For ordinary users the result is final, for hot ones it is a small remainder
-    that is still to be merged.
+    Unless timelines were cut, the result is final and clustered by user. Otherwise
+    the small remainder that is still to be merged moves to its user.
     """
-    return (
+    partials = (
         features.groupBy("event_user", CELL, "abgroup", "n_day")
         .agg(
             F.count(F.lit(1)).alias("attempts"),
@@ -54,6 +54,7 @@ def user_day_partials(features: DataFrame) -> DataFrame:
         )
         .drop(CELL)
     )
+    return partials.repartition("event_user") if features.schema[CELL].metadata.get(CUT) else partials
 
 
 def merged_measures() -> list:

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterator, Mapping
 from contextlib import contextmanager
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Several steps are clustered by user and then join on user, day and group. A
 # user has at most one row per day by then, so clustering by user alone is
-# balanced, and both sides of such a join can stay where they are.
+# balanced, and both sides of such a join can stay where they are. The panel's union
+# keeps the clustering that both its sides have.
 PLAN_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.requireAllClusterKeysForCoPartition": "false",
+    "spark.sql.unionOutputPartitioning": "true",
 }
 
 SHUFFLE_PARTITIONS = "spark.sql.shuffle.partitions"
@@ -55,3 +58,17 @@ def sized_for(
     wanted = max(int(spark.conf.get(SHUFFLE_PARTITIONS)), -(-rows // rows_per_task))
     with session_conf(spark, {SHUFFLE_PARTITIONS: str(wanted)}):
         yield
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The rows of ``df``, written to the folder all executors share and read from there."""
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not context.master.startswith("local") or context.master.startswith("local-"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+            folder = tempfile.mkdtemp(prefix="trialmart-")
+        context.setCheckpointDir(folder)
+    return df.checkpoint()
