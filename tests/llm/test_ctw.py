@@ -89,6 +89,16 @@ def test_scores_equal_the_recursive_definition(llm, depth):
         assert got[i] == pytest.approx(plain.score(stream), rel=1e-5)
 
 
+@pytest.mark.parametrize("max_nodes", [1, 20, 100])
+def test_nodes_that_are_not_broadcast_are_looked_up(llm, max_nodes):
+    df = llm.createDataFrame(list(enumerate(TEXTS)), "doc_id int, text string")
+    found = score_documents(df, trains=F.col("doc_id") != 2, depth=2, max_nodes=max_nodes)
+    streams = [text_bytes(lower_words(text)) for text in TEXTS]
+    plain = Plain(streams[:2] + streams[3:], 2)
+    for row in found.collect():
+        assert row["score"] == pytest.approx(plain.score(streams[row["doc_id"]]), rel=1e-5)
+
+
 def test_base_and_counts_equal_brute_force_however_words_are_looked_up(llm, small):
     docs = llm.read.parquet(f"{small}/documents.parquet").collect()
     held = {r["doc_id"]: zlib.crc32(str(r["doc_id"]).encode()) % 7 == 2 for r in docs}

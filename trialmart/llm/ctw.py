@@ -7,9 +7,9 @@ Krichevsky-Trofimov counts; nodes of all depths are mixed with the weights of co
 weighting, computed bottom-up from the counts of the whole training corpus by grouped
 aggregations, one per depth. Predictions are then propagated top-down and frozen for scoring.
 
-Of each depth at most ``MAX_NODES`` nodes are broadcast, whatever the corpus: all, or those visited
-at least 2, 4, 8 ... times. Elsewhere the deepest node that is broadcast predicts. The weights
-themselves cover all nodes.
+Of each depth at most ``MAX_NODES`` nodes are broadcast: all, or those visited at least 2, 4, 8 ...
+times. They are a cache only. Where a deeper node may exist that is not among them, the distinct
+grams are looked up by a join with the stored nodes, so scores do not depend on the bound.
 
 The unigram baseline needs the exact count of every word. Words that make up over
 1 / ``MAX_HOT_WORDS`` of the corpus (so at most that many) are looked up in place, the others joined.
@@ -45,6 +45,8 @@ _BYTES_AT_ONCE = 1 << 22
 _GRAMS_AT_ONCE = 1 << 21
 _REMEMBERED = 1 << 22
 _WORDS_AT_ONCE = 400_000
+# Bounds of a probability, as single precision has them.
+_LEAST_P, _MOST_P = float(np.float32(1e-7)), float(np.float32(1 - 1e-7))
 
 
 def text_bytes(words: list[bytes]) -> bytes:
@@ -153,7 +155,7 @@ def tree_levels(grams: DataFrame, depth: int) -> list[DataFrame]:
         F.sum(F.col("n") - ones).alias("n0"), F.sum(ones).alias("n1")
     )
     estimate = _log_estimate(F.col("n0"), F.col("n1"))
-    levels = [saved(level.withColumn("pe", estimate).withColumn("pw", F.col("pe")))]
+    levels = [saved(level.withColumn("pw", estimate))]
     for d in range(depth - 1, -1, -1):
         parent = F.col("node").bitwiseAND((1 << (8 * d + 8)) - 1)
         level = levels[-1].groupBy(parent.alias("node")).agg(
@@ -167,9 +169,9 @@ def tree_levels(grams: DataFrame, depth: int) -> list[DataFrame]:
     levels.reverse()
     predicted: list[DataFrame] = []
     for d, level in enumerate(levels):
-        own = F.least(F.lit(1.0), F.exp(F.col("pe") - F.col("pw") - math.log(2)))
-        if d == depth:
-            own = F.lit(1.0)
+        own = F.lit(1.0)
+        if d < depth:
+            own = F.least(own, F.exp(F.col("pe") - F.col("pw") - math.log(2)))
         here = (F.col("n1") + 0.5) / (F.col("n0") + F.col("n1") + 1)
         if d:
             above = predicted[-1].select(
@@ -183,14 +185,12 @@ def tree_levels(grams: DataFrame, depth: int) -> list[DataFrame]:
             before, weight = F.lit(0.0), F.lit(1.0)
         total = before + weight * own * here
         rest = weight * (1 - own)
-        predicted.append(
-            saved(
-                level.select(
-                    "node", "n0", "n1", total.alias("sum"), rest.alias("rest"),
-                    (total + rest * here).alias("p"),
-                )
-            )
+        level = level.select(
+            "node", "n0", "n1", total.alias("sum"), rest.alias("rest"),
+            (total + rest * here).alias("p"),
         )
+        # Nothing is below the deepest nodes that would need their sum.
+        predicted.append(saved(level if d < depth else level.drop("sum")))
     return [level.select("node", "n0", "n1", "p", "rest") for level in predicted]
 
 
@@ -200,10 +200,33 @@ class ByteModel:
 
     nodes: list[np.ndarray]
     ones: list[np.ndarray]
+    #: Depths that have further nodes, which are only stored.
+    cut: list[int]
 
     def gram_logs(self, grams: np.ndarray) -> np.ndarray:
         """log10 probability of the last byte of each gram, given the bytes before it."""
-        logs = np.zeros(len(grams))
+        return self.look_up(grams)[0]
+
+    def look_up(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same by the nodes at hand, and for which grams the stored ones may know better."""
+        logs, is_open = np.zeros(len(grams)), np.zeros(len(grams), dtype=bool)
+        deepest = max(self.cut, default=-1)
+        for bit, _, p, depth in self._steps(grams):
+            logs += np.log10(np.where(bit == 1, p, 1 - p))
+            is_open |= depth < deepest
+        return logs, is_open
+
+    def missing(self, grams: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, tuple]]:
+        """Bit number, depth, places of grams, and their ``node, bit, p`` to ask the stored nodes."""
+        for i, (bit, node, p, depth) in enumerate(self._steps(grams)):
+            for d in self.cut:
+                at = np.flatnonzero(depth < d)
+                if len(at):
+                    wanted = node[at] & ((1 << (8 * d + 8)) - 1)
+                    yield i, d, at, (wanted, bit[at].astype(np.int64), p[at])
+
+    def _steps(self, grams: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        """Per bit its value, its deepest node, the probability of a 1 and the depth it is from."""
         byte = grams & np.uint64(255)
         context = grams >> np.uint64(8)
         for i in range(8):
@@ -212,6 +235,7 @@ class ByteModel:
                 (context << np.uint64(8)) | np.uint64(1 << i) | (byte >> np.uint64(8 - i))
             ).astype(np.int64)
             p = np.full(len(grams), 0.5)
+            depth = np.full(len(grams), -1)
             left = np.arange(len(grams))
             for d in range(len(self.nodes) - 1, -1, -1):
                 known = self.nodes[d]
@@ -221,9 +245,9 @@ class ByteModel:
                 at = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
                 hit = known[at] == wanted
                 p[left[hit]] = self.ones[d][at[hit]]
+                depth[left[hit]] = d
                 left = left[~hit]
-            logs += np.log10(np.where(bit == 1, p, 1 - p))
-        return logs
+            yield bit, node, p, depth
 
 
 class ByteScorer:
@@ -234,8 +258,10 @@ class ByteScorer:
         self.depth = len(model.nodes) - 1
         self.grams = np.empty(0, np.uint64)
         self.logs = np.empty(0)
+        self.open = np.empty(0, dtype=bool)
 
-    def score(self, streams: list[bytes]) -> np.ndarray:
+    def score(self, streams: list[bytes]) -> tuple[np.ndarray, pa.Array]:
+        """Scores by the nodes at hand, and each text's ``gram, n`` still to be looked up."""
         keys, starts = gram_keys(streams, self.depth)
         grams, inverse = np.unique(keys, return_inverse=True)
         at = np.searchsorted(self.grams, grams)
@@ -243,30 +269,87 @@ class ByteScorer:
             new = self.grams[np.minimum(at, len(self.grams) - 1)] != grams
         else:
             new = np.ones(len(grams), dtype=bool)
-        logs = np.empty(len(grams))
-        logs[~new] = self.logs[at[~new]]
-        logs[new] = self.model.gram_logs(grams[new])
+        logs, is_open = np.empty(len(grams)), np.empty(len(grams), dtype=bool)
+        logs[~new], is_open[~new] = self.logs[at[~new]], self.open[at[~new]]
+        logs[new], is_open[new] = self.model.look_up(grams[new])
         if len(self.grams) + new.sum() > _REMEMBERED:
-            self.grams, self.logs = grams, logs
+            self.grams, self.logs, self.open = grams, logs, is_open
         elif new.any():
             self.grams = np.insert(self.grams, at[new], grams[new])
             self.logs = np.insert(self.logs, at[new], logs[new])
-        return np.add.reduceat(logs[inverse], starts)
+            self.open = np.insert(self.open, at[new], is_open[new])
+        place = np.flatnonzero(is_open[inverse])
+        stream = np.searchsorted(starts, place, side="right") - 1
+        pairs, n = np.unique(stream * len(grams) + inverse[place], return_counts=True)
+        offsets = np.searchsorted(pairs, np.arange(len(starts) + 1) * len(grams))
+        values = pa.StructArray.from_arrays(
+            [pa.array(grams[pairs % len(grams)].view(np.int64)), pa.array(n, pa.int64())],
+            ["gram", "n"],
+        )
+        found = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
+        return np.add.reduceat(logs[inverse], starts), found
 
 
 def train_bytes(texts: DataFrame, depth: int = DEPTH, max_nodes: int = MAX_NODES) -> ByteModel:
     """The frozen model of all rows of the one column ``text``."""
+    return _train(texts, depth, max_nodes)[0]
+
+
+def _train(texts: DataFrame, depth: int, max_nodes: int) -> tuple[ByteModel, dict[int, DataFrame]]:
+    """The model, and by depth the stored ``node, p`` that it is without."""
     grams = saved(gram_counts(texts, depth))
-    nodes, ones = [], []
-    for level in tree_levels(grams, depth):
+    nodes, ones, others = [], [], {}
+    for d, level in enumerate(tree_levels(grams, depth)):
         # At most max_nodes rows of twelve bytes.
-        kept = level.filter(F.col("n0") + F.col("n1") >= _least_visits(level, max_nodes))
+        least = _least_visits(level, max_nodes)
+        often = F.col("n0") + F.col("n1") >= least
+        kept = level.filter(often)
+        if least > 1:
+            others[d] = level.filter(~often).select("node", "p")
         table = kept.select("node", F.col("p").cast("float").alias("p")).toArrow()
         node, p = (np.asarray(table.column(i).combine_chunks()) for i in range(2))
         order = np.argsort(node)
         nodes.append(node[order].astype(np.int64))
-        ones.append(np.clip(p[order], 1e-7, 1 - 1e-7).astype(np.float32))
-    return ByteModel(nodes, ones)
+        ones.append(np.clip(p[order], _LEAST_P, _MOST_P).astype(np.float32))
+    return ByteModel(nodes, ones, list(others)), others
+
+
+def _corrections(grams: DataFrame, shared, others: dict[int, DataFrame]) -> DataFrame:
+    """``gram, more``: what the stored nodes add to the log10 that the broadcast ones give.
+
+    Only for distinct ``grams`` of which the tree has a node that is not broadcast.
+    """
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value[0]
+        for batch in batches:
+            keys = batch.column(0).to_numpy(zero_copy_only=False)
+            for step, depth, at, (node, bit, p) in model.missing(keys.view(np.uint64)):
+                same = np.ones(len(at), dtype=np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(keys[at]), pa.array(step * same), pa.array(depth * same),
+                        pa.array(node), pa.array(bit), pa.array(p),
+                    ],
+                    ["gram", "step", "depth", "node", "bit", "before"],
+                )
+
+    asked = grams.mapInArrow(
+        ask, "gram long, step int, depth int, node long, bit long, before double"
+    )
+    stored = None
+    for d, level in others.items():
+        single = F.col("p").cast("float").cast("double")
+        exact = F.greatest(F.lit(_LEAST_P), F.least(F.lit(_MOST_P), single))
+        level = level.select(F.lit(d).alias("depth"), "node", exact.alias("p"))
+        stored = level if stored is None else stored.unionByName(level)
+    best = asked.join(stored, ["node", "depth"]).groupBy("gram", "step").agg(
+        F.max_by("p", "depth").alias("p"), F.first("bit").alias("bit"),
+        F.first("before").alias("before"),
+    )
+    of_bit = [F.when(F.col("bit") == 1, F.col(c)).otherwise(1 - F.col(c)) for c in ("p", "before")]
+    more = F.log10(of_bit[0]) - F.log10(of_bit[1])
+    return best.groupBy("gram").agg(F.sum(more).alias("more"))
 
 
 def _least_visits(level: DataFrame, max_nodes: int) -> int:
@@ -335,11 +418,12 @@ def score_documents(
     total, types = row[0] or 0, row[1]
     often = F.col("c") * max_hot_words > total
     hot = {bytes(r["word"]): r["c"] for r in counts.filter(often).collect()}
-    model = train_bytes(learned, depth, max_nodes)
+    model, others = _train(learned, depth, max_nodes)
     # Both have a fixed bound: max_hot_words words, and max_nodes nodes per depth.
     shared = spark.sparkContext.broadcast((model, hot))
     floor = math.log10(1 / (total + types + 1))
     rare = T.StructType([T.StructField("word", T.BinaryType()), T.StructField("n", T.LongType())])
+    gram = T.StructType([T.StructField("gram", T.LongType()), T.StructField("n", T.LongType())])
     schema = T.StructType(
         [
             T.StructField("row", T.LongType()),
@@ -351,6 +435,7 @@ def score_documents(
             T.StructField("score", T.DoubleType()),
             T.StructField("n_bytes", T.LongType()),
             T.StructField("rare", T.ArrayType(rare)),
+            T.StructField("open", T.ArrayType(gram)),
         ]
     )
     rare_type = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
@@ -372,6 +457,7 @@ def score_documents(
                     at += 1
                 part = batch.slice(begin, at - begin)
                 columns = list(zip(*sums, strict=True))
+                scores, is_open = scorer.score(streams)
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(3), part.column(1), part.column(2),
@@ -379,9 +465,10 @@ def score_documents(
                         pa.array(columns[1], pa.int64()),
                         pa.array(columns[2], pa.float64()),
                         pa.array(columns[3], pa.int64()),
-                        pa.array(scorer.score(streams), pa.float64()),
+                        pa.array(scores, pa.float64()),
                         pa.array([len(s) for s in streams], pa.int64()),
                         _rare_lists(columns[4], rare_type),
+                        is_open,
                     ],
                     schema.names,
                 )
@@ -395,11 +482,25 @@ def score_documents(
         .join(counts.filter(~often), "word")
     )
     weight = F.log10((F.col("c") + 1) / F.lit(float(total + types + 1)))
-    sums = joined.groupBy("row").agg(
-        F.sum("n").alias("rare_known"), F.sum(F.col("n") * weight).alias("rare_score")
+    parts = joined.select(
+        "row", "n", (F.col("n") * weight).alias("log"), F.lit(0.0).alias("more")
+    )
+    if others:
+        opened = scanned.select("row", F.explode("open").alias("g")).select("row", "g.*")
+        exact = _corrections(opened.select("gram").distinct(), shared, others)
+        parts = parts.unionByName(
+            opened.join(exact, "gram").select(
+                "row", F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("log"),
+                (F.col("n") * F.col("more")).alias("more"),
+            )
+        )
+    sums = parts.groupBy("row").agg(
+        F.sum("n").alias("rare_known"), F.sum("log").alias("rare_score"),
+        F.sum("more").alias("more"),
     )
+    score = F.col("score") + F.coalesce(F.col("more"), F.lit(0.0))
     found = F.coalesce(F.col("rare_known"), F.lit(0))
-    return scanned.drop("rare").join(sums, "row", "left").select(
+    return scanned.drop("rare", "open").join(sums, "row", "left").select(
         "doc_id",
         "trains",
         "n_tokens",
@@ -410,9 +511,9 @@ def score_documents(
             + F.coalesce(F.col("rare_score"), F.lit(0.0))
             + (F.col("n_rare") - found) * F.lit(floor)
         ).alias("base_score"),
-        "score",
+        score.alias("score"),
         "n_bytes",
-        (F.col("score") * F.lit(-math.log2(10)) / F.col("n_bytes")).alias("bits_per_byte"),
+        (score * F.lit(-math.log2(10)) / F.col("n_bytes")).alias("bits_per_byte"),
     )
 
 
