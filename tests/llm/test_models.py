@@ -151,6 +151,18 @@ def test_spaced_words_are_joined(costs):
     assert "idiot" in toxicity.Restorer(costs).restore("1 d i 0 t")
 
 
+@pytest.mark.parametrize(
+    "text", ["a i d i o t", "y o u   i d i o t", "y o u i d i o t", "y o u   a i d i o t", "a 1 d i 0 t"]
+)
+def test_runs_of_several_words_are_parted(costs, text):
+    assert "idiot" in toxicity.Restorer(costs).restore(f"well, {text}")
+
+
+@pytest.mark.parametrize("token", ["stuupid", "stuupid,", "stuupid!", "Stuupid"])
+def test_doubled_letters_are_decoded_beside_the_plain_reading(costs, token):
+    assert {"stupid", "stuupid"} <= toxicity.Restorer(costs).restore(token)
+
+
 def test_toxicity_of_held_out_documents(llm):
     sf_dir = "/root/testdata/sf0.1"
     labels = llm.read.parquet(f"{sf_dir}/labels.parquet")

@@ -1,9 +1,9 @@
 """Toxicity after noisy-channel deobfuscation.
 
-Every word that is not plain letters is decoded: the lattice of what its characters may stand for
+Every word that is not plain letters, or that has a doubled letter, is decoded: the lattice of what its characters may stand for
 (look-alike letters, repeated letters, characters put in between) is searched by Viterbi under a
 character language model learned from the corpus. Runs of single characters are joined and decoded
-as one word. The restored words are scored by a logistic regression over those words and beginnings
+as one word and, with the gaps as possible word breaks, as several; wide gaps also split them. The restored words are scored by a logistic regression over those words and beginnings
 of words (for inflected and compound forms) that tell toxic from other labelled documents best.
 
 Defined results: null and empty texts get the score of a text without any telling word; without
@@ -57,6 +57,8 @@ _SYMBOLS = 28
 _EDGE, _OTHER = 0, 27
 _PLAIN = re.compile(r"[^\W\d_]+")
 _RUN = re.compile(r"(.)\1\1")
+_DOUBLE = re.compile(r"(.)\1")
+_WIDE = re.compile(r"[ \t]{2,}|\t")
 _SINGLES = re.compile(r"(?<!\S)\S(?:[ \t]+\S(?!\S)){2,}")
 # A plain word, perhaps with marks after it that stand for no letter.
 _PLAIN_ENDED = re.compile(r"([^\W\d_]+)[.,;:?*#%&)\]'\"-]*")
@@ -105,8 +107,11 @@ def character_costs(counts: np.ndarray) -> np.ndarray:
     return -np.log(p3)
 
 
-def decode(token: str, costs: np.ndarray) -> str:
-    """The likeliest intended word of a lower-cased token."""
+def decode(token: str, costs: np.ndarray, breaks: bool = False) -> str:
+    """The likeliest intended word of a lower-cased token.
+
+    With ``breaks`` words may also end between characters; they are parted by spaces.
+    """
     # State: last two symbols and the last character as it was written -> cost, word so far.
     states: dict[tuple[int, int, str], tuple[float, str]] = {(_EDGE, _EDGE, ""): (0.0, "")}
     for character in token:
@@ -120,7 +125,19 @@ def decode(token: str, costs: np.ndarray) -> str:
             if known is None or (cost, word) < known:
                 after[state] = cost, word
 
-        for (first, second, written), (cost, word) in states.items():
+        sources = list(states.items())
+        if breaks:
+            ended: dict[tuple[int, int, str], tuple[float, str]] = {}
+            for (first, second, _), (cost, word) in sources:
+                if second:
+                    offer(
+                        (second, _EDGE, ""),
+                        cost + float(costs[first, second, _EDGE]),
+                        word + " ",
+                        ended,
+                    )
+            sources += ended.items()
+        for (first, second, written), (cost, word) in sources:
             for meant, extra in options:
                 s = symbol(meant)
                 offer(
@@ -143,19 +160,26 @@ def decode(token: str, costs: np.ndarray) -> str:
     return min(ends)[1]
 
 
+def readings(word: str, costs: np.ndarray) -> tuple[str, ...]:
+    """A word of letters as it is, and its decoding if a letter is doubled."""
+    if not _DOUBLE.search(word):
+        return (word,)
+    return tuple(dict.fromkeys((word, decode(word, costs))))
+
+
 def restored(token: str, costs: np.ndarray) -> tuple[str, ...]:
     """Words a lower-cased token may be meant as: its letters if plain, else also the decoding."""
     if token.isalpha() and not _RUN.search(token):
-        return (token,)
+        return readings(token, costs)
     plain = _PLAIN_ENDED.fullmatch(token)
     if plain and not _RUN.search(plain[1]):
-        return (plain[1],)
+        return readings(plain[1], costs)
     core = token.strip("".join(c for c in set(token) if not c.isalnum()))
     if _PLAIN.fullmatch(core) and not _RUN.search(core):
         edges = token.replace(core, "", 1)
         if not any(c in LOOK_ALIKES for c in edges):
-            return (core,)
-        return tuple(dict.fromkeys((core, decode(token, costs))))
+            return readings(core, costs)
+        return tuple(dict.fromkeys((*readings(core, costs), decode(token, costs))))
     if not any(c.isalpha() or c in LOOK_ALIKES for c in token):
         return ()
     return tuple(dict.fromkeys(filter(None, (decode(token, costs), decode(core, costs)))))
@@ -169,6 +193,7 @@ class Restorer:
         # Most words begin like no wanted one.
         self.heads = wanted and {word.removeprefix("^")[: BEGINNINGS[0]] for word in wanted}
         self.words = lru_cache(maxsize=_CACHED_WORDS)(self._words)
+        self.parted = lru_cache(maxsize=_CACHED_WORDS)(self._parted)
         self.costs = costs
 
     def _words(self, token: str) -> tuple[str, ...]:
@@ -182,13 +207,20 @@ class Restorer:
             found = tuple([word for word in found if word in self.wanted])
         return found
 
+    def _parted(self, run: str) -> list[str]:
+        """Words of joined single characters, the gaps between them taken as possible breaks."""
+        return decode(run, self.costs, breaks=True).split()
+
     def restore(self, text: str | None) -> set[str]:
         if not text:
             return set()
         lower = text.lower()
         tokens = set(lower.split())
         for run in _SINGLES.findall(lower):
-            tokens.add("".join(run.split()))
+            parts = ["".join(part.split()) for part in _WIDE.split(run)]
+            for joined in {"".join(parts), *parts}:
+                tokens.add(joined)
+                tokens.update(self.parted(joined))
         found: set[str] = set()
         for words in map(self.words, tokens):
             if words:
