@@ -1,0 +1,142 @@
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+import zlib
+from fractions import Fraction
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tests.llm.conftest import LONG
+from trialmart.llm import queries, runs
+
+
+def brute(x):
+    """Runs by trying every period at every place."""
+    found, n = set(), len(x)
+    for q in range(1, n // 4 + 1):
+        i = 0
+        while i + q < n:
+            j = i
+            while j + q < n and x[j] == x[j + q]:
+                j += 1
+            length = j + q - i
+            if j > i and length >= max(6, 4 * q):
+                piece = x[i : i + length]
+                smaller = any(
+                    all(piece[k] == piece[k + r] for k in range(length - r)) for r in range(1, q)
+                )
+                if not smaller:
+                    found.add((i, length, q))
+            i = max(j, i + 1)
+    return sorted(found, key=lambda run: (run[0], run[2]))
+
+
+def test_runs_of_random_sequences():
+    chance = random.Random(5)
+    for _ in range(400):
+        x = []
+        while len(x) < chance.choice([5, 40, 200]):
+            piece = [chance.randrange(chance.choice([2, 3, 50])) for _ in range(chance.randint(1, 30))]
+            x += piece * chance.choice([1, 1, 3, 4, 5, 9]) + piece[: chance.randint(0, len(piece))]
+        assert runs.find_runs(np.array(x)) == brute(x), x
+
+
+@pytest.mark.parametrize("period", [*range(1, 40), 63, 64, 65, 127, 128, 129, 300])
+def test_shortest_runs_of_each_period(period):
+    length = max(6, 4 * period)
+    lead = list(range(1000, 1013))
+    x = lead + [i % period for i in range(length)] + list(range(2000, 2007))
+    assert runs.find_runs(np.array(x)) == [(13, length, period)]
+    short = lead + [i % period for i in range(length - 1)] + list(range(2000, 2007))
+    assert runs.find_runs(np.array(short)) == []
+
+
+def test_words_with_a_period_inside_a_period():
+    # The period holds a repetition of its own, and one word in it occurs many times.
+    piece = [1, 1, 1, 1, 1, 1, 1, 2, 1, 1, 1, 1, 1, 1, 3]
+    x = piece * 6
+    assert runs.find_runs(np.array(x)) == brute(x)
+    words = [1, 2] * 5 + [1, 3]
+    assert runs.find_runs(np.array(words * 7)) == brute(words * 7)
+
+
+def test_every_run_drops_its_words():
+    words = b"a b a b a b a b x".split()
+    found = runs.find_runs(np.array([0, 1, 0, 1, 0, 1, 0, 1, 2]))
+    assert found == [(0, 8, 2)]
+    assert runs.collapse(words, found) == [b"a", b"b", b"x"]
+
+
+def test_a_very_long_document():
+    text = " ".join(f"w{i % 7919}" for i in range(300_000))
+    ((found,),) = [runs._group_runs([text.encode().split()])]
+    assert found == [(0, 300_000, 7919)]
+
+
+def test_awkward_rows(awkward):
+    rows = runs.periodic_runs(awkward).collect()
+    assert len(rows) == awkward.count()
+    texts = awkward.select("doc_id", "text").collect()
+    by_text = {(r.doc_id, r.text) for r in texts}
+    for doc_id, text in by_text:
+        same = [r for r in rows if r.doc_id == doc_id]
+        assert same
+        if not text or not text.strip():
+            assert any(r.runs == [] and r.collapsed == "" for r in same)
+    long = next(r for r in rows if r.doc_id == 8)
+    assert [tuple(r) for r in long.runs] == [(0, len(LONG.split()), 977)]
+    assert len(long.collapsed.split()) == 977
+    assert runs.periodic_runs(awkward.limit(0)).collect() == []
+
+
+def test_strongest_run(llm):
+    rows = [([(0, 8, 2), (3, 16, 4), (9, 9, 2)],), ([(0, 8, 2), (3, 16, 4)],), ([],)]
+    df = llm.createDataFrame(rows, f"runs {runs.RUN_TYPE}")
+    found = [r[0] for r in df.select(runs.strongest(F.col("runs"))).collect()]
+    assert [f and tuple(f) for f in found] == [(9, 9, 2), (0, 8, 2), None]
+
+
+def expected(doc_id, text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    n = len(words)
+    h = None if doc_id is None else zlib.crc32(str(doc_id).encode())
+    if h is not None and h % 10 == 0 and n:
+        g = h // 10
+        a = g % n
+        p = 1 + (n - a) // (3 + g % 8)
+        words = [words[i if i < a else a + (i - a) % p] for i in range(n)]
+    found = brute(words)
+    dropped = {i for s, length, q in found for i in range(s + q, s + length)}
+    best = min(found, key=lambda r: (-Fraction(r[1], r[2]), r[0], r[2])) if found else None
+    lines = "".join(f"{s},{length},{q}\n" for s, length, q in found)
+    kept = " ".join(w for i, w in enumerate(words) if i not in dropped)
+    return (
+        doc_id, len(found), *(best or (None,) * 3), 1000 * best[1] // best[2] if best else None,
+        hashlib.sha256(lines.encode()).hexdigest(), hashlib.sha256(kept.encode()).hexdigest(),
+    )
+
+
+def test_query_equals_brute_force(llm, tmp_path):
+    chance = random.Random(3)
+    rows = []
+    for doc_id in [*range(160), None, -7]:
+        words = [f"w{chance.randrange(chance.choice([3, 60]))}" for _ in range(chance.randint(0, 160))]
+        if chance.random() < 0.3:
+            words += words[-9:] * 5
+        rows.append((doc_id, chance.choice([" ", "\n", "\x0b\t", "  "]).join(words), "en"))
+    rows += [(501, None, None), (502, "", "de"), rows[3], (503, "\xa0  é é é é é é é", "fr")]
+    llm.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(
+        f"{tmp_path}/documents.parquet"
+    )
+    found = queries.op12_runs(llm, str(tmp_path)).select(
+        "doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256",
+        "collapsed_sha256",
+    )
+    key = lambda row: tuple(str(v) for v in row)
+    wanted = sorted((expected(i, text) for i, text, _ in rows), key=key)
+    assert sorted(map(tuple, found.collect()), key=key) == wanted
+    assert sum(row[1] for row in wanted) > 20

@@ -7,11 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialmart.llm import ctw, decontaminate, language, mixing, packing, quality, rules, simhash
+from trialmart.llm import (
+    ctw,
+    decontaminate,
+    language,
+    mixing,
+    packing,
+    quality,
+    rules,
+    runs,
+    simhash,
+    urls,
+)
 from trialmart.llm import toxicity as toxic
-from trialmart.llm import urls
 from trialmart.llm.scratch import ship_package
-from trialmart.llm.words import fold
+from trialmart.llm.words import WORD, fold
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -97,10 +107,44 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _repeating(doc_id: F.Column, text: F.Column) -> F.Column:
+    """The text, in a tenth of the documents with its later words repeating the same few."""
+    chance = F.crc32(doc_id.cast("string").cast("binary"))
+    g = F.floor(chance / 10)
+    words = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+    n = F.size(words).cast("long")
+    first = g % n
+    period = F.floor((n - first) / (g % 8 + 3)) + 1
+    repeated = F.transform(
+        words, lambda word, i: F.get(words, F.when(i < first, i).otherwise(
+            first + (i - first) % period
+        ).cast("int"))
+    )
+    return F.when((chance % 10 == 0) & (n > 0), F.array_join(repeated, " ")).otherwise(text)
+
+
+def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents").select(
+        "doc_id", _repeating(F.col("doc_id"), F.col("text")).alias("text")
+    )
+    found = runs.periodic_runs(documents).withColumn("best", runs.strongest(F.col("runs")))
+    best = F.col("best")
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        best["start"].alias("start"),
+        best["length"].alias("length"),
+        best["period"].alias("period"),
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(runs.run_lines(F.col("runs")), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
     for query in (
         op1_simhash, op2_mixing, op3_urls, op4_ctw, op5_packing, op6_language, op7_toxicity,
-        op8_rules, op9_decontamination, op10_quality,
+        op8_rules, op9_decontamination, op10_quality, op12_runs,
     )
 }
