@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from trialmart.llm import (
     ctw,
     decontaminate,
+    extract,
     language,
     mixing,
     packing,
@@ -141,10 +142,15 @@ def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = extract.main_texts(_table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
     for query in (
         op1_simhash, op2_mixing, op3_urls, op4_ctw, op5_packing, op6_language, op7_toxicity,
-        op8_rules, op9_decontamination, op10_quality, op12_runs,
+        op8_rules, op9_decontamination, op10_quality, op12_runs, op13_html,
     )
 }
