@@ -32,12 +32,12 @@ from itertools import groupby
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trialmart.llm.markup import APART, MAIN_LINE, Line, page_lines
-from trialmart.llm.scratch import saved
+from trialmart.llm.scratch import placed, saved
 from trialmart.llm.urls import host_of, path_of
 
 # Neighbours asked on either side, and how far to look for those that are no copies.
@@ -218,17 +218,7 @@ def _numbered(described: DataFrame) -> DataFrame:
     order = ["host", "path", "k1", "k2"]
     ordered = described.dropDuplicates(["k1", "k2"]).repartitionByRange(*order)
     stored = saved(ordered.sortWithinPartitions(*order))
-    part = F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("long")
-    rows = stored.select("*", part.alias("part"), F.col("_metadata.row_index").alias("row"))
-    # One row for each written file.
-    counts = rows.groupBy("part").agg(F.max("row").alias("last"))
-    before = F.sum(F.col("last") + 1).over(
-        Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    starts = counts.select("part", F.coalesce(before, F.lit(0)).alias("start"))
-    return rows.join(F.broadcast(starts), "part").select(
-        *described.columns, (F.col("start") + F.col("row")).alias("place")
-    )
+    return placed(stored)
 
 
 def _compared(table: pa.Table, block: int, block_pages: int) -> pa.Table:

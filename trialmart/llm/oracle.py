@@ -7,6 +7,7 @@ ids are beyond SQL.
 from __future__ import annotations
 
 from trialmart.llm.mixing import BUDGET, EPOCHS, WEIGHTS
+from trialmart.llm.negatives import HIGH, LOW, NEGATIVES, POSITIVES
 from trialmart.llm.rules import (
     BOILERPLATE,
     MAX_REPEAT_PERCENT,
@@ -164,4 +165,32 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM docs LEFT JOIN found USING (r) LEFT JOIN covered USING (r)
 """
 
-ORACLES = {"op2_mixing": _OP2, "op8_rules": _OP8, "op9_decontamination": _OP9}
+_OP11 = f"""
+WITH vectors AS (
+    SELECT row_number() OVER () AS r, vec_id,
+        CASE WHEN vec_id % 7 = 0 THEN (CAST(label AS BIGINT) + 1) % 10 ELSE label END AS label,
+        list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+    FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scores AS (
+    SELECT a.r AS anchor, a.vec_id AS anchor_id, b.r, b.vec_id, a.label = b.label AS same,
+        CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+    FROM vectors a, vectors b WHERE a.vec_id % 100 = 0
+), positives AS (
+    SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id) AS place
+    FROM scores WHERE same AND r <> anchor QUALIFY place <= {POSITIVES}
+)
+SELECT p.anchor_id, p.vec_id AS positive_id,
+    CAST(row_number() OVER (
+        PARTITION BY p.anchor, p.r ORDER BY n.score DESC, n.vec_id
+    ) AS INTEGER) AS rank,
+    n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM positives p JOIN scores n ON n.anchor = p.anchor AND NOT n.same
+    AND {LOW} * p.score <= 100 * n.score AND 100 * n.score <= {HIGH} * p.score
+QUALIFY rank <= {NEGATIVES}
+"""
+
+ORACLES = {
+    "op2_mixing": _OP2, "op8_rules": _OP8, "op9_decontamination": _OP9, "op11_negatives": _OP11,
+}

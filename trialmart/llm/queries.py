@@ -13,6 +13,7 @@ from trialmart.llm import (
     extract,
     language,
     mixing,
+    negatives,
     packing,
     quality,
     rules,
@@ -108,6 +109,14 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.col("label").cast("long")
+    rows = _table(spark, sf_dir, "embeddings").withColumn(
+        "label", F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)
+    )
+    return negatives.hard_negatives(rows, anchor=F.col("vec_id") % 100 == 0, scale=256)
+
+
 def _repeating(doc_id: F.Column, text: F.Column) -> F.Column:
     """The text, in a tenth of the documents with its later words repeating the same few."""
     chance = F.crc32(doc_id.cast("string").cast("binary"))
@@ -151,6 +160,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
     for query in (
         op1_simhash, op2_mixing, op3_urls, op4_ctw, op5_packing, op6_language, op7_toxicity,
-        op8_rules, op9_decontamination, op10_quality, op12_runs, op13_html,
+        op8_rules, op9_decontamination, op10_quality, op11_negatives,
+        op12_runs, op13_html,
     )
 }

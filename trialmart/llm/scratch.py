@@ -7,7 +7,8 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 import trialmart
 
@@ -36,6 +37,27 @@ def saved(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def placed(stored: DataFrame) -> DataFrame:
+    """Number the rows of a table just saved, in the order they were written: ``place``, from 0.
+
+    Ranges written by ``repartitionByRange`` and ``sortWithinPartitions`` are so numbered in their
+    order over all tasks. Only the row count of each written file is gathered.
+    """
+    part = F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("long")
+    rows = stored.select(
+        "*", part.alias("_part"), F.col("_metadata.file_name").alias("_file"),
+        F.col("_metadata.row_index").alias("_row"),
+    )
+    files = rows.groupBy("_part", "_file").agg(F.max("_row").alias("_last"))
+    before = F.sum(F.col("_last") + 1).over(
+        Window.orderBy("_part", "_file").rowsBetween(Window.unboundedPreceding, -1)
+    )
+    starts = files.select("_file", F.coalesce(before, F.lit(0)).alias("_start"))
+    return rows.join(F.broadcast(starts), "_file").select(
+        *stored.columns, (F.col("_start") + F.col("_row")).alias("place")
+    )
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the executors, once per application, where it is not installed."""
     context = spark.sparkContext
