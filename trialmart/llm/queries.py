@@ -121,16 +121,21 @@ def _repeating(doc_id: F.Column, text: F.Column) -> F.Column:
     """The text, in a tenth of the documents with its later words repeating the same few."""
     chance = F.crc32(doc_id.cast("string").cast("binary"))
     g = F.floor(chance / 10)
+
+    def repeat(words: F.Column) -> F.Column:
+        n = F.size(words)
+        first = (g % n).cast("int")
+        period = F.floor((n - first) / (g % 8 + 3)).cast("int") + 1
+        times = F.ceil((n - first) / period).cast("int")
+        piece = F.slice(words, first + 1, period)
+        later = F.slice(F.flatten(F.array_repeat(piece, times)), F.lit(1), n - first)
+        return F.array_join(F.concat(F.slice(words, F.lit(1), first), later), " ")
+
+    # A lambda binds the words, which are otherwise cut once for every mention.
     words = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
-    n = F.size(words).cast("long")
-    first = g % n
-    period = F.floor((n - first) / (g % 8 + 3)) + 1
-    repeated = F.transform(
-        words, lambda word, i: F.get(words, F.when(i < first, i).otherwise(
-            first + (i - first) % period
-        ).cast("int"))
-    )
-    return F.when((chance % 10 == 0) & (n > 0), F.array_join(repeated, " ")).otherwise(text)
+    repeated = F.get(F.transform(F.array(words), repeat), 0)
+    some = F.regexp_like(text, F.lit(WORD))
+    return F.when((chance % 10 == 0) & some, repeated).otherwise(text)
 
 
 def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
