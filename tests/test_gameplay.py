@@ -1,5 +1,7 @@
 import json
+import os
 from datetime import date, datetime, timedelta
+from urllib.parse import urlparse
 
 import pytest
 from conftest import rows
@@ -13,9 +15,11 @@ from trialmart.operators.panel import (
     observed_days,
     user_day_panel,
 )
-from trialmart.operators.timeline import CELL, attempt_features
+from trialmart.operators.skew import hot_key_rows
+from trialmart.operators.timeline import CELL, PLACE, attempt_features, cut_timelines
 from trialmart.operators.user_days import MEASURES, user_day_metrics, user_day_partials
 from trialmart.plans.jobs import gameplay_metrics
+from trialmart.session import session_conf, temporary_tables
 from trialmart.sources.catalog import Source
 from trialmart.sources.derived import DerivedSources
 
@@ -339,3 +343,38 @@ def test_times_as_text_are_refused(spark):
     attempts = spark.createDataFrame([("u", "2024-01-01 10:00")], "event_user string, client_time string")
     with pytest.raises(TypeError, match="timestamp"):
         attempt_features(attempts, None)
+
+
+@pytest.mark.parametrize("partitions", ["1", "64"])
+@pytest.mark.parametrize("times", [list, one_moment, untimed])
+def test_no_cell_is_larger_than_a_task_should_hold(spark, times, partitions):
+    levels = times(busy_levels())
+    # Attempts that are equal in the order, and some in every column, are cut as well.
+    levels += levels[:30] * 6
+    facts = facts_of(spark, levels, "hot", "warm", "quiet", tie_breaker=None)
+    with session_conf(spark, {"spark.sql.shuffle.partitions": partitions}):
+        cut = attempt_features(facts, END, hot_rows=40, hot_share=0.0)
+        sizes = cut.filter(F.col(CELL) > 0).groupBy("event_user", CELL).count().collect()
+        found = rows(user_day_metrics(cut))
+    assert sum(row["count"] for row in sizes) == 400 + 180 + 120
+    assert max(row["count"] for row in sizes) <= 40
+    assert found == rows(user_day_metrics(attempt_features(facts, END)))
+
+
+def test_cells_are_ranges_of_the_order(spark):
+    facts = facts_of(spark, busy_levels(), "hot", "warm", "quiet")
+    hot = hot_key_rows(facts, "event_user", 100, 0.0)
+    cut = cut_timelines(facts, hot, ["client_time", "event_id"], 30)
+    found = sorted((r.event_user, r.event_id, r[CELL], r[PLACE]) for r in cut.collect())
+    in_order = [(user, cell, place) for user, _, cell, place in found]
+    assert in_order == sorted(in_order) and len({place for *_, place in found}) == 520
+    assert {row.event_user: row.key_rows for row in hot.collect()} == {"hot": 400, "warm": 120}
+
+
+def test_stored_timelines_are_removed_with_their_block(spark):
+    facts = facts_of(spark, busy_levels(), "hot", "warm", "quiet")
+    with temporary_tables(spark):
+        cut = attempt_features(facts, END, tie_breaker="event_id", hot_rows=100, hot_share=0.0)
+        files = [path for path in cut.inputFiles() if "trialmart-" in path]
+        assert files and all(os.path.exists(urlparse(path).path) for path in files)
+    assert not any(os.path.exists(urlparse(path).path) for path in files)

@@ -204,6 +204,16 @@ def test_hot_timelines_are_clustered_by_user_and_cell(saved):
     assert moved[0] == "hashpartitioning(event_user, timeline_cell, 4)"
 
 
+def test_cut_and_whole_timelines_meet_without_a_shuffle(saved):
+    cut = attempt_features(
+        facts_of(saved), END, tie_breaker=TIE_BREAKER, hot_rows=50, hot_share=0.0
+    )
+    above = plan_of(user_day_partials(cut)).split("Union", 1)[0]
+    # Only user-days move, to their user; edges are looked up for cut timelines alone.
+    assert [re.sub(r"#\d+L?", "", e) for e in exchanges(above)] == ["hashpartitioning(event_user, 4)"]
+    assert "SortMergeJoin" not in above
+
+
 def test_large_cohorts_have_no_broadcast_of_users(saved):
     facts = facts_of(saved, broadcast_users=False)
     assert "Broadcast" not in plan_of(facts)

@@ -20,10 +20,10 @@ HOT_SHARE = 1 / MAX_BROADCAST_ROWS
 SALTS = 64
 
 
-def hot_keys(
+def hot_key_rows(
     df: DataFrame, key: str, hot_rows: int = HOT_ROWS, hot_share: float = HOT_SHARE
 ) -> DataFrame | None:
-    """The keys that hold too many rows for one task, or None if there are none.
+    """The keys that hold too many rows for one task with their ``key_rows``, or None.
 
     The counts are combined map-side and read only the key column. Fewer than
     ``1 / hot_share`` keys can pass the cutoff, so the result is small by
@@ -38,12 +38,19 @@ def hot_keys(
         .groupBy(key)
         .agg(F.count(F.lit(1)).alias("key_rows"))
         .filter(F.col("key_rows") > cutoff)
-        .select(key)
     )
     found = keys.collect()
     return df.sparkSession.createDataFrame(found, keys.schema) if found else None
 
 
+def hot_keys(
+    df: DataFrame, key: str, hot_rows: int = HOT_ROWS, hot_share: float = HOT_SHARE
+) -> DataFrame | None:
+    """The keys that hold too many rows for one task, or None if there are none."""
+    found = hot_key_rows(df, key, hot_rows, hot_share)
+    return None if found is None else found.select(key)
+
+
 def join_users(
     facts: DataFrame,
     users: DataFrame,

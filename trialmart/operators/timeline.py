@@ -5,8 +5,12 @@ timeline. A window per user does that, but would put all attempts of one user in
 one task. The timelines of hot users are therefore cut into cells, which are ranges
 of the very order the window uses: the window runs inside each cell, and the first
 and last attempt of a cell get their missing neighbour from the adjoining cells'
-edge rows. Attempts of one moment, or without a time, are cut like any others; only
-rows equal in the whole order stay together.
+edge rows.
+
+How many ranges are written follows from the counted rows, and a cell is a number of
+successive rows of a written range; so no cell is larger than a task should hold, whatever
+the session's settings and however the sampled bounds of the ranges turned out. Attempts of
+one moment, without a time, or equal in the whole order are cut like any others.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ from pyspark.sql import types as T
 
 from trialmart.functions import flag
 from trialmart.operators.attempts import split_coins
-from trialmart.operators.skew import HOT_ROWS, HOT_SHARE, hot_keys
+from trialmart.operators.skew import HOT_ROWS, HOT_SHARE, hot_key_rows
 from trialmart.session import stored
 
 # Fixed values of the metric definitions.
@@ -29,6 +33,7 @@ WIN_STREAK_ABOVE = {"is_5plus_ws": 4, "is_10plus_ws": 9, "is_20plus_ws": 19, "is
 STUCK_ABOVE = {"is_stucked": 20, "is_super_stucked": 40}
 
 CELL = "timeline_cell"
+PLACE = "timeline_place"
 # Metadata of the cell column where timelines were cut: attempts are not clustered by user alone.
 CUT = "cut"
 
@@ -59,17 +64,17 @@ def attempt_features(
     """Attempts with churn, win-streak, superball and stuck flags.
 
     The result carries the column ``timeline_cell``; it is 0 unless the user is
-    hot, and ``user_day_partials`` aggregates within it. All hot users together
-    are cut into ``cells`` ranges, by default as many as a shuffle has partitions.
+    hot, and ``user_day_partials`` aggregates within it. A cell has at most ``hot_rows``
+    attempts; all hot users together are cut into no less than ``cells`` ranges.
     """
     if not isinstance(attempts.schema["client_time"].dataType, T.TimestampType | T.TimestampNTZType):
         raise TypeError("client_time must be a timestamp: times as text have no definite order")
     order = ("client_time", *([tie_breaker] if tie_breaker else CONTENT_ORDER))
-    hot = hot_keys(attempts, "event_user", hot_rows, hot_share)
+    hot = hot_key_rows(attempts, "event_user", hot_rows, hot_share)
     if hot is None:
         linked = _neighbours(attempts.withColumn(CELL, F.lit(0).cast("long")), ["event_user"], order)
     else:
-        linked = _neighbours_across_cells(attempts, hot, order, cells)
+        linked = _neighbours_across_cells(attempts, hot, order, hot_rows, cells or 1)
     return _features(linked, end)
 
 
@@ -84,28 +89,49 @@ def _neighbours(attempts: DataFrame, timeline: Sequence[str], order: Sequence[st
     )
 
 
-def _neighbours_across_cells(
-    attempts: DataFrame, hot: DataFrame, order: Sequence[str], cells: int | None
+def cut_timelines(
+    attempts: DataFrame, hot: DataFrame, order: Sequence[str], cell_rows: int, ranges: int = 1
 ) -> DataFrame:
-    hot = F.broadcast(hot)
-    cells = cells or int(attempts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # Stored, because the bounds are drawn from a sample: edges and attempts must see the same
-    # ranges. Given a number, the adaptive planner leaves the partitions alone.
+    """The attempts of hot users, stored in order, with the cell each lies in and its place.
+
+    hot: ``event_user, key_rows``. A range is written by one task, so there are enough of them
+    for twice the rows; cells are cut from the files as they were written.
+    """
+    total = hot.agg(F.sum("key_rows")).first()[0]
+    ranges = max(ranges, -(-2 * total // cell_rows))
+    # Rows equal in the whole order are told apart by their other columns, to be cut as well.
+    full_order = ["event_user", *order, F.xxhash64(*attempts.columns)]
     ranged = stored(
-        attempts.join(hot, "event_user", "left_semi")
-        .repartitionByRange(cells, "event_user", *order)
-        .withColumn(CELL, F.spark_partition_id().cast("long") + 1)
+        attempts.join(F.broadcast(hot.select("event_user")), "event_user", "left_semi")
+        # Given a number, the adaptive planner leaves the partitions alone.
+        .repartitionByRange(ranges, *full_order)
+        .sortWithinPartitions(*full_order)
+    )
+    part = F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("long")
+    # Files hold no more than 2^40 rows, and there are no more than 2^22 of them.
+    position = part * (1 << 40) + F.col("_metadata.row_index")
+    within = F.col("_metadata.row_index") % cell_rows
+    return ranged.select("*", (position - within + 1).alias(CELL), position.alias(PLACE))
+
+
+def _neighbours_across_cells(
+    attempts: DataFrame, hot: DataFrame, order: Sequence[str], cell_rows: int, ranges: int
+) -> DataFrame:
+    ranged = cut_timelines(attempts, hot, order, cell_rows, ranges)
+    # Their cell is 0, but no literal: the planner would leave that out of the clustering, and the
+    # union below keeps a clustering only if it is the same on both sides.
+    others = (
+        attempts.join(F.broadcast(hot), "event_user", "left")
+        .filter(F.col("key_rows").isNull())
+        .withColumn(CELL, F.coalesce("key_rows", F.lit(0)))
+        .drop("key_rows")
     )
-    others = attempts.join(hot, "event_user", "left_anti")
-    celled = others.withColumn(CELL, F.lit(0).cast("long")).unionByName(ranged)
-    celled = celled.withMetadata(CELL, {CUT: True})
-    position = F.struct(*order)
     cell_order = Window.partitionBy("event_user").orderBy(CELL)
     edges = (
         ranged.groupBy("event_user", CELL)
         .agg(
-            F.min_by(F.struct("client_time", "is_superball"), position).alias("first"),
-            F.max_by(F.struct("levels_winstreak"), position).alias("last"),
+            F.min_by(F.struct("client_time", "is_superball"), PLACE).alias("first"),
+            F.max_by(F.struct("levels_winstreak"), PLACE).alias("last"),
         )
         .select(
             "event_user",
@@ -116,15 +142,16 @@ def _neighbours_across_cells(
         # Stated, so that the join never settles on clustering attempts by user alone.
         .repartition("event_user", CELL)
     )
-    in_cell = Window.partitionBy("event_user", CELL).orderBy(*order)
-    linked = _neighbours(celled, ["event_user", CELL], order).withColumns(
+    timeline = ["event_user", CELL]
+    in_cell = Window.partitionBy(*timeline).orderBy(*order)
+    within = _neighbours(ranged, timeline, order).withColumns(
         {
             "opens_cell": F.lag(F.lit(1)).over(in_cell).isNull(),
             "closes_cell": F.lead(F.lit(1)).over(in_cell).isNull(),
         }
     )
-    return (
-        linked.join(edges, ["event_user", CELL], "left")
+    across = (
+        within.join(edges, timeline, "left")
         .withColumns(
             {
                 "next_time": F.when(F.col("closes_cell"), F.col("after.client_time")).otherwise(
@@ -138,8 +165,10 @@ def _neighbours_across_cells(
                 ).otherwise(F.col("prev_winstreak")),
             }
         )
-        .drop("after", "before", "opens_cell", "closes_cell")
+        .drop("after", "before", "opens_cell", "closes_cell", PLACE)
     )
+    linked = _neighbours(others, timeline, order).unionByName(across)
+    return linked.withMetadata(CELL, {CUT: True})
 
 
 def _when_else_zero(condition: Column, value: Column) -> Column:

@@ -29,7 +29,7 @@ from trialmart.operators.skew import HOT_ROWS, HOT_SHARE, MAX_BROADCAST_ROWS
 from trialmart.operators.timeline import attempt_features
 from trialmart.operators.user_days import user_day_partials
 from trialmart.plans.kpi import base_kpis, m3_kpis, streak_kpis
-from trialmart.session import PLAN_CONF, session_conf, sized_for
+from trialmart.session import PLAN_CONF, session_conf, sized_for, temporary_tables
 from trialmart.sources.catalog import Source, Sources
 from trialmart.sources.sinks import finished_table, replace_days, replace_table
 
@@ -197,7 +197,7 @@ def create_dataset(
         broadcast_users=broadcast_users,
     ).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        with session_conf(sources.spark, PLAN_CONF):
+        with session_conf(sources.spark, PLAN_CONF), temporary_tables(sources.spark):
             users = cohort_users(cohort)
             # The result has at most this many rows.
             rows = user_count * ((last - first).days + 1)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator, Mapping
 from contextlib import contextmanager
 
@@ -60,15 +61,45 @@ def sized_for(
         yield
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named in ``spark.checkpoint.dir``; a temporary one only on a local master."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    master = spark.sparkContext.master
+    if master.startswith("local") and not master.startswith("local-"):
+        return tempfile.gettempdir()
+    raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+
+
+# Folders written inside the innermost ``temporary_tables`` block.
+_written: list[list[str]] = []
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """The rows of ``df``, written to the folder all executors share and read from there."""
+    """The rows of ``df``, written to the folder all executors share and read from there.
+
+    Runs the plan once; what reads the result survives lost executors, and sees the same rows in
+    the same files each time. Inside ``temporary_tables`` the files are removed at its end,
+    otherwise they stay.
+    """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local") or context.master.startswith("local-"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="trialmart-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint()
+    path = f"{shared_folder(spark)}/trialmart-{uuid.uuid4().hex}"
+    if _written:
+        _written[-1].append(path)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def temporary_tables(spark: SparkSession) -> Iterator[None]:
+    """Remove at the end what ``stored`` writes inside the block."""
+    _written.append([])
+    try:
+        yield
+    finally:
+        jvm = spark.sparkContext._jvm
+        settings = spark.sparkContext._jsc.hadoopConfiguration()
+        for name in _written.pop():
+            path = jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(settings).delete(path, True)
