@@ -1,5 +1,7 @@
 """The lenient helpers against Spark's own non-ANSI behaviour."""
 
+import json
+
 from conftest import rows
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -71,3 +73,38 @@ def test_control_characters_do_not_empty_a_payload(spark):
     frame = spark.createDataFrame([(p,) for p in payloads], "p string")
     parsed = frame.select(json_texts("p", KEYS)["d"].alias("d"), F.get_json_object("p", "$.d").alias("want"))
     assert rows(parsed) == [("5", "5")] * 3
+
+
+def json_values():
+    plain = st.one_of(st.none(), st.booleans(), st.integers(-99, 99), st.sampled_from(["x", "1.5", "a\\tb", ""]))
+    return st.one_of(plain, st.lists(plain, max_size=2), st.just({"a": 1, "z": [None]}))
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.lists(st.tuples(st.sampled_from([*KEYS, "e", "b"]), json_values()), max_size=7),
+                min_size=30, max_size=60))
+def test_first_value_of_every_key(spark, objects):
+    """Payloads with repeated keys, against reading one key at a time."""
+    texts = [
+        "{" + ", ".join(f'"{key}": {json.dumps(value, separators=(",", ":"))}' for key, value in members) + "}"
+        for members in objects
+    ]
+    frame = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    parsed = frame.select("i", json_texts("text", KEYS).alias("v"))
+    found = parsed.select("i", *[F.col("v").getField(key).alias(key) for key in KEYS])
+    wanted = frame.select("i", *[F.get_json_object("text", f"$['{key}']").alias(key) for key in KEYS])
+    assert rows(found) == rows(wanted)
+
+
+def test_repeated_keys_and_control_characters(spark):
+    texts = [
+        '{"a": 1, "a": 2}', '{"a": 1, "a": null}', '{"a": null, "a": 2}', '{"a": null, "a": null}',
+        '{"x": 1, "x": 2, "a": 3, "b.c": 4}', '{"d": {"a": 1, "a": 2}, "a": 5}', '{"a": "p\tq", "a": 1}',
+        '{"a": 1, "a": 2', "", None, "[1]", '{"a": "\n"}',
+    ]
+    frame = spark.createDataFrame([(i, text) for i, text in enumerate(texts)], "i int, text string")
+    v = json_texts("text", KEYS)
+    assert [tuple(r) for r in frame.orderBy("i").select(v.getField("a"), v.getField("b.c")).collect()] == [
+        ("1", None), ("1", None), ("2", None), (None, None), ("3", "4"), ("5", None), ("p\tq", None),
+        (None, None), (None, None), (None, None), (None, None), ("\n", None),
+    ]

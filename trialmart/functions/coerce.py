@@ -19,11 +19,23 @@ def json_texts(payload: str, keys: Iterable[str]) -> Column:
     """A struct holding the text of each top-level key; NULL where a key is absent.
 
     One parse of the payload serves all keys. A key with a dot in it is one key. Raw control
-    characters inside strings, such as a pasted tab, do not spoil the payload.
+    characters inside strings, such as a pasted tab, do not spoil the payload. Of a repeated key the
+    first value that is not null counts; that parse would keep the last, so payloads whose list
+    of keys repeats one of ``keys`` are read key by key instead.
     """
+    keys = list(keys)
     schema = T.StructType([T.StructField(key, T.StringType()) for key in keys])
     options = {"allowNonNumericNumbers": "false", "allowUnquotedControlChars": "true"}
-    return F.from_json(payload, schema, options)
+    named = F.json_object_keys(payload)
+    wanted = F.filter(named, lambda key: key.isin(keys))
+    first_values = [F.get_json_object(payload, f"$['{key}']").alias(key) for key in keys]
+    # Few payloads repeat any key; only those are looked at more closely.
+    repeats = _has_repeats(named) & _has_repeats(wanted)
+    return F.when(repeats, F.struct(*first_values)).otherwise(F.from_json(payload, schema, options))
+
+
+def _has_repeats(values: Column) -> Column:
+    return F.size(F.array_distinct(values)) != F.size(values)
 
 
 def loose_double(text: Column) -> Column:

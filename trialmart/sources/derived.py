@@ -34,12 +34,23 @@ SELECT test_id, app_short, concat('g', user_id % 3) AS abgroup, user_id AS event
 FROM enrolled"""
 
 
-def _json(fields: dict[str, str]) -> str:
-    """SQL for JSON text of the fields; a field whose expression is NULL is left out."""
-    members = [f"""concat('"{name}": ', {value})""" for name, value in fields.items()]
+def _json(fields: dict[str, str], *awkward: tuple[str, str]) -> str:
+    """SQL for JSON text of the fields; a field whose expression is NULL is left out.
+
+    awkward: name and expression of more members behind them, names repeated or not.
+    """
+    members = [f"""concat('"{name}": ', {value})""" for name, value in (*fields.items(), *awkward)]
     return f"concat('{{{{', concat_ws(', ', {', '.join(members)}), '}}}}')"
 
 
+def _some(n: int, value: str) -> str:
+    return f"CASE WHEN event_id % {n} = 0 THEN {value} END"
+
+
+# A string with a raw tab and a raw line feed in it.
+_NOTE = ("note", _some(59, """concat('"a', chr(9), 'b', chr(10), 'c"')"""))
+
+
 def _unless(n: int, value: str) -> str:
     return f"CASE WHEN event_id % {n} <> 0 THEN {value} END"
 
@@ -50,7 +61,10 @@ WITH_K = """
 
 _SESSION_PAYLOAD = _json(
     {
-        "level": "(k * 7 + event_id) % 300",
+        # Some whole numbers are recorded with a fraction, which the readers drop.
+        "level": (
+            "concat((k * 7 + event_id) % 300, if(event_id % 67 = 0, '.9', ''))"
+        ),
         "segment.skill": _unless(
             43, "if(event_id % 29 = 0, '0.829', concat('0.', lpad(k % 25 * 4, 2, '0')))"
         ),
@@ -62,7 +76,12 @@ _SESSION_PAYLOAD = _json(
             41, """CASE k % 3 WHEN 0 THEN '"none"' WHEN 1 THEN '"minnow"' ELSE '"whale"' END"""
         ),
         "segment.skillpayment": """CASE WHEN event_id % 47 = 0 THEN '"custom_seg"' END""",
-    }
+    },
+    _NOTE,
+    # Repeated keys, of which the first value that is not null counts.
+    ("level", _some(53, "event_id % 7")),
+    ("payer_type", "CASE WHEN event_id % 71 = 0 AND event_id % 41 <> 0 THEN 'null' END"),
+    ("note", _some(59, "1")),
 )
 SESSIONS = f"""
 SELECT user_id, day AS partition_date,
@@ -74,7 +93,7 @@ FROM (SELECT *, CAST(floor(value * 5) AS BIGINT) AS cents FROM ({WITH_K}))"""
 
 _LEVEL_PAYLOAD = _json(
     {
-        "coins_spent": _unless(13, "k"),
+        "coins_spent": _unless(13, "if(event_id % 73 = 0, 'null', CAST(k AS STRING))"),
         "coins_spent_additional_moves": "k % 7",
         "coins_spent_inlevelboosters": "k % 5",
         "coins_spent_startboosters": "k % 3",
@@ -95,9 +114,16 @@ _LEVEL_PAYLOAD = _json(
         "boosts_vertical_line": "event_id % 5",
         "boosts_horizontal_line": "event_id % 6",
         "mortas_helmets": "k % 4",
-        "levels_winstreak": "event_id % 60",
+        "levels_winstreak": "concat(event_id % 60, if(event_id % 61 = 0, '.7', ''))",
         "levels_sb_streak": "event_id % 10",
-    }
+    },
+    _NOTE,
+    # Repeated keys, of which the first value that is not null counts.
+    ("coins_spent", "CASE WHEN event_id % 73 = 0 AND event_id % 13 <> 0 THEN k END"),
+    ("boosts_super_lightning", _some(53, "event_id % 5 <> 0")),
+    ("levels_winstreak", _some(79, "'null'")),
+    ("mortas_helmets", _some(83, """'"3"'""")),
+    ("note", _some(59, "1")),
 )
 # These users' later days come two weeks earlier, so that some users stop playing.
 _MOVED = "user_id % 4 = 0 AND day >= DATE'2024-01-15'"
