@@ -5,11 +5,13 @@ from datetime import date, datetime, timedelta
 
 import pytest
 from conftest import SF_DIR, rows
+from pyspark.sql import functions as F
 
 from checks.queries import EXPERIMENT, TIE_BREAKER, Case
 from trialmart.operators.attempts import attempt_facts
 from trialmart.operators.cohort import cohort_users, enrolled_users
 from trialmart.operators.dataset import add_gameplay, base_dataset
+from trialmart.operators.members import possible_members
 from trialmart.operators.monetisation import main_metrics_pivot
 from trialmart.operators.segments import session_segments, valid_sessions
 from trialmart.operators.skew import hot_keys, join_users
@@ -167,6 +169,26 @@ def test_large_cohorts_read_attempts_once_and_move_no_payload(saved):
         assert "event_payload" not in above
 
 
+def test_large_cohorts_parse_only_possible_members(saved):
+    few = users_of(saved).filter("event_user % 10 = 3")
+    facts = attempt_facts(
+        saved(Source.LEVELS), few, START, END, broadcast_users=False, tie_breaker=TIE_BREAKER
+    )
+    execution = facts._jdf.queryExecution()
+    # The filter lies between the scan and the parse.
+    scan_side = execution.executedPlan().toString().split("from_json", 1)[1]
+    assert "Subquery" in scan_side.split("FileScan", 1)[0]
+    wanted = facts_of(saved).join(few.select("event_user"), "event_user", "left_semi")
+    columns = ["event_id", "n_day", "coins_spent", "is_win"]
+    assert rows(facts, *columns) == rows(wanted, *columns)
+    # Rows that pass the filter are the rows parsed.
+    levels = saved(Source.LEVELS).filter(F.col("partition_date").between(START, END))
+    levels = levels.withColumnRenamed("user_id", "event_user")
+    parsed = possible_members(levels, few).count()
+    of_members = levels.join(few.select("event_user"), "event_user", "left_semi").count()
+    assert of_members <= parsed < of_members + 0.02 * levels.count()
+
+
 def test_metrics_join_gives_the_same_rows_for_every_strategy(spark, saved):
     metrics, users = EXPERIMENT.rows_of(saved(Source.AB_USERS_METRICS)), users_of(saved)
     ids = users.select("event_user")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trialmart.functions import flag, json_texts, loose_bool, loose_double, loose_int
+from trialmart.operators.members import possible_members
 from trialmart.operators.skew import HOT_ROWS, HOT_SHARE, join_users
 
 # Keys of the attempt payload.
@@ -88,7 +89,8 @@ def attempt_facts(
 
     One scan covers the whole inclusive date range. The payload is parsed once
     per row: after the join and the day filter where the facts stay in place, before
-    the shuffle otherwise, so that it moves as a few typed columns. ``tie_breaker`` names a unique
+    the shuffle otherwise, so that it moves as a few typed columns; a filter of the cohort spares
+    most other users' payloads that parse. ``tie_breaker`` names a unique
     column of ``levels`` to carry along, so that attempts with equal
     ``client_time`` have a defined order later.
     """
@@ -107,7 +109,7 @@ def attempt_facts(
     )
     parse = json_texts("event_payload", PAYLOAD_KEYS)
     if not broadcast_users:
-        in_range = _typed(in_range.withColumn("payload", parse))
+        in_range = _typed(possible_members(in_range, users).withColumn("payload", parse))
     joined = join_users(
         in_range, users, broadcast_users=broadcast_users, hot_rows=hot_rows, hot_share=hot_share
     )

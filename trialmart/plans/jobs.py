@@ -68,13 +68,15 @@ def calc_attempts(
         broadcast_users=broadcast_users,
         tie_breaker=tie_breaker,
     )
+    # Without the hint every task would write a file of its own for each of its days: after a
+    # shuffle by user those are all days, and of a small cohort a scan's tasks find few rows.
+    # Days too large for one task stay split.
+    facts = facts.hint("rebalance", ATTEMPT_DAY)
     if broadcast_users:
         return replace_days(facts, table, ATTEMPT_DAY, start, end)
-    # The join leaves the rows clustered by user; without the hint every task would
-    # write a file for every day. Days too large for one task stay split.
     in_range = levels.filter(F.col("partition_date").between(F.lit(start), F.lit(end)))
     with sized_for(sources.spark, in_range.count()):
-        return replace_days(facts.hint("rebalance", ATTEMPT_DAY), table, ATTEMPT_DAY, start, end)
+        return replace_days(facts, table, ATTEMPT_DAY, start, end)
 
 
 def gameplay_metrics(
