@@ -433,6 +433,7 @@ ORACLES = {
     "attempt_features_split": _FEATURES,
     "m3_dataset_shuffled": _M3_DATASET,
     "attempt_table": _ATTEMPTS,
+    "cumulative_metrics_carried": _all_of("cum", "start_feature_user"),
     "dataset_table": _M3_DATASET,
     "prepare_base": _BASE_KPIS,
     "prepare_m3": _M3_KPIS,

@@ -10,6 +10,7 @@ import os
 import tempfile
 from collections.abc import Callable
 from dataclasses import replace
+from datetime import timedelta
 from functools import cached_property, wraps
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,6 +34,8 @@ from trialmart.operators.timeline import attempt_features
 from trialmart.operators.user_days import user_day_metrics, user_day_partials
 from trialmart.plans.jobs import (
     calc_attempts,
+    carried_metrics,
+    carry_attempts,
     cohort_user_days,
     create_dataset,
     gameplay_metrics,
@@ -212,6 +215,21 @@ def _attempt_table(case: Case) -> DataFrame:
     return table.select(*ATTEMPT_COLUMNS)
 
 
+def _carried_metrics(case: Case) -> DataFrame:
+    """The metrics carried on over three stretches of days, the last of them twice."""
+    experiment = replace(_saved_experiment(case), owner="carried")
+    start, end = case.dates.require("feature_start_date", "test_end_date")
+    settings = {"tie_breaker": TIE_BREAKER}
+    calc_attempts(case.sources, experiment, start, end, case.users, **settings)
+    for table in (f"{experiment.attempts_table}_{kind}" for kind in ("closed", "open")):
+        case.spark.sql(f"DROP TABLE IF EXISTS {table}")
+    steps = [start, start + timedelta(days=9), start + timedelta(days=10), end + timedelta(days=1)]
+    stretches = [(a, b - timedelta(days=1)) for a, b in zip(steps, steps[1:], strict=False)]
+    for first, last in (*stretches, stretches[-1]):
+        carry_attempts(case.sources, experiment, first, last, end, **settings)
+    return carried_metrics(case.sources, experiment, end, case.users, **settings)
+
+
 def _dataset_table(case: Case) -> DataFrame:
     return create_dataset(
         case.sources,
@@ -298,6 +316,7 @@ _QUERIES: dict[str, Callable[[Case], DataFrame]] = {
     "attempt_features_split": _split_features,
     "m3_dataset_shuffled": _shuffled_dataset,
     "attempt_table": _attempt_table,
+    "cumulative_metrics_carried": _carried_metrics,
     "dataset_table": _dataset_table,
     "prepare_base": _prepared(prepare_base_metrics),
     "prepare_m3": _prepared(prepare_m3_metrics, add_m3_metrics=True, need_calc_attempts=True),

@@ -353,7 +353,7 @@ def test_no_cell_is_larger_than_a_task_should_hold(spark, times, partitions):
     levels += levels[:30] * 6
     facts = facts_of(spark, levels, "hot", "warm", "quiet", tie_breaker=None)
     with session_conf(spark, {"spark.sql.shuffle.partitions": partitions}):
-        cut = attempt_features(facts, END, hot_rows=40, hot_share=0.0)
+        cut = attempt_features(facts, END, hot_rows=40, hot_share=0.0, cell_rows=40)
         sizes = cut.filter(F.col(CELL) > 0).groupBy("event_user", CELL).count().collect()
         found = rows(user_day_metrics(cut))
     assert sum(row["count"] for row in sizes) == 400 + 180 + 120

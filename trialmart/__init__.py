@@ -4,6 +4,8 @@ from trialmart.experiment import Experiment, ExperimentDates, Platform, experime
 from trialmart.plans.jobs import (
     calc_attempts,
     calc_m3_metrics,
+    carried_metrics,
+    carry_attempts,
     create_dataset,
     gameplay_metrics,
     prepare_base_metrics,
@@ -25,6 +27,8 @@ __all__ = [
     "base_kpis",
     "calc_attempts",
     "calc_m3_metrics",
+    "carried_metrics",
+    "carry_attempts",
     "configure",
     "create_dataset",
     "experiment_lookup",

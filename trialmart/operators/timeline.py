@@ -32,8 +32,14 @@ CHURN_GAP_DAYS = 7
 WIN_STREAK_ABOVE = {"is_5plus_ws": 4, "is_10plus_ws": 9, "is_20plus_ws": 19, "is_40plus_ws": 39}
 STUCK_ABOVE = {"is_stucked": 20, "is_super_stucked": 40}
 
+# An attempt that opens a timeline may bring along the win streak before it.
+CARRIED = "carried_winstreak"
+# Whether an attempt is the last of its user; there if asked for.
+LAST = "is_last"
+
 CELL = "timeline_cell"
 PLACE = "timeline_place"
+LEAST_CELL_ROWS = 100
 # Metadata of the cell column where timelines were cut: attempts are not clustered by user alone.
 CUT = "cut"
 
@@ -60,12 +66,16 @@ def attempt_features(
     hot_rows: int = HOT_ROWS,
     hot_share: float = HOT_SHARE,
     cells: int | None = None,
+    cell_rows: int | None = None,
+    mark_last: bool = False,
 ) -> DataFrame:
     """Attempts with churn, win-streak, superball and stuck flags.
 
     The result carries the column ``timeline_cell``; it is 0 unless the user is
-    hot, and ``user_day_partials`` aggregates within it. A cell has at most ``hot_rows``
-    attempts; all hot users together are cut into no less than ``cells`` ranges.
+    hot, and ``user_day_partials`` aggregates within it. A cell has at most ``cell_rows``
+    attempts, by default as many as a user may have without being hot, or 100 if those are fewer;
+    all hot users together are cut into no less than ``cells`` ranges. ``mark_last`` adds the
+    column ``is_last``.
     """
     if not isinstance(attempts.schema["client_time"].dataType, T.TimestampType | T.TimestampNTZType):
         raise TypeError("client_time must be a timestamp: times as text have no definite order")
@@ -74,17 +84,20 @@ def attempt_features(
     if hot is None:
         linked = _neighbours(attempts.withColumn(CELL, F.lit(0).cast("long")), ["event_user"], order)
     else:
-        linked = _neighbours_across_cells(attempts, hot, order, hot_rows, cells or 1)
-    return _features(linked, end)
+        cell_rows = cell_rows or max(hot_rows, LEAST_CELL_ROWS)
+        linked = _neighbours_across_cells(attempts, hot, order, cell_rows, cells or 1)
+    return _features(linked if mark_last else linked.drop(LAST), end)
 
 
 def _neighbours(attempts: DataFrame, timeline: Sequence[str], order: Sequence[str]) -> DataFrame:
     window = Window.partitionBy(*timeline).orderBy(*order)
+    before = F.lag("levels_winstreak").over(window)
     return attempts.withColumns(
         {
             "next_time": F.lead("client_time").over(window),
             "next_superball": F.lead("is_superball").over(window),
-            "prev_winstreak": F.lag("levels_winstreak").over(window),
+            "prev_winstreak": F.coalesce(before, CARRIED) if CARRIED in attempts.columns else before,
+            LAST: F.lead(F.lit(1)).over(window).isNull(),
         }
     )
 
@@ -147,7 +160,7 @@ def _neighbours_across_cells(
     within = _neighbours(ranged, timeline, order).withColumns(
         {
             "opens_cell": F.lag(F.lit(1)).over(in_cell).isNull(),
-            "closes_cell": F.lead(F.lit(1)).over(in_cell).isNull(),
+            "closes_cell": F.col(LAST),
         }
     )
     across = (
@@ -160,9 +173,12 @@ def _neighbours_across_cells(
                 "next_superball": F.when(
                     F.col("closes_cell"), F.col("after.is_superball")
                 ).otherwise(F.col("next_superball")),
+                # The first cell of a timeline has none before it.
                 "prev_winstreak": F.when(
-                    F.col("opens_cell"), F.col("before.levels_winstreak")
+                    F.col("opens_cell") & F.col("before").isNotNull(),
+                    F.col("before.levels_winstreak"),
                 ).otherwise(F.col("prev_winstreak")),
+                LAST: F.col("closes_cell") & F.col("after").isNull(),
             }
         )
         .drop("after", "before", "opens_cell", "closes_cell", PLACE)

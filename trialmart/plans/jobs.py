@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from datetime import date
+from datetime import date, timedelta
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from trialmart.experiment import Experiment, ExperimentDates, experiment_lookup, read_dates
 from trialmart.operators.attempts import attempt_facts
+from trialmart.operators.carry import carry_on, user_days_so_far
 from trialmart.operators.cohort import (
     cohort_users,
     count_unique_users,
@@ -31,9 +32,18 @@ from trialmart.operators.user_days import user_day_partials
 from trialmart.plans.kpi import base_kpis, m3_kpis, streak_kpis
 from trialmart.session import PLAN_CONF, session_conf, sized_for, temporary_tables
 from trialmart.sources.catalog import Source, Sources
-from trialmart.sources.sinks import finished_table, replace_days, replace_table
+from trialmart.sources.sinks import (
+    finished_table,
+    replace_days,
+    replace_table,
+    set_property,
+    table_property,
+)
 
 ATTEMPT_DAY = "date_attempt"
+# First and last day carried on by a run; table property with the last of all.
+FROM_DAY, AS_OF = "from_day", "as_of"
+CARRIED_TO = "trialmart.carried"
 
 
 def verify_ab_exp(sources: Sources, experiment: Experiment) -> ExperimentDates:
@@ -153,6 +163,83 @@ def calc_m3_metrics(
     )
 
 
+def carry_attempts(
+    sources: Sources,
+    experiment: Experiment,
+    first: date,
+    last: date,
+    end: date,
+    *,
+    tie_breaker: str,
+    attempts_table: str | None = None,
+) -> None:
+    """Carry the user-days on by the attempts of the days from first to last.
+
+    Only these days of the attempt table are read, and the attempts that the latest days carried on
+    before left open. Days are carried on in order; running it again replaces what the same days gave.
+    ``end`` is the last day of the experiment, which settles whose last attempt counts as churn.
+    """
+    spark, table = sources.spark, attempts_table or experiment.attempts_table
+    closed_table, open_table = f"{table}_closed", f"{table}_open"
+    new = finished_table(spark, table).filter(F.col(ATTEMPT_DAY).between(F.lit(first), F.lit(last)))
+    before = None
+    if spark.catalog.tableExists(open_table):
+        known = finished_table(spark, open_table)
+        runs = known.select(FROM_DAY, AS_OF).distinct().collect()
+        later = [run for run in runs if run[AS_OF] > last or run[FROM_DAY] < first <= run[AS_OF]]
+        if later:
+            days = f"{later[0][FROM_DAY]} to {later[0][AS_OF]}"
+            raise ValueError(f"{table}: the days {days} are carried on already, in one run")
+        as_of = max((run[AS_OF] for run in runs if run[AS_OF] < first), default=None)
+        if as_of is not None:
+            if as_of != first - timedelta(days=1):
+                raise ValueError(f"{table}: days are carried on up to {as_of}; go on from there")
+            before = known.filter(F.col(AS_OF) == F.lit(as_of)).drop(FROM_DAY, AS_OF)
+    with session_conf(spark, PLAN_CONF), temporary_tables(spark), sized_for(spark, new.count()):
+        found = carry_on(new, before, end, tie_breaker=tie_breaker)
+        dated = {
+            closed_table: found.closed.withColumn(AS_OF, F.lit(last)),
+            open_table: found.open.withColumns({FROM_DAY: F.lit(first), AS_OF: F.lit(last)}),
+        }
+        for name, rows in dated.items():
+            # Until both are written they do not belong together.
+            if spark.catalog.tableExists(name):
+                set_property(spark, name, CARRIED_TO, None)
+            replace_days(rows.hint("rebalance"), name, AS_OF, first, last)
+        for name in dated:
+            set_property(spark, name, CARRIED_TO, last.isoformat())
+
+
+def carried_metrics(
+    sources: Sources,
+    experiment: Experiment,
+    end: date,
+    users: DataFrame,
+    *,
+    tie_breaker: str,
+    attempts_table: str | None = None,
+    cumulative: Sequence[str] = CUMULATIVE_METRICS,
+) -> DataFrame:
+    """Gameplay metrics of all days carried on; equal to those computed from all attempts.
+
+    The attempts carried on have to be those of the given users' first feature days and later, as
+    ``calc_attempts`` writes them. Attempts of other users drop out.
+    """
+    table = attempts_table or experiment.attempts_table
+    names = [f"{table}_closed", f"{table}_open"]
+    carried_to = {table_property(sources.spark, name, CARRIED_TO) for name in names}
+    if len(carried_to) != 1 or None in carried_to:
+        raise RuntimeError(f"{table}: days were not carried on to the end; run that again")
+    closed, known = (finished_table(sources.spark, name) for name in names)
+    as_of = date.fromisoformat(carried_to.pop())
+    opened = known.filter(F.col(AS_OF) == F.lit(as_of)).drop(FROM_DAY, AS_OF)
+    partials = user_days_so_far(closed.drop(AS_OF), opened, end, tie_breaker=tie_breaker)
+    observed = closed.select("event_user", "n_day").unionByName(opened.select("event_user", "n_day"))
+    ids = users.select("event_user")
+    days = observed_days(observed.distinct().join(ids, "event_user", "left_semi"))
+    return cumulative_metrics(user_day_panel(users, partials, days), cumulative)
+
+
 def cohort_user_days(
     metrics: DataFrame, users: DataFrame, *, broadcast_users: bool
 ) -> DataFrame:

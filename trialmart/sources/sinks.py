@@ -35,12 +35,12 @@ def replace_days(df: DataFrame, table: str, day_column: str, start: date, end: d
     if set(columns) != set(df.columns):
         raise ValueError(f"{table} has other columns than the rows to write")
     days = f"{start.isoformat()}/{end.isoformat()}"
-    unfinished = _unfinished_days(spark, table)
+    unfinished = table_property(spark, table, UNFINISHED)
     if unfinished:
         first, last = unfinished.split("/")
         if first < start.isoformat() or last > end.isoformat():
             raise ValueError(f"{table}: first write the unfinished days {unfinished} again")
-    spark.sql(f"ALTER TABLE {table} SET TBLPROPERTIES ('{UNFINISHED}' = '{days}')")
+    set_property(spark, table, UNFINISHED, days)
 
     written = Observation()
     rows = df.select(*columns).observe(written, F.collect_set(day_column).alias("days"))
@@ -56,21 +56,29 @@ def replace_days(df: DataFrame, table: str, day_column: str, start: date, end: d
     if stale:
         specs = ", ".join(f"PARTITION ({day_column} = '{day}')" for day in stale)
         spark.sql(f"ALTER TABLE {table} DROP IF EXISTS {specs}")
-    spark.sql(f"ALTER TABLE {table} UNSET TBLPROPERTIES IF EXISTS ('{UNFINISHED}')")
+    set_property(spark, table, UNFINISHED, None)
     return spark.table(table)
 
 
 def finished_table(spark: SparkSession, table: str) -> DataFrame:
     """The table, or an error if replacing some of its days was broken off."""
-    unfinished = _unfinished_days(spark, table)
+    unfinished = table_property(spark, table, UNFINISHED)
     if unfinished:
         raise RuntimeError(f"{table}: the days {unfinished} were not written to the end; run again")
     return spark.table(table)
 
 
-def _unfinished_days(spark: SparkSession, table: str) -> str | None:
+def table_property(spark: SparkSession, table: str, name: str) -> str | None:
     properties = spark.sql(f"SHOW TBLPROPERTIES {table}").collect()
-    return {row["key"]: row["value"] for row in properties}.get(UNFINISHED)
+    return {row["key"]: row["value"] for row in properties}.get(name)
+
+
+def set_property(spark: SparkSession, table: str, name: str, value: str | None) -> None:
+    """Set a property of a table, or with None take it away."""
+    if value is None:
+        spark.sql(f"ALTER TABLE {table} UNSET TBLPROPERTIES IF EXISTS ('{name}')")
+    else:
+        spark.sql(f"ALTER TABLE {table} SET TBLPROPERTIES ('{name}' = '{value}')")
 
 
 def _stored_days(spark: SparkSession, table: str) -> list[str]:
