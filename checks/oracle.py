@@ -435,6 +435,9 @@ ORACLES = {
     "attempt_table": _ATTEMPTS,
     "cumulative_metrics_carried": _all_of("cum", "start_feature_user"),
     "dataset_table": _M3_DATASET,
+    "prepare_all_m3": _M3_KPIS,
+    "prepare_all_streak": _STREAK_KPIS,
+    "kpi_states_base": _BASE_KPIS,
     "prepare_base": _BASE_KPIS,
     "prepare_m3": _M3_KPIS,
     "prepare_streak": _STREAK_KPIS,

@@ -39,12 +39,13 @@ from trialmart.plans.jobs import (
     cohort_user_days,
     create_dataset,
     gameplay_metrics,
+    prepare_all_metrics,
     prepare_base_metrics,
     prepare_m3_metrics,
     prepare_streak_metrics,
     verify_ab_exp,
 )
-from trialmart.plans.kpi import base_kpis, m3_kpis, streak_kpis
+from trialmart.plans.kpi import base_kpis, kpi_states, kpis_of_states, m3_kpis, streak_kpis
 from trialmart.session import configure
 from trialmart.sources.catalog import CatalogSources, Source
 from trialmart.sources.derived import DerivedSources
@@ -261,6 +262,20 @@ def _prepared(prepare: Callable[..., DataFrame], **settings) -> Callable[[Case],
     return build
 
 
+def _all_prepared(table: str) -> Callable[[Case], DataFrame]:
+    """One KPI table of the states that a single scan of the saved dataset gave."""
+
+    def build(case: Case) -> DataFrame:
+        sources = _catalog(case)
+        experiment = replace(_saved_experiment(case), owner=f"states_{table}")
+        create_dataset(
+            sources, experiment, tie_breaker=TIE_BREAKER, add_m3_metrics=True, need_calc_attempts=True
+        )
+        return prepare_all_metrics(sources, experiment)[table]
+
+    return build
+
+
 def _android_cohort(case: Case) -> DataFrame:
     """The same test on the other platform, with that platform's codes."""
     experiment = replace(EXPERIMENT, platform=Platform.ANDROID)
@@ -318,6 +333,9 @@ _QUERIES: dict[str, Callable[[Case], DataFrame]] = {
     "attempt_table": _attempt_table,
     "cumulative_metrics_carried": _carried_metrics,
     "dataset_table": _dataset_table,
+    "prepare_all_m3": _all_prepared("m3"),
+    "prepare_all_streak": _all_prepared("streak"),
+    "kpi_states_base": lambda case: kpis_of_states(kpi_states(case.full), "base"),
     "prepare_base": _prepared(prepare_base_metrics),
     "prepare_m3": _prepared(prepare_m3_metrics, add_m3_metrics=True, need_calc_attempts=True),
     "prepare_streak": _prepared(

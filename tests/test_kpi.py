@@ -1,9 +1,12 @@
 import pytest
 from conftest import rows
+from pyspark.sql import functions as F
 
+from trialmart import CatalogSources, Experiment, prepare_all_metrics, prepare_base_metrics
 from trialmart.operators.panel import CUMULATIVE_METRICS
 from trialmart.operators.user_days import ADDITIVE, MEASURES
-from trialmart.plans.kpi import base_kpis, m3_kpis, streak_kpis
+from trialmart.plans.kpi import base_kpis, kpi_states, kpis_of_states, m3_kpis, streak_kpis
+from trialmart.sources.sinks import replace_table
 
 BASE_SCHEMA = (
     "abgroup string, n_day int, event_user string, retained int, churn int, converted_cum int,"
@@ -140,3 +143,60 @@ def test_days_without_gameplay_rows_count_no_players(spark):
 def test_group_key_rows(spark):
     data = base_of(spark, [("a", 1, "u", 1, 0, 0, 0.0, 0.0), ("b", 2, "u", 1, 0, 0, 0.0, 0.0)])
     assert rows(base_kpis(data), "abgroup", "n_day") == [("a", 1), ("b", 2)]
+
+
+def all_of(spark):
+    rows_ = [
+        {"event_user": f"u{i % 7}", "abgroup": "ab"[i % 2], "n_day": i % 3, "attempts": i % 5,
+         "coins_spent": i, "real_coins_spent": i % 4, "cnt_superball": i % 3, "cnt_lose_sb": i % 2,
+         "cum_user_attempts": 3 * i, "wins": i % 2, "is_streak": i % 2, "churn_m3": i % 2}
+        for i in range(60)
+    ]
+    money = game_of(spark, rows_).selectExpr(
+        "*", "0 AS churn", "retained AS converted_cum", "CAST(attempts AS FLOAT) AS revenue_cum",
+        "CAST(attempts % 3 AS FLOAT) AS revenue",
+    )
+    return money.drop("churn").withColumn("churn", F.col("retained"))
+
+
+TABLES = {"base": base_kpis, "m3": m3_kpis, "streak": streak_kpis}
+
+
+@pytest.mark.parametrize("direct", [True, False])
+def test_states_give_every_table(spark, direct):
+    data = all_of(spark)
+    if direct:
+        data = data.dropDuplicates(["abgroup", "n_day", "event_user"])
+    states = kpi_states(data, one_row_per_user_day=direct)
+    for name, kpis in TABLES.items():
+        wanted = kpis(data, one_row_per_user_day=direct)
+        found = kpis_of_states(states, name)
+        assert found.columns == wanted.columns
+        assert rows(found) == rows(wanted)
+
+
+def test_states_of_batches_of_users_are_merged(spark):
+    data = all_of(spark)
+    batches = [kpi_states(data.filter(f"hash(event_user) % 2 {sign} 0")) for sign in ("=", "<>")]
+    both = batches[0].unionByName(batches[1])
+    for name, kpis in TABLES.items():
+        assert rows(kpis_of_states(both, name)) == rows(kpis(data))
+
+
+def test_all_tables_take_one_scan(spark, tmp_path):
+    path = str(tmp_path / "dataset")
+    all_of(spark).write.parquet(path)
+    states = kpi_states(spark.read.parquet(path), one_row_per_user_day=True)
+    plan = states._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and plan.count("Exchange") == 1
+
+
+def test_a_table_another_writer_left_is_counted_by_users(spark):
+    experiment, sources = Experiment("T1", owner="foreign"), CatalogSources(spark, {})
+    twice = all_of(spark).unionByName(all_of(spark))
+    replace_table(twice, experiment.dataset_table)
+    assert rows(prepare_base_metrics(sources, experiment)) == rows(base_kpis(twice))
+    found = prepare_all_metrics(sources, experiment)
+    assert {name: rows(df) for name, df in found.items()} == {
+        name: rows(kpis(twice)) for name, kpis in TABLES.items()
+    }

@@ -8,6 +8,7 @@ from trialmart.plans.jobs import (
     carry_attempts,
     create_dataset,
     gameplay_metrics,
+    prepare_all_metrics,
     prepare_base_metrics,
     prepare_m3_metrics,
     prepare_streak_metrics,
@@ -34,6 +35,7 @@ __all__ = [
     "experiment_lookup",
     "gameplay_metrics",
     "m3_kpis",
+    "prepare_all_metrics",
     "prepare_base_metrics",
     "prepare_m3_metrics",
     "prepare_streak_metrics",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from datetime import date, timedelta
 
 from pyspark import StorageLevel
@@ -29,7 +29,14 @@ from trialmart.operators.panel import (
 from trialmart.operators.skew import HOT_ROWS, HOT_SHARE, MAX_BROADCAST_ROWS
 from trialmart.operators.timeline import attempt_features
 from trialmart.operators.user_days import user_day_partials
-from trialmart.plans.kpi import base_kpis, m3_kpis, streak_kpis
+from trialmart.plans.kpi import (
+    TABLES,
+    base_kpis,
+    kpi_states,
+    kpis_of_states,
+    m3_kpis,
+    streak_kpis,
+)
 from trialmart.session import PLAN_CONF, session_conf, sized_for, temporary_tables
 from trialmart.sources.catalog import Source, Sources
 from trialmart.sources.sinks import (
@@ -44,6 +51,8 @@ ATTEMPT_DAY = "date_attempt"
 # First and last day carried on by a run; table property with the last of all.
 FROM_DAY, AS_OF = "from_day", "as_of"
 CARRIED_TO = "trialmart.carried"
+# Table property of datasets whose cohort was checked.
+ONE_ROW_PER_USER_DAY = "trialmart.one_row_per_user_day"
 
 
 def verify_ab_exp(sources: Sources, experiment: Experiment) -> ExperimentDates:
@@ -312,7 +321,11 @@ def create_dataset(
                 attempts = sources.spark.table(attempts_table or experiment.attempts_table)
                 rows = max(rows, attempts.count())
             with sized_for(sources.spark, rows):
-                return replace_table(dataset, dataset_table or experiment.dataset_table)
+                table = dataset_table or experiment.dataset_table
+                replace_table(dataset, table)
+                # Gone when another writer replaces the table.
+                set_property(sources.spark, table, ONE_ROW_PER_USER_DAY, "true")
+                return sources.spark.table(table)
     finally:
         cohort.unpersist()
 
@@ -321,26 +334,58 @@ def _saved(sources: Sources, experiment: Experiment, dataset_table: str | None)
     return sources.spark.table(dataset_table or experiment.dataset_table)
 
 
-# A dataset that create_dataset saved under the experiment's name has one row per user and
-# day: the cohort was checked to be free of duplicates. A table that the caller names may be any.
+def _one_row_per_user_day(
+    sources: Sources, experiment: Experiment, dataset_table: str | None
+) -> bool:
+    """Whether the dataset is one that ``create_dataset`` saved under the experiment's name.
+
+    The cohort was checked to be free of duplicates then. Any other table may hold anything.
+    """
+    if dataset_table is not None:
+        return False
+    return table_property(sources.spark, experiment.dataset_table, ONE_ROW_PER_USER_DAY) == "true"
+
+
+def _prepare(
+    kpis: Callable[..., DataFrame], sources: Sources, experiment: Experiment, table: str | None
+) -> DataFrame:
+    one_row = _one_row_per_user_day(sources, experiment, table)
+    return kpis(_saved(sources, experiment, table), one_row_per_user_day=one_row)
 
 
 def prepare_base_metrics(
     sources: Sources, experiment: Experiment, dataset_table: str | None = None
 ) -> DataFrame:
-    saved = _saved(sources, experiment, dataset_table)
-    return base_kpis(saved, one_row_per_user_day=dataset_table is None)
+    return _prepare(base_kpis, sources, experiment, dataset_table)
 
 
 def prepare_m3_metrics(
     sources: Sources, experiment: Experiment, dataset_table: str | None = None
 ) -> DataFrame:
-    saved = _saved(sources, experiment, dataset_table)
-    return m3_kpis(saved, one_row_per_user_day=dataset_table is None)
+    return _prepare(m3_kpis, sources, experiment, dataset_table)
 
 
 def prepare_streak_metrics(
     sources: Sources, experiment: Experiment, dataset_table: str | None = None
 ) -> DataFrame:
-    saved = _saved(sources, experiment, dataset_table)
-    return streak_kpis(saved, one_row_per_user_day=dataset_table is None)
+    return _prepare(streak_kpis, sources, experiment, dataset_table)
+
+
+def prepare_all_metrics(
+    sources: Sources,
+    experiment: Experiment,
+    dataset_table: str | None = None,
+    states_table: str | None = None,
+) -> dict[str, DataFrame]:
+    """All KPI tables the dataset has the columns for, by name, from one scan of it.
+
+    The scan's result, one row per group and day, is saved as ``states_table``; the tables are
+    computed from that.
+    """
+    dataset = _saved(sources, experiment, dataset_table)
+    tables = list(TABLES) if "attempts" in dataset.columns else ["base"]
+    one_row = _one_row_per_user_day(sources, experiment, dataset_table)
+    states = kpi_states(dataset, tables, one_row_per_user_day=one_row)
+    name = states_table or f"{dataset_table or experiment.dataset_table}_kpi_states"
+    saved = replace_table(states, name)
+    return {table: kpis_of_states(saved, table) for table in tables}

@@ -235,18 +235,93 @@ def m3_kpis(dataset: DataFrame, *, one_row_per_user_day: bool = False) -> DataFr
     return rollup(dataset, M3_TERMS, M3_RATIOS, one_row_per_user_day=one_row_per_user_day)
 
 
-def streak_kpis(dataset: DataFrame, *, one_row_per_user_day: bool = False) -> DataFrame:
-    """Superball and win-streak engagement."""
+def _with_streaks(dataset: DataFrame) -> DataFrame:
     played = F.col("attempts") > 0
     neither = (F.col("is_superball") == 0) & (F.col("is_streak") == 0)
     superballs, lost = F.col("cnt_superball"), F.col("cnt_lose_sb")
     # A run of superballs that was never lost counts as one run.
     runs = F.when((superballs > 0) & (lost == 0), F.lit(1)).otherwise(lost)
-    prepared = dataset.withColumns(
+    return dataset.withColumns(
         {
             "is_m3": flag(played),
             "is_not_sb_not_streak": flag(neither & played),
             "sb_streak_length": ratio(superballs, runs),
         }
     )
+
+
+def streak_kpis(dataset: DataFrame, *, one_row_per_user_day: bool = False) -> DataFrame:
+    """Superball and win-streak engagement."""
+    prepared = _with_streaks(dataset)
     return rollup(prepared, STREAK_TERMS, STREAK_RATIOS, one_row_per_user_day=one_row_per_user_day)
+
+
+# --- partial states -----------------------------------------------------------------------------
+
+TABLES = {
+    "base": (BASE_TERMS, BASE_RATIOS),
+    "m3": (M3_TERMS, M3_RATIOS),
+    "streak": (STREAK_TERMS, STREAK_RATIOS),
+}
+
+
+def _states(term: Term) -> dict[str, tuple[Column | None, Column]]:
+    """State name -> value within a user, if rows have to be reduced to users first, and the
+    same over rows of which each user has one."""
+    match term:
+        case Users(_, None):
+            return {"users": (None, F.count(USER))}
+        case Users(name, where):
+            state, holds = f"users__{name}", F.expr(where)
+            return {state: (F.max(flag(holds)), F.count(F.when(holds, F.col(USER))))}
+        case Total(_, of):
+            return {f"sum__{of}": (F.sum(of), F.sum(of))}
+        case Mean(_, of):
+            return {f"sum__{of}": (F.sum(of), F.sum(of)), f"rows__{of}": (F.count(of), F.count(of))}
+
+
+def _of_states(term: Term) -> Column:
+    match term:
+        case Users(name, None):
+            return F.col("users").alias(name)
+        case Users(name, _):
+            return F.col(f"users__{name}").alias(name)
+        case Total(name, of):
+            return F.col(f"sum__{of}").alias(name)
+        case Mean(name, of):
+            return ratio(F.col(f"sum__{of}"), F.col(f"rows__{of}")).alias(name)
+
+
+def kpi_states(
+    dataset: DataFrame, tables: Sequence[str] = tuple(TABLES), *, one_row_per_user_day: bool = False
+) -> DataFrame:
+    """One row per group and day with what all the given KPI tables are made of, in one pass.
+
+    States of different users can be added up: those of batches of users, or of days, are merged
+    by ``kpis_of_states``.
+    """
+    if "streak" in tables:
+        dataset = _with_streaks(dataset)
+    states = {name: parts for table in tables for term in TABLES[table][0]
+              for name, parts in _states(term).items()}
+    if one_row_per_user_day:
+        return dataset.groupBy(*GROUP_DAY).agg(*[row.alias(name) for name, (_, row) in states.items()])
+    within = [user.alias(name) for name, (user, _) in states.items() if user is not None]
+    per_user = dataset.groupBy(*GROUP_DAY, USER).agg(*within)
+    return per_user.groupBy(*GROUP_DAY).agg(
+        *[
+            (F.count(USER) if name == "users" else
+             F.count(F.when(F.col(name) == 1, F.col(USER))) if name.startswith("users__") else
+             F.sum(name)).alias(name)
+            for name in states
+        ]
+    )
+
+
+def kpis_of_states(states: DataFrame, table: str) -> DataFrame:
+    """One of the KPI tables, from states of any number of batches with different users."""
+    terms, ratios = TABLES[table]
+    names = {name for term in terms for name in _states(term)}
+    merged = states.groupBy(*GROUP_DAY).agg(*[F.sum(name).alias(name) for name in sorted(names)])
+    totals = merged.select(*GROUP_DAY, *[_of_states(term) for term in terms])
+    return totals.withColumns({r.name: r.column() for r in ratios})
