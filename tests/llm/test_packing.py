@@ -57,6 +57,29 @@ def test_encoding_word_by_word_equals_encoding_whole(vocabulary, documents):
         assert ids == encoder.encoding.encode_ordinary(text)
 
 
+@pytest.mark.parametrize("run", ["\n", " ", "\t ", " \n", "\u3000", "\r\n", "\x85 "])
+def test_long_white_space_is_split_where_the_pattern_splits(vocabulary, monkeypatch, run):
+    monkeypatch.setattr("trialmart.llm.packing._SPACES_AT_ONCE", 20)
+    encoder = Encoder(vocabulary)
+    spaces = run * 30
+    for text in (spaces, f"a{spaces}b", f"{spaces}b", f"a{spaces}", f"a {spaces} b{spaces}.{spaces[:19]}7",
+                 f"x\x1c{spaces}\x1dy", f"it{spaces}'s{spaces}é"):
+        ids = np.frombuffer(encoder.encode(text), dtype=encoder.dtype).tolist()
+        assert ids == encoder.encoding.encode_ordinary(text)
+
+
+@pytest.mark.parametrize("unit", ["\n", " ", " \n", "a", "7", "-", "語"])
+def test_two_million_equal_characters(llm, vocabulary, unit):
+    run = (unit * 2_000_000)[:2_000_000]
+    df = llm.createDataFrame([(1, f"word{run}word"), (2, run)], "doc_id long, text string")
+    found = packed_rows(df, vocabulary=vocabulary)
+    encoder = Encoder(vocabulary)
+    texts = {doc: ids[:-1] for doc, ids in unpacked(found, vocabulary.end).items()}
+    assert {doc: encoder.encoding.decode(ids) for doc, ids in texts.items()} == {
+        1: f"word{run}word", 2: run,
+    }
+
+
 def unpacked(df, end):
     pieces = {}
     for row in df.collect():

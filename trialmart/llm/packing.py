@@ -36,6 +36,10 @@ ROW_TOKENS = 2048
 GROUP_TOKENS = 1 << 22
 _CACHED_WORDS = 200_000
 _AMBIGUOUS = re.compile(r"\s | \s")
+# The pattern's engine searches runs of white space with a stack that long ones exhaust. Fixed
+# value in the class: the characters with the Unicode property White_Space.
+_SPACES_AT_ONCE = 10_000
+_SPACE = "[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 
 @dataclass(frozen=True)
@@ -80,9 +84,22 @@ class Encoder:
             special_tokens={},
         )
         self.known: dict[str, bytes] = {}
+        self.long_space = re.compile(f"{_SPACE}{{{_SPACES_AT_ONCE},}}")
 
     def _ids(self, text: str) -> bytes:
-        return np.array(self.encoding.encode_ordinary(text), dtype=self.dtype).tobytes()
+        """Ids of a text; a long run of white space is encoded as the piece the pattern makes of it.
+
+        That is the run without its last character, or all of it at the end of the text.
+        """
+        ids: list[int] = []
+        at = 0
+        for run in self.long_space.finditer(text):
+            end = run.end() - (run.end() < len(text))
+            ids += self.encoding.encode_ordinary(text[at : run.start()])
+            ids += self.encoding._encode_single_piece(text[run.start() : end])
+            at = end
+        ids += self.encoding.encode_ordinary(text[at:])
+        return np.array(ids, dtype=self.dtype).tobytes()
 
     def encode(self, text: str) -> bytes:
         if _AMBIGUOUS.search(text):
