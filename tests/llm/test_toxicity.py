@@ -1,0 +1,174 @@
+"""Toxicity with a large vocabulary, against brute force, and at the limits of its shortcuts."""
+
+from __future__ import annotations
+
+import itertools
+import random
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from trialmart.llm import queries, toxicity
+from trialmart.llm.labelled import logistic, sigmoid, sparse_logistic
+
+
+def words_of(count, seed):
+    chance = random.Random(seed)
+    parts = ["ba", "ko", "ri", "mu", "ste", "lon", "dav", "ip", "gre", "zu", "fa", "nel"]
+    found = set()
+    while len(found) < count:
+        found.add("".join(chance.choice(parts) for _ in range(chance.randint(3, 4))))
+    return sorted(found)
+
+
+def test_many_toxic_words_all_tell(llm):
+    """No limit on the number of telling words: each is in few documents only."""
+    chance = random.Random(1)
+    words = words_of(1400, 2)
+    chance.shuffle(words)
+    toxic, clean = words[:400], words[400:]
+    rows = []
+    for i in range(8000):
+        rows.append((i, " ".join(chance.choices(clean, k=25)), 0))
+    for i in range(4000):
+        text = chance.choices(clean, k=24) + [toxic[i % 400]]
+        chance.shuffle(text)
+        rows.append((10_000 + i, " ".join(text), 1))
+    df = llm.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(8).cache()
+    model = toxicity.train(df, df.select("doc_id", "toxic"))
+    assert {w for w in model.words if not w.startswith("^")} >= set(toxic)
+    found = toxicity.toxicity(df, model).join(df.select("doc_id", "toxic"), "doc_id")
+    caught = F.avg((F.col("score") >= toxicity.THRESHOLD).cast("int"))
+    shares = {row["toxic"]: row[1] for row in found.groupBy("toxic").agg(caught).collect()}
+    assert shares[1] > 0.95 and shares[0] < 0.01
+    df.unpersist()
+
+
+def test_sparse_regression_equals_the_dense_one():
+    chance = np.random.default_rng(3)
+    x = (chance.random((60, 9)) < 0.3).astype(float)
+    ones, zeros = chance.integers(0, 5, 60).astype(float), chance.integers(0, 5, 60).astype(float)
+    present = [np.flatnonzero(row).tolist() for row in x]
+    found = sparse_logistic(present, 9, ones, zeros, 0.3)
+    assert found == pytest.approx(logistic(x, ones, zeros, 0.3), abs=1e-6)
+    assert sparse_logistic([[]], 0, np.array([1.0]), np.array([3.0]), 0.3)[0] < -1
+
+
+@pytest.fixture(scope="module")
+def costs():
+    text = "you are a stupid idiot and such a loser but the tall house is stable and good " * 50
+    return toxicity.character_costs(toxicity.trigram_counts(text))
+
+
+def plain_viterbi(token, costs):
+    """The whole lattice, one edge after the other, as a shortest path."""
+    best = {(0, 0, ""): (0.0, "")}
+    for c in token:
+        letter, after = toxicity.symbol(c) != 0, {}
+        for (first, second, written), (cost, word) in best.items():
+            meanings = ([(c, 0.0)] if letter else []) + [
+                (m, toxicity.LOOK_ALIKE_COST) for m in toxicity.LOOK_ALIKES.get(c, "")
+            ]
+            steps = [
+                ((second, toxicity.symbol(m), c), cost + (e + costs[first, second, toxicity.symbol(m)]), word + m)
+                for m, e in meanings
+            ]
+            if written == c and second:
+                steps.append(((first, second, written), cost + toxicity.REPEAT_COST, word))
+            if not letter:
+                steps.append(((first, second, written), cost + toxicity.INSERT_COST, word))
+            for state, total, reading in steps:
+                if state not in after or total < after[state][0]:
+                    after[state] = total, reading
+        best = after
+    ends = [(cost + costs[first, second, 0], word) for (first, second, _), (cost, word) in best.items()]
+    return min(ends)[1], len(best)
+
+
+def test_all_states_are_searched(costs):
+    most = 0
+    for token in ("".join(p) for p in itertools.islice(itertools.permutations("0123456789@$!|+("), 0, 4000, 97)):
+        word, states = plain_viterbi(token, costs)
+        most = max(most, states)
+        assert toxicity.decode(token, costs) == word
+    assert most > 64
+
+
+def test_a_very_long_token_is_decoded(costs):
+    token = "id10t" * 200
+    word, _ = plain_viterbi(token, costs)
+    assert toxicity.decode(token, costs.tolist()) == word
+    assert toxicity.decode("id10t" * 40_000, costs.tolist()).startswith(word[:-10])
+
+
+def test_skipping_words_that_cannot_tell_loses_none(costs):
+    chance = random.Random(7)
+    letters = "stupidoe"
+    wanted = frozenset(["stupid", "^stup", "dood", "^seee", "tt", "oe"])
+    every = toxicity.Restorer(costs)
+    some = toxicity.Restorer(costs, wanted)
+    for _ in range(4000):
+        token = "".join(chance.choice(letters) * chance.choice([1, 1, 2, 3]) for _ in range(chance.randint(1, 7)))
+        token += chance.choice(["", ".", "!", "?)", "1"])
+        assert set(some.words(token)) == set(every.words(token)) & wanted
+
+
+def test_query_equals_brute_force(llm, tmp_path):
+    """The whole query, on documents read and counted without Spark."""
+    chance = random.Random(11)
+    mild, bad = words_of(60, 5), ["stupid", "idiot", "loser", "moronic"]
+    disguise = {"i": "1", "o": "0", "s": "$", "e": "3"}
+    rows, labels = [], []
+    for doc_id in range(300):
+        words = chance.choices(mild, k=chance.randint(0, 30))
+        if doc_id % 4 == 0:
+            word = chance.choice(bad)
+            if chance.random() < 0.5:
+                word = "".join(disguise.get(c, c) if chance.random() < 0.4 else c for c in word)
+            if chance.random() < 0.2:
+                word = " ".join(word)
+            words.insert(chance.randint(0, len(words)), word)
+        rows.append((doc_id, " ".join(words), "en"))
+        if doc_id % 3:
+            labels.append((doc_id, 1, int(doc_id % 4 == 0)))
+    rows += [(500, None, "en"), (501, "", None), (None, "you idiot", "en"), rows[4]]
+    llm.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(
+        f"{tmp_path}/documents.parquet"
+    )
+    llm.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(
+        f"{tmp_path}/labels.parquet"
+    )
+    found = queries.op7_toxicity(llm, str(tmp_path)).collect()
+
+    held_out = {i: i is not None and zlib.crc32(str(i).encode()) % 4 == 2 for i, _, _ in rows}
+    learned = [(i, text) for i, text, _ in rows if not held_out[i]]
+    counts = sum(toxicity.trigram_counts(text) for _, text in learned if text)
+    costs = toxicity.character_costs(counts)
+    every = toxicity.Restorer(costs)
+    known = dict((i, toxic) for i, _, toxic in labels)
+    examples = [(every.restore(text), known[i]) for i, text in learned if i in known]
+    totals = Counter(label for _, label in examples)
+    holding = Counter((word, label) for words, label in examples for word in words)
+    telling = sorted(
+        word for word, label in holding
+        if label and holding[word, 1] >= toxicity.MIN_DOCUMENTS
+        and holding[word, 1] / totals[1] > toxicity.MIN_RATIO * holding[word, 0] / totals[0]
+    )
+    x = np.array([[float(word in words) for word in telling] for words, _ in examples])
+    y = np.array([float(label) for _, label in examples])
+    weights = logistic(x, y, 1 - y, toxicity.PENALTY)
+    assert len(telling) > 4
+    assert len(found) == len(rows)
+    wanted = {}
+    for doc_id, text, _ in rows:
+        present = every.restore(text)
+        wanted[doc_id] = float(sigmoid(
+            weights[0] + sum(w for word, w in zip(telling, weights[1:], strict=True) if word in present)
+        ))
+    for row in found:
+        assert row["score"] == pytest.approx(wanted[row["doc_id"]], abs=1e-5)
+        assert row["held_out"] == held_out[row["doc_id"]]
+        assert row["predicted"] == int(row["score"] >= 0.3)

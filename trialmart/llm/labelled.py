@@ -59,5 +59,67 @@ def logistic(
     return weights
 
 
+def sparse_logistic(
+    present: list[list[int]],
+    features: int,
+    ones: np.ndarray,
+    zeros: np.ndarray,
+    penalty: float,
+    rounds: int = 50,
+) -> np.ndarray:
+    """Weights as of ``logistic`` for rows given by the features they have, of any number.
+
+    Newton's steps are solved by conjugate gradients, which need no matrix.
+    """
+    row = np.repeat(np.arange(len(present)), [len(columns) for columns in present])
+    column = np.array([c + 1 for columns in present for c in columns], dtype=np.int64)
+
+    def times(w: np.ndarray) -> np.ndarray:
+        return w[0] + np.bincount(row, w[column], len(present))
+
+    def back(v: np.ndarray) -> np.ndarray:
+        # Without any feature present the counts would be integers.
+        found = np.bincount(column, v[row], features + 1).astype(float)
+        found[0] = v.sum()
+        return found
+
+    ridge = np.full(features + 1, penalty)
+    ridge[0] = 1e-3
+    total = ones + zeros
+    weights = np.zeros(features + 1)
+    if total.sum():
+        weights[0] = np.log((ones.sum() + 0.5) / (zeros.sum() + 0.5))
+    for _ in range(rounds):
+        p = sigmoid(times(weights))
+        spread = total * p * (1 - p)
+        slope = back(ones - total * p) - ridge * weights
+        step = _conjugate_gradients(
+            lambda w, spread=spread: back(spread * times(w)) + ridge * w, slope
+        )
+        # Steps are bounded, so that separable data cannot throw the iteration off.
+        step *= min(1.0, 4.0 / max(np.abs(step).max(), 1e-12))
+        weights += step
+        if np.abs(step).max() < 1e-7:
+            break
+    return weights
+
+
+def _conjugate_gradients(curve, slope: np.ndarray, rounds: int = 1000) -> np.ndarray:
+    """The solution of ``curve(x) = slope`` for a positive definite ``curve``."""
+    x, residual, way = np.zeros_like(slope), slope.copy(), slope.copy()
+    size = residual @ residual
+    goal = size * 1e-20
+    for _ in range(rounds):
+        if size <= goal or size == 0:
+            break
+        bent = curve(way)
+        length = size / (way @ bent)
+        x += length * way
+        residual -= length * bent
+        size, before = residual @ residual, size
+        way = residual + size / before * way
+    return x
+
+
 def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(z, -35, 35)))

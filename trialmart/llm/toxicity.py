@@ -1,10 +1,12 @@
 """Toxicity after noisy-channel deobfuscation.
 
-Every word that is not plain letters, or that has a doubled letter, is decoded: the lattice of what its characters may stand for
-(look-alike letters, repeated letters, characters put in between) is searched by Viterbi under a
-character language model learned from the corpus. Runs of single characters are joined and decoded
-as one word and, with the gaps as possible word breaks, as several; wide gaps also split them. The restored words are scored by a logistic regression over those words and beginnings
-of words (for inflected and compound forms) that tell toxic from other labelled documents best.
+Every word that is not plain letters, or that has a doubled letter, is decoded: the lattice of what
+its characters may stand for (look-alike letters, repeated letters, characters put in between) is
+searched by Viterbi under a character language model learned from the corpus. Runs of single
+characters are joined and decoded as one word and, with the gaps as possible word breaks, as several;
+wide gaps also split them. The restored words are scored by a logistic regression over all those
+words and beginnings of words (for inflected and compound forms) that are in enough toxic documents and
+tell them from other labelled ones.
 
 Defined results: null and empty texts get the score of a text without any telling word; without
 labels of both kinds every text gets the share of toxic labels (0 without labels); rows without
@@ -26,20 +28,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trialmart.llm.labelled import MAX_LABELLED, label_sample, logistic, sigmoid
+from trialmart.llm.labelled import MAX_LABELLED, label_sample, sigmoid, sparse_logistic
 from trialmart.llm.words import texts_of
 
 THRESHOLD = 0.3
-# Telling words the score is made of, and in how many toxic documents one must be.
-FEATURES = 512
-# How much more often it must be in toxic documents than in others.
+# How much more often a telling word must be in toxic documents than in others.
 MIN_RATIO = 5
 # Lengths of beginnings of words that may tell; they are written with a mark in front.
 BEGINNINGS = (4, 5, 6, 7)
+# In how many toxic documents one must be.
 MIN_DOCUMENTS = 3
 PENALTY = 0.3
-# Distinct sets of telling words that the regression is fitted on, at most.
-MAX_FIT_ROWS = 50_000
 
 # What characters may stand for.
 LOOK_ALIKES = {
@@ -51,13 +50,13 @@ LOOK_ALIKES = {
 LOOK_ALIKE_COST = 1.5
 REPEAT_COST = 0.7
 INSERT_COST = 2.0
-MAX_STATES = 64
 
 _SYMBOLS = 28
 _EDGE, _OTHER = 0, 27
 _PLAIN = re.compile(r"[^\W\d_]+")
 _RUN = re.compile(r"(.)\1\1")
 _DOUBLE = re.compile(r"(.)\1")
+_REPEATS = re.compile(r"(.)\1+")
 _WIDE = re.compile(r"[ \t]{2,}|\t")
 _SINGLES = re.compile(r"(?<!\S)\S(?:[ \t]+\S(?!\S)){2,}")
 # A plain word, perhaps with marks after it that stand for no letter.
@@ -107,67 +106,77 @@ def character_costs(counts: np.ndarray) -> np.ndarray:
     return -np.log(p3)
 
 
-def decode(token: str, costs: np.ndarray, breaks: bool = False) -> str:
-    """The likeliest intended word of a lower-cased token.
+@lru_cache(maxsize=1 << 16)
+def _channel(character: str) -> tuple[bool, tuple[tuple[int, str, float], ...]]:
+    """Whether a character is a letter; symbol, letter and cost of all it may stand for."""
+    letter = symbol(character) != _EDGE
+    options = [(character, 0.0)] if letter else []
+    options += [(c, LOOK_ALIKE_COST) for c in LOOK_ALIKES.get(character, "")]
+    return letter, tuple((symbol(meant), meant, extra) for meant, extra in options)
 
-    With ``breaks`` words may also end between characters; they are parted by spaces.
-    """
-    # State: last two symbols and the last character as it was written -> cost, word so far.
-    states: dict[tuple[int, int, str], tuple[float, str]] = {(_EDGE, _EDGE, ""): (0.0, "")}
-    for character in token:
-        letter = symbol(character) != _EDGE
-        options = [(character, 0.0)] if letter else []
-        options += [(c, LOOK_ALIKE_COST) for c in LOOK_ALIKES.get(character, "")]
-        after: dict[tuple[int, int, str], tuple[float, str]] = {}
 
-        def offer(state, cost, word, after=after):
-            known = after.get(state)
-            if known is None or (cost, word) < known:
-                after[state] = cost, word
+def decode(token: str, costs, breaks: bool = False) -> str:
+    """The likeliest intended word of a lower-cased token, over its whole lattice.
 
+    costs: of a symbol after two others, as an array or nested lists. With ``breaks`` words may also
+    end between characters; they are parted by spaces.
+    """
+    # State: last two symbols and the last character as it was written, so there are no more than
+    # 28 * 28 for each distinct character -> cost, word so far as a chain of letters.
+    states: dict[tuple[int, int, str], tuple[float, tuple | None]] = {
+        (_EDGE, _EDGE, ""): (0.0, None)
+    }
+    for character in token:
+        letter, options = _channel(character)
         sources = list(states.items())
         if breaks:
-            ended: dict[tuple[int, int, str], tuple[float, str]] = {}
+            ended: dict[tuple[int, int, str], tuple[float, tuple | None]] = {}
             for (first, second, _), (cost, word) in sources:
                 if second:
-                    offer(
-                        (second, _EDGE, ""),
-                        cost + float(costs[first, second, _EDGE]),
-                        word + " ",
-                        ended,
-                    )
+                    state, total = (second, _EDGE, ""), cost + costs[first][second][_EDGE]
+                    if state not in ended or total < ended[state][0]:
+                        ended[state] = total, (word, " ")
             sources += ended.items()
-        for (first, second, written), (cost, word) in sources:
-            for meant, extra in options:
-                s = symbol(meant)
-                offer(
-                    (second, s, character),
-                    cost + extra + float(costs[first, second, s]),
-                    word + meant,
-                )
-            if written == character and second:
-                offer((first, second, written), cost + REPEAT_COST, word)
+        after: dict[tuple[int, int, str], tuple[float, tuple | None]] = {}
+        known = after.get
+        for state, (cost, word) in sources:
+            first, second, written = state
+            following = costs[first][second]
+            for s, meant, extra in options:
+                total, reached = cost + (extra + following[s]), (second, s, character)
+                before = known(reached)
+                if before is None or total < before[0]:
+                    after[reached] = total, (word, meant)
+            if second and written == character:
+                total, before = cost + REPEAT_COST, known(state)
+                if before is None or total < before[0]:
+                    after[state] = total, word
             if not letter:
                 # The character before it may still be repeated.
-                offer((first, second, written), cost + INSERT_COST, word)
-        if len(after) > MAX_STATES:
-            after = dict(sorted(after.items(), key=lambda item: item[1])[:MAX_STATES])
+                total, before = cost + INSERT_COST, known(state)
+                if before is None or total < before[0]:
+                    after[state] = total, word
         states = after
-    ends = [
-        (cost + float(costs[first, second, _EDGE]), word)
-        for (first, second, _), (cost, word) in states.items()
-    ]
-    return min(ends)[1]
-
-
-def readings(word: str, costs: np.ndarray) -> tuple[str, ...]:
+    total, word = min(
+        ((cost + costs[first][second][_EDGE], word)
+         for (first, second, _), (cost, word) in states.items()),
+        key=lambda end: end[0],
+    )
+    letters = []
+    while word:
+        word, meant = word
+        letters.append(meant)
+    return "".join(reversed(letters))
+
+
+def readings(word: str, costs) -> tuple[str, ...]:
     """A word of letters as it is, and its decoding if a letter is doubled."""
     if not _DOUBLE.search(word):
         return (word,)
     return tuple(dict.fromkeys((word, decode(word, costs))))
 
 
-def restored(token: str, costs: np.ndarray) -> tuple[str, ...]:
+def restored(token: str, costs) -> tuple[str, ...]:
     """Words a lower-cased token may be meant as: its letters if plain, else also the decoding."""
     if token.isalpha() and not _RUN.search(token):
         return readings(token, costs)
@@ -190,13 +199,27 @@ class Restorer:
 
     def __init__(self, costs: np.ndarray, wanted: frozenset[str] | None = None):
         self.wanted = wanted
-        # Most words begin like no wanted one.
+        # Most words begin like no wanted one, nor do they once repeated letters are dropped.
         self.heads = wanted and {word.removeprefix("^")[: BEGINNINGS[0]] for word in wanted}
+        self.flat_heads = wanted and {_REPEATS.sub(r"\1", head) for head in self.heads}
         self.words = lru_cache(maxsize=_CACHED_WORDS)(self._words)
         self.parted = lru_cache(maxsize=_CACHED_WORDS)(self._parted)
-        self.costs = costs
+        # Nested lists are read faster than an array's single cells.
+        self.costs = costs.tolist()
+
+    def _may_tell(self, word: str) -> bool:
+        """Whether letters, some perhaps repeated, can be meant as a beginning that is wanted."""
+        if _DOUBLE.search(word):
+            flat = _REPEATS.sub(r"\1", word)
+            return any(flat[:k] in self.flat_heads for k in range(1, BEGINNINGS[0] + 1))
+        return word[: BEGINNINGS[0]] in self.heads
 
     def _words(self, token: str) -> tuple[str, ...]:
+        if self.heads is not None:
+            # Marks after letters are only ever left out.
+            plain = _PLAIN_ENDED.fullmatch(token)
+            if plain and not self._may_tell(plain[1]):
+                return ()
         found = restored(token, self.costs)
         if self.heads is not None:
             found = tuple([w for w in found if w[: BEGINNINGS[0]] in self.heads])
@@ -281,9 +304,7 @@ def train(
     text_column: str = "text",
     label_column: str = "toxic",
     *,
-    features: int = FEATURES,
     max_labelled: int = MAX_LABELLED,
-    max_fit_rows: int = MAX_FIT_ROWS,
 ) -> ToxicityModel:
     """Learn from the rows of ``df``, and from the labels of those that have one.
 
@@ -310,7 +331,6 @@ def train(
 
     words = known.mapInArrow(count, "word string, clean long, toxic long")
     words = words.groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    # Toxic words only: the log-likelihood ratio of a word's two shares, the largest first.
     # The two totals need no text: the scan reads ids alone.
     totals = known.agg(
         F.count_if(F.col("label") <= 0).alias("clean"), F.count_if(F.col("label") > 0).alias("toxic")
@@ -321,18 +341,11 @@ def train(
     if not clean or not toxic:
         edge = 35.0 if toxic else -35.0
         return ToxicityModel(costs.value, [], np.array([edge]))
-    rate = f"((clean + toxic) / {clean + toxic})"
-    gain = F.expr(
-        f"toxic * ln(toxic / ({toxic} * {rate}))"
-        f" + if(clean = 0, 0, clean * ln(clean / ({clean} * {rate})))"
-    )
-    best = (
-        words.filter(f"toxic >= {MIN_DOCUMENTS}")
-        .filter(f"toxic / {toxic} > {MIN_RATIO} * clean / {clean}")
-        .orderBy(gain.desc(), "word")
-        .limit(features)
+    # All that pass, which are no more than the words of the sample.
+    best = words.filter(f"toxic >= {MIN_DOCUMENTS}").filter(
+        f"toxic / {toxic} > {MIN_RATIO} * clean / {clean}"
     )
-    telling = sorted(row["word"] for row in best.collect())
+    telling = sorted(row["word"] for row in best.select("word").collect())
     if not telling:
         share = np.log(toxic / clean)
         return ToxicityModel(costs.value, [], np.array([share]))
@@ -350,18 +363,14 @@ def train(
         known.mapInArrow(sets, "label int, found string")
         .groupBy("found")
         .agg(F.count_if(F.col("label") > 0).alias("ones"), F.count("*").alias("n"))
-        .orderBy(F.desc("n"), "found")
-        .limit(max_fit_rows)
         .collect()
     )
     place = {word: i for i, word in enumerate(telling)}
-    x = np.zeros((len(examples), len(telling)))
-    for i, row in enumerate(examples):
-        for word in row["found"].split():
-            x[i, place[word]] = 1.0
+    present = [[place[word] for word in row["found"].split()] for row in examples]
     ones = np.array([row["ones"] for row in examples], dtype=float)
     zeros = np.array([row["n"] for row in examples], dtype=float) - ones
-    return ToxicityModel(costs.value, telling, logistic(x, ones, zeros, PENALTY))
+    weights = sparse_logistic(present, len(telling), ones, zeros, PENALTY)
+    return ToxicityModel(costs.value, telling, weights)
 
 
 def _count_rows(held: tuple[Counter, Counter]) -> pa.RecordBatch:
@@ -380,7 +389,7 @@ def toxicity(
     df: DataFrame, model: ToxicityModel, id_column: str = "doc_id", text_column: str = "text"
 ) -> DataFrame:
     """``doc_id, score, telling`` for every row: telling restored words that were found."""
-    # 28 ** 3 costs and FEATURES words.
+    # 28 ** 3 costs, and words of the labelled sample.
     shared = df.sparkSession.sparkContext.broadcast(model)
     narrow = df.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
     schema = T.StructType(
