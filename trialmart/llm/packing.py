@@ -91,6 +91,8 @@ class Encoder:
 
         That is the run without its last character, or all of it at the end of the text.
         """
+        if len(text) < _SPACES_AT_ONCE:
+            return np.array(self.encoding.encode_ordinary(text), dtype=self.dtype).tobytes()
         ids: list[int] = []
         at = 0
         for run in self.long_space.finditer(text):
