@@ -112,7 +112,7 @@ def test_skipping_words_that_cannot_tell_loses_none(costs):
     some = toxicity.Restorer(costs, wanted)
     for _ in range(4000):
         token = "".join(chance.choice(letters) * chance.choice([1, 1, 2, 3]) for _ in range(chance.randint(1, 7)))
-        token += chance.choice(["", ".", "!", "?)", "1"])
+        token += chance.choice(["", ".", "!", "?)", "1", "$$", "!+", "€)"])
         assert set(some.words(token)) == set(every.words(token)) & wanted
 
 
@@ -122,7 +122,7 @@ def test_query_equals_brute_force(llm, tmp_path):
     mild, bad = words_of(60, 5), ["stupid", "idiot", "loser", "moronic"]
     disguise = {"i": "1", "o": "0", "s": "$", "e": "3"}
     rows, labels = [], []
-    for doc_id in range(300):
+    for doc_id in range(900):
         words = chance.choices(mild, k=chance.randint(0, 30))
         if doc_id % 4 == 0:
             word = chance.choice(bad)
@@ -134,7 +134,7 @@ def test_query_equals_brute_force(llm, tmp_path):
         rows.append((doc_id, " ".join(words), "en"))
         if doc_id % 3:
             labels.append((doc_id, 1, int(doc_id % 4 == 0)))
-    rows += [(500, None, "en"), (501, "", None), (None, "you idiot", "en"), rows[4]]
+    rows += [(5000, None, "en"), (5001, "", None), (None, "you idiot", "en"), rows[4]]
     llm.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(
         f"{tmp_path}/documents.parquet"
     )
@@ -152,10 +152,17 @@ def test_query_equals_brute_force(llm, tmp_path):
     examples = [(every.restore(text), known[i]) for i, text in learned if i in known]
     totals = Counter(label for _, label in examples)
     holding = Counter((word, label) for words, label in examples for word in words)
+
+    def gain(word):
+        rate = (holding[word, 1] + holding[word, 0]) / (totals[0] + totals[1])
+        parts = [(holding[word, k], totals[k] * rate) for k in (0, 1)]
+        return sum(n * np.log(n / expected) for n, expected in parts if n)
+
     telling = sorted(
         word for word, label in holding
         if label and holding[word, 1] >= toxicity.MIN_DOCUMENTS
         and holding[word, 1] / totals[1] > toxicity.MIN_RATIO * holding[word, 0] / totals[0]
+        and gain(word) >= toxicity.MIN_GAIN
     )
     x = np.array([[float(word in words) for word in telling] for words, _ in examples])
     y = np.array([float(label) for _, label in examples])

@@ -38,6 +38,9 @@ MIN_RATIO = 5
 BEGINNINGS = (4, 5, 6, 7)
 # In how many toxic documents one must be.
 MIN_DOCUMENTS = 3
+# Least evidence, in nats, that its share among toxic documents is no chance: the log-likelihood
+# ratio of its two shares against one for both. Eight nats come by chance once in 16,000 words.
+MIN_GAIN = 8.0
 PENALTY = 0.3
 
 # What characters may stand for.
@@ -61,6 +64,8 @@ _WIDE = re.compile(r"[ \t]{2,}|\t")
 _SINGLES = re.compile(r"(?<!\S)\S(?:[ \t]+\S(?!\S)){2,}")
 # A plain word, perhaps with marks after it that stand for no letter.
 _PLAIN_ENDED = re.compile(r"([^\W\d_]+)[.,;:?*#%&)\]'\"-]*")
+# The same with any marks.
+_LETTERS_ENDED = re.compile(r"([^\W\d_]+)[^\w\s]*")
 _CACHED_WORDS = 200_000
 _CHARACTERS_AT_ONCE = 1 << 20
 
@@ -207,19 +212,31 @@ class Restorer:
         # Nested lists are read faster than an array's single cells.
         self.costs = costs.tolist()
 
-    def _may_tell(self, word: str) -> bool:
-        """Whether letters, some perhaps repeated, can be meant as a beginning that is wanted."""
+    def _may_tell(self, token: str) -> bool:
+        """Whether a token can be meant as a word that begins like a wanted one.
+
+        Letters at its beginning are kept, but for repeats, whatever the marks after them stand for.
+        """
+        plain = _PLAIN_ENDED.fullmatch(token)
+        word = plain[1] if plain else None
+        if not plain:
+            ended = _LETTERS_ENDED.fullmatch(token)
+            if not ended:
+                return True
+            word = ended[1]
         if _DOUBLE.search(word):
             flat = _REPEATS.sub(r"\1", word)
+            # Marks may stand for more letters where these are too few.
+            if not plain and len(flat) < BEGINNINGS[0]:
+                return True
             return any(flat[:k] in self.flat_heads for k in range(1, BEGINNINGS[0] + 1))
+        if not plain and len(word) < BEGINNINGS[0]:
+            return True
         return word[: BEGINNINGS[0]] in self.heads
 
     def _words(self, token: str) -> tuple[str, ...]:
-        if self.heads is not None:
-            # Marks after letters are only ever left out.
-            plain = _PLAIN_ENDED.fullmatch(token)
-            if plain and not self._may_tell(plain[1]):
-                return ()
+        if self.heads is not None and not self._may_tell(token):
+            return ()
         found = restored(token, self.costs)
         if self.heads is not None:
             found = tuple([w for w in found if w[: BEGINNINGS[0]] in self.heads])
@@ -318,19 +335,13 @@ def train(
         sample, F.col("doc_id") == F.col("label_id")
     ).select("label", "text")
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restorer = Restorer(costs.value)
-        held: tuple[Counter, Counter] = Counter(), Counter()
-        for batch in batches:
-            for label, text in zip(batch.column(0).to_pylist(), texts_of(batch, 1), strict=True):
-                held[label > 0].update(restorer.restore(text))
-            if len(held[0]) + len(held[1]) > 2 * _CACHED_WORDS:
-                yield _count_rows(held)
-                held = Counter(), Counter()
-        yield _count_rows(held)
-
-    words = known.mapInArrow(count, "word string, clean long, toxic long")
-    words = words.groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    # A telling word is in toxic documents, so only the words of these are counted in the others.
+    of_toxic = _document_counts(known.filter("label > 0"), costs)
+    candidates = {
+        row["word"]: row["n"] for row in of_toxic.filter(f"n >= {MIN_DOCUMENTS}").collect()
+    }
+    of_clean = _document_counts(known.filter("label <= 0"), costs, frozenset(candidates))
+    elsewhere = dict(of_clean.collect())
     # The two totals need no text: the scan reads ids alone.
     totals = known.agg(
         F.count_if(F.col("label") <= 0).alias("clean"), F.count_if(F.col("label") > 0).alias("toxic")
@@ -341,11 +352,9 @@ def train(
     if not clean or not toxic:
         edge = 35.0 if toxic else -35.0
         return ToxicityModel(costs.value, [], np.array([edge]))
-    # All that pass, which are no more than the words of the sample.
-    best = words.filter(f"toxic >= {MIN_DOCUMENTS}").filter(
-        f"toxic / {toxic} > {MIN_RATIO} * clean / {clean}"
+    telling = sorted(
+        word for word, n in candidates.items() if _tells(n, elsewhere.get(word, 0), toxic, clean)
     )
-    telling = sorted(row["word"] for row in best.select("word").collect())
     if not telling:
         share = np.log(toxic / clean)
         return ToxicityModel(costs.value, [], np.array([share]))
@@ -373,15 +382,38 @@ def train(
     return ToxicityModel(costs.value, telling, weights)
 
 
-def _count_rows(held: tuple[Counter, Counter]) -> pa.RecordBatch:
-    words = list(held[0].keys() | held[1].keys())
+def _tells(in_toxic: int, in_clean: int, toxic: float, clean: float) -> bool:
+    """Whether a word in so many toxic and clean documents tells them apart."""
+    if in_toxic / toxic <= MIN_RATIO * in_clean / clean:
+        return False
+    rate = (in_toxic + in_clean) / (toxic + clean)
+    gain = in_toxic * np.log(in_toxic / (toxic * rate))
+    if in_clean:
+        gain += in_clean * np.log(in_clean / (clean * rate))
+    return gain >= MIN_GAIN
+
+
+def _document_counts(texts: DataFrame, costs, wanted: frozenset[str] | None = None) -> DataFrame:
+    """``word, n``: in how many of the texts each restored word, or each wanted one, is."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        restorer = Restorer(costs.value, wanted)
+        held: Counter = Counter()
+        for batch in batches:
+            for text in texts_of(batch, 0):
+                held.update(restorer.restore(text))
+            if len(held) > 2 * _CACHED_WORDS:
+                yield _count_rows(held)
+                held = Counter()
+        yield _count_rows(held)
+
+    rows = texts.select("text").mapInArrow(count, "word string, n long")
+    return rows.groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def _count_rows(held: Counter) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
-        [
-            pa.array(words, pa.string()),
-            pa.array([held[0][w] for w in words], pa.int64()),
-            pa.array([held[1][w] for w in words], pa.int64()),
-        ],
-        ["word", "clean", "toxic"],
+        [pa.array(held.keys(), pa.string()), pa.array(held.values(), pa.int64())], ["word", "n"]
     )
 
 
