@@ -229,6 +229,8 @@ class ByteModel:
         """Per bit its value, its deepest node, the probability of a 1 and the depth it is from."""
         byte = grams & np.uint64(255)
         context = grams >> np.uint64(8)
+        # A node's path leads over the nodes of fewer bits, so depths never rise from bit to bit.
+        at_most = np.full(len(grams), len(self.nodes) - 1)
         for i in range(8):
             bit = (byte >> np.uint64(7 - i)) & np.uint64(1)
             node = (
@@ -239,14 +241,18 @@ class ByteModel:
             left = np.arange(len(grams))
             for d in range(len(self.nodes) - 1, -1, -1):
                 known = self.nodes[d]
-                if not len(known) or not len(left):
+                may = at_most[left] >= d
+                asked = left[may]
+                if not len(known) or not len(asked):
                     continue
-                wanted = node[left] & ((1 << (8 * d + 8)) - 1)
+                wanted = node[asked] & ((1 << (8 * d + 8)) - 1)
                 at = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
                 hit = known[at] == wanted
-                p[left[hit]] = self.ones[d][at[hit]]
-                depth[left[hit]] = d
-                left = left[~hit]
+                p[asked[hit]] = self.ones[d][at[hit]]
+                depth[asked[hit]] = d
+                may[may] = hit
+                left = left[~may]
+            at_most = depth
             yield bit, node, p, depth
 
 
