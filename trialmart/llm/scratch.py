@@ -7,7 +7,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 import trialmart
@@ -37,6 +37,22 @@ def saved(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def join_frequent(
+    rows: DataFrame, table: DataFrame, keys: list[str], frequent: Column
+) -> DataFrame:
+    """Inner join with a table of one row per key, in which some keys hold many of the rows.
+
+    frequent: a condition on the table that only few of its rows can meet, as those with over a
+    thousandth of all. These are broadcast, and their rows never meet in a task; the others are
+    joined by shuffling.
+    """
+    often = table.filter(frequent)
+    found = rows.join(F.broadcast(often), keys)
+    others = rows.join(F.broadcast(often.select(*keys)), keys, "left_anti")
+    rare = table.filter(~frequent)
+    return found.unionByName(others.join(rare.hint("merge"), keys).select(*found.columns))
+
+
 def placed(stored: DataFrame) -> DataFrame:
     """Number the rows of a table just saved, in the order they were written: ``place``, from 0.
 

@@ -20,7 +20,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trialmart.llm.scratch import saved
+from trialmart.llm.scratch import join_frequent, saved
 
 # The rules; each names a host with all its subdomains, and where paths begin.
 RULES = (
@@ -33,6 +33,8 @@ RULES = (
 ORDER = 4
 # One fold in so many calibrates.
 FOLDS = 5
+# Grams with over one in so many of all places are looked up in place; there cannot be more.
+FREQUENT_GRAMS = 1000
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _BEGIN, _END = "\x02", "\x03"
 
@@ -151,10 +153,19 @@ def judge_urls(
         F.coalesce((F.col("given") == "block") & ~F.col("calibrates"), F.lit(False)).alias("b"),
         F.explode(_grams(F.col("text"), order)).alias("gram"),
     )
-    counts = grams.groupBy("gram").agg(F.count_if("a").alias("a"), F.count_if("b").alias("b"))
-    ratios = gram_ratios(counts, order)
+    counts = saved(
+        grams.groupBy("gram").agg(
+            F.count_if("a").alias("a"), F.count_if("b").alias("b"), F.count("*").alias("n")
+        )
+    )
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    ratios = saved(gram_ratios(counts.select("gram", "a", "b"), order).join(
+        counts.select("gram", "n"), "gram"
+    ))
+    # Some grams, such as those of a common ending of hosts, are in most URLs.
+    often = F.col("n") * FREQUENT_GRAMS > total
     scores = (
-        grams.select("row", "gram").join(ratios, "gram")
+        join_frequent(grams.select("row", "gram"), ratios, ["gram"], often)
         .groupBy("row").agg(F.avg("ratio").alias("ratio"))
     )
     judged = saved(pages.drop("text").join(scores, "row"))
