@@ -27,9 +27,11 @@ from pyspark.sql import types as T
 
 from trialmart.llm.labelled import MAX_LABELLED, label_sample, logistic, sigmoid
 from trialmart.llm.rules import NAVIGATION, SYMBOLS, repeated_words
-from trialmart.llm.scratch import saved
+from trialmart.llm.scratch import join_frequent, saved
 from trialmart.llm.words import texts_of
 
+# Sites with over one in so many of all documents are looked up in place; there cannot be more.
+FREQUENT_SITES = 1000
 THRESHOLD = 0.5
 # Weight of a document without label in the counts of its site; a label counts 1.
 SOFT_WEIGHT = 0.25
@@ -214,7 +216,7 @@ def quality(
         )
     )
     counts = [F.sum("w").alias("n"), F.sum("g").alias("good")]
-    paths = saved(judged.groupBy("host", "path").agg(*counts))
+    paths = saved(judged.groupBy("host", "path").agg(*counts, F.count("*").alias("documents")))
     hosts = saved(paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("good").alias("good")))
     total = hosts.agg(F.sum("n"), F.sum("good")).first()
     mean = float((total[1] + 0.5) / (total[0] + 1)) if total[0] else 0.5
@@ -222,7 +224,9 @@ def quality(
     sites = paths.join(
         hosts.select("host", F.col("n").alias("host_n"), F.col("good").alias("host_good")), "host"
     )
-    rows = judged.join(sites, ["host", "path"])
+    documents = sites.agg(F.sum("documents")).first()[0] or 0
+    often = F.col("documents") * FREQUENT_SITES > documents
+    rows = join_frequent(judged, sites, ["host", "path"], often)
     host_posterior = (F.col("host_good") - F.col("g") + of_host * mean) / (
         F.col("host_n") - F.col("w") + of_host
     )
