@@ -19,11 +19,13 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from trialmart.llm.scratch import placed, saved
 from trialmart.llm.words import texts_of
 
 WINDOW = 10
@@ -206,52 +208,44 @@ def _shuffled_hits(narrow: DataFrame, windows: DataFrame) -> DataFrame:
     """The same by a join on windows, for benchmarks too large to broadcast."""
     sizes = sorted(row[0] for row in windows.select("words").distinct().collect())
     numbered = narrow.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    schema = T.StructType(
+    measured = T.StructType(
         [
             T.StructField("row", T.LongType()),
             narrow.schema["doc_id"],
             T.StructField("n_words", T.LongType()),
-            T.StructField("start", T.LongType()),
-            T.StructField("size", T.IntegerType()),
-            T.StructField("window", T.BinaryType()),
         ]
     )
 
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts = pa.array([len(item_words(text)) for text in texts_of(batch, 2)], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], counts], measured.names)
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, text in enumerate(texts_of(batch, 2)):
+            for row, text in zip(batch.column(0), texts_of(batch, 1), strict=True):
                 words = item_words(text)
-                # One row for the document itself, then one for each window.
-                starts, lengths, cuts = [None], [None], [None]
                 for size in sizes:
                     count = max(0, len(words) - size + 1)
-                    starts += range(count)
-                    lengths += [size] * count
-                    cuts += [b" ".join(words[k : k + size]) for k in range(count)]
-                again = pa.array([i] * len(starts))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).take(again),
-                        batch.column(1).take(again),
-                        pa.array([len(words)] * len(starts), pa.int64()),
-                        pa.array(starts, pa.int64()),
-                        pa.array(lengths, pa.int32()),
-                        pa.array(cuts, pa.binary()),
-                    ],
-                    schema.names,
-                )
-
-    rows = numbered.mapInArrow(cut, schema)
+                    cuts = [b" ".join(words[k : k + size]) for k in range(count)]
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([row.as_py()] * count, pa.int64()),
+                            pa.array(range(count), pa.int64()),
+                            pa.array([size] * count, pa.int32()),
+                            pa.array(cuts, pa.binary()),
+                        ],
+                        ["row", "start", "size", "window"],
+                    )
+
+    places = numbered.select("row", "text").mapInArrow(
+        cut, "row long, start long, size int, window binary"
+    )
     of_window = windows.groupBy("window").agg(F.collect_set("item").alias("found"))
-    joined = rows.join(of_window, "window", "left")
-    hit = F.col("found").isNotNull()
-    grouped = joined.filter(hit | F.col("start").isNull()).groupBy("row").agg(
-        F.first("doc_id").alias("doc_id"),
-        F.first("n_words").alias("n_words"),
-        F.array_sort(F.collect_set(F.when(hit, F.struct("start", (F.col("start") + F.col("size"))
-                                                        .alias("stop"))))).alias("found_spans"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list(
-            F.when(hit, F.col("found")))))).alias("items"),
+    span = F.struct("start", (F.col("start") + F.col("size")).alias("stop"))
+    grouped = places.join(of_window, "window").groupBy("row").agg(
+        F.array_sort(F.collect_set(span)).alias("found_spans"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("found")))).alias("items"),
     )
     merge = F.pandas_udf(
         lambda column: column.map(
@@ -259,9 +253,15 @@ def _shuffled_hits(narrow: DataFrame, windows: DataFrame) -> DataFrame:
         ),
         "array<struct<start: long, stop: long>>",
     )
-    spans = grouped.withColumn("spans", merge("found_spans"))
+    spans = grouped.select("row", "items", merge("found_spans").alias("spans"))
+    # One row for each document; documents have no part in the join on windows.
+    found = numbered.mapInArrow(measure, measured).join(spans, "row", "left")
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda t, s: t + s["stop"] - s["start"])
-    return spans.select("doc_id", "n_words", n_hit.alias("n_hit"), "items", "spans")
+    return found.select(
+        "doc_id", "n_words", F.coalesce(n_hit, F.lit(0)).alias("n_hit"),
+        F.coalesce("items", F.array().cast("array<string>")).alias("items"),
+        F.coalesce("spans", F.array().cast(_SPANS)).alias("spans"),
+    )
 
 
 def items_digest(items: F.Column) -> F.Column:
@@ -280,6 +280,36 @@ def text_without(text: str, spans: list[tuple[int, int]]) -> str:
     return b"".join([*parts, raw[done:]]).decode("utf-8")
 
 
+def _shuffled_removal(
+    df: DataFrame, windows: DataFrame, text_column: str, spans: bool
+) -> DataFrame:
+    """Documents without what the windows hit; those hit are found and joined by row number."""
+    row, found = "__benchmark_row", "__benchmark_spans"
+    # Written, so that every read of it numbers the rows alike.
+    rows = placed(saved(df)).withColumnRenamed("place", row)
+    narrow = rows.select(F.col(row).alias("doc_id"), F.col(text_column).alias("text"))
+    hit = _shuffled_hits(narrow, windows).filter("n_hit > 0")
+    hit = hit.select(F.col("doc_id").alias(row), F.col("spans").alias(found))
+    if not spans:
+        return rows.join(hit, row, "left_anti").select(*_quoted(df))
+    remove = F.pandas_udf(
+        lambda texts, of: pd.Series([
+            text if text is None or ranges is None
+            else text_without(text, [(s["start"], s["stop"]) for s in ranges])
+            for text, ranges in zip(texts, of, strict=True)
+        ]),
+        "string",
+    )
+    joined = rows.join(hit, row, "left")
+    return joined.withColumn(text_column, remove(F.col(text_column), F.col(found))).select(
+        *_quoted(df)
+    )
+
+
+def _quoted(df: DataFrame) -> list[F.Column]:
+    return [F.col(f"`{name}`") for name in df.columns]
+
+
 def remove_benchmark(
     df: DataFrame,
     benchmark: DataFrame,
@@ -292,11 +322,13 @@ def remove_benchmark(
     max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
 ) -> DataFrame:
     """Documents without benchmark text, all columns as they are: documents with a hit go, or,
-    with ``spans``, only the words that are hit. No shuffle; a benchmark over the limit is applied
-    in blocks of items, one after the other."""
+    with ``spans``, only the words that are hit. No shuffle, unless the benchmark is over the limit:
+    then windows are joined, and what they hit is joined back by row."""
     windows = benchmark_windows(benchmark, item_column, item_text_column, window)
     size = _size_of(windows)
-    blocks = -(-size // max_broadcast_bytes) if size else 0
+    if size > max_broadcast_bytes:
+        return _shuffled_removal(df, windows, text_column, spans)
+    blocks = 1 if size else 0
     at = df.columns.index(text_column)
     context = df.sparkSession.sparkContext
     found = "__benchmark_spans"
@@ -304,9 +336,8 @@ def remove_benchmark(
     if spans:
         df = df.withColumn(found, F.array().cast(_SPANS))
     names = df.columns
-    for block in range(blocks):
-        part = windows.filter(F.pmod(F.xxhash64("window"), F.lit(blocks)) == block)
-        known = context.broadcast(_collected(part))
+    for _ in range(blocks):
+        known = context.broadcast(_collected(windows))
 
         def scan(batches: Iterator[pa.RecordBatch], known=known) -> Iterator[pa.RecordBatch]:
             windows_of = WindowSet(known.value)
