@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import math
+import random
 from collections import Counter
 
 import pytest
@@ -66,3 +68,34 @@ def test_awkward_rows(awkward):
     assert mixed_documents(awkward).columns == awkward.columns
     assert mix(awkward.limit(0)).count() == 0
     assert mixed_documents(awkward.limit(0)).count() == 0
+
+
+def test_cutting_each_source_equals_the_global_queue(llm):
+    """The queue sorted by finish time over all sources and cut at the budget, by hand."""
+    rng = random.Random(9)
+    rows = [
+        (i, " ".join("w" * rng.randint(0, 30)), rng.choice(["a", "b", "c", "d", None]))
+        for i in range(400)
+    ]
+    df = llm.createDataFrame(rows, "doc_id long, text string, source string")
+    found = [row.asDict() for row in mix(df).collect()]
+    queue = []
+    for row in found:
+        if row["size"]:
+            for epoch in range(2):
+                finish = row["finish"] + epoch * row["source_size"] / row["target"]
+                queue.append((finish, row["doc_id"], row))
+    queue.sort(key=lambda entry: entry[:2])
+    # A document is in service from its start; all are served at rates that meet at virtual time 1.
+    taken = {row["doc_id"]: 0 for row in found}
+    budget = sum({row["source"]: math.floor(row["target"]) for row in found}.values())
+    spent = 0
+    for finish, doc_id, row in queue:
+        start = finish - row["size"] / row["target"]
+        if start >= 1:
+            continue
+        words = row["size"] if finish < 1 + 1e-12 else math.floor(row["target"]) - round(start * row["target"])
+        taken[doc_id] += max(0, words)
+        spent += max(0, words)
+    assert spent == budget
+    assert {row["doc_id"]: row["taken"] for row in found} == taken

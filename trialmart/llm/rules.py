@@ -1,8 +1,8 @@
 """Line-first quality rules: clean lines, then judge what is left of the document.
 
-Each line is judged by itself: navigation lines (words between separators, or only a few short
-menu words), symbol-ridden lines, shouted lines, lines without any letter, known
-boilerplate, and repeats of an earlier line are removed. A document is rejected if the base checks
+Each line is judged by itself: navigation lines (entries between separators that stand by
+themselves, as in "Home | About | Contact"), symbol-ridden lines, shouted lines, lines without any
+letter, known English boilerplate, and repeats of an earlier line are removed. A document is rejected if the base checks
 fail or if the removed lines hold too large a share of its word characters.
 
 Defined results: null text has no words and is rejected, like an empty one; every row is judged by
