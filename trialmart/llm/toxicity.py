@@ -41,6 +41,8 @@ MIN_DOCUMENTS = 3
 # Least evidence, in nats, that its share among toxic documents is no chance: the log-likelihood
 # ratio of its two shares against one for both. Eight nats come by chance once in 16,000 words.
 MIN_GAIN = 8.0
+# One in so many clean documents is asked first: a word that is too frequent there already is out.
+FIRST_CLEAN = 16
 PENALTY = 0.3
 
 # What characters may stand for.
@@ -67,6 +69,7 @@ _PLAIN_ENDED = re.compile(r"([^\W\d_]+)[.,;:?*#%&)\]'\"-]*")
 # The same with any marks.
 _LETTERS_ENDED = re.compile(r"([^\W\d_]+)[^\w\s]*")
 _CACHED_WORDS = 200_000
+_KNOWN_TOKENS = 1_000_000
 _CHARACTERS_AT_ONCE = 1 << 20
 
 
@@ -209,6 +212,8 @@ class Restorer:
         self.flat_heads = wanted and {_REPEATS.sub(r"\1", head) for head in self.heads}
         self.words = lru_cache(maxsize=_CACHED_WORDS)(self._words)
         self.parted = lru_cache(maxsize=_CACHED_WORDS)(self._parted)
+        # Tokens known to restore to nothing wanted, which are most.
+        self.nothing: set[str] = set()
         # Nested lists are read faster than an array's single cells.
         self.costs = costs.tolist()
 
@@ -217,10 +222,10 @@ class Restorer:
 
         Letters at its beginning are kept, but for repeats, whatever the marks after them stand for.
         """
-        plain = _PLAIN_ENDED.fullmatch(token)
-        word = plain[1] if plain else None
-        if not plain:
-            ended = _LETTERS_ENDED.fullmatch(token)
+        plain, word = True, token
+        if not token.isalpha():
+            plain = _PLAIN_ENDED.fullmatch(token)
+            ended = plain or _LETTERS_ENDED.fullmatch(token)
             if not ended:
                 return True
             word = ended[1]
@@ -262,9 +267,14 @@ class Restorer:
                 tokens.add(joined)
                 tokens.update(self.parted(joined))
         found: set[str] = set()
-        for words in map(self.words, tokens):
+        for token in tokens - self.nothing:
+            words = self.words(token)
             if words:
                 found.update(words)
+            else:
+                self.nothing.add(token)
+        if len(self.nothing) > _KNOWN_TOKENS:
+            self.nothing.clear()
         return found
 
 
@@ -333,15 +343,8 @@ def train(
     sample = F.broadcast(label_sample(labels, id_column, label_column, max_labelled))
     known = df.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")).join(
         sample, F.col("doc_id") == F.col("label_id")
-    ).select("label", "text")
+    ).select("label_id", "label", "text")
 
-    # A telling word is in toxic documents, so only the words of these are counted in the others.
-    of_toxic = _document_counts(known.filter("label > 0"), costs)
-    candidates = {
-        row["word"]: row["n"] for row in of_toxic.filter(f"n >= {MIN_DOCUMENTS}").collect()
-    }
-    of_clean = _document_counts(known.filter("label <= 0"), costs, frozenset(candidates))
-    elsewhere = dict(of_clean.collect())
     # The two totals need no text: the scan reads ids alone.
     totals = known.agg(
         F.count_if(F.col("label") <= 0).alias("clean"), F.count_if(F.col("label") > 0).alias("toxic")
@@ -352,13 +355,17 @@ def train(
     if not clean or not toxic:
         edge = 35.0 if toxic else -35.0
         return ToxicityModel(costs.value, [], np.array([edge]))
-    telling = sorted(
-        word for word, n in candidates.items() if _tells(n, elsewhere.get(word, 0), toxic, clean)
-    )
-    if not telling:
-        share = np.log(toxic / clean)
-        return ToxicityModel(costs.value, [], np.array([share]))
-    wanted = frozenset(telling)
+    # A telling word is in toxic documents, and its share there exceeds that of any part of the
+    # others by far.
+    of_toxic = _document_counts(known.filter("label > 0"), costs)
+    candidates = {
+        row["word"]: row["n"] for row in of_toxic.filter(f"n >= {MIN_DOCUMENTS}").collect()
+    }
+    first = known.filter((F.col("label") <= 0) & (F.pmod(F.xxhash64("label_id"), F.lit(FIRST_CLEAN)) == 0))
+    for word, n in _document_counts(first, costs, frozenset(candidates)).collect():
+        if candidates[word] / toxic <= MIN_RATIO * n / clean:
+            del candidates[word]
+    wanted = frozenset(candidates)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer = Restorer(costs.value, wanted)
@@ -369,13 +376,24 @@ def train(
             )
 
     examples = (
-        known.mapInArrow(sets, "label int, found string")
+        known.select("label", "text")
+        .mapInArrow(sets, "label int, found string")
         .groupBy("found")
         .agg(F.count_if(F.col("label") > 0).alias("ones"), F.count("*").alias("n"))
         .collect()
     )
+    in_clean: Counter = Counter()
+    for row in examples:
+        for word in row["found"].split():
+            in_clean[word] += row["n"] - row["ones"]
+    telling = sorted(
+        word for word, n in candidates.items() if _tells(n, in_clean[word], toxic, clean)
+    )
+    if not telling:
+        share = np.log(toxic / clean)
+        return ToxicityModel(costs.value, [], np.array([share]))
     place = {word: i for i, word in enumerate(telling)}
-    present = [[place[word] for word in row["found"].split()] for row in examples]
+    present = [[place[word] for word in row["found"].split() if word in place] for row in examples]
     ones = np.array([row["ones"] for row in examples], dtype=float)
     zeros = np.array([row["n"] for row in examples], dtype=float) - ones
     weights = sparse_logistic(present, len(telling), ones, zeros, PENALTY)
