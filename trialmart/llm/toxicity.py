@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trialmart.llm.labelled import MAX_LABELLED, label_sample, sigmoid, sparse_logistic
+from trialmart.llm.scratch import saved
 from trialmart.llm.words import texts_of
 
 THRESHOLD = 0.3
@@ -370,32 +371,33 @@ def train(
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer = Restorer(costs.value, wanted)
         for batch in batches:
-            found = [" ".join(sorted(restorer.restore(text))) for text in texts_of(batch, 1)]
+            found = [sorted(restorer.restore(text)) for text in texts_of(batch, 1)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(found, pa.string())], ["label", "found"]
+                [batch.column(0), pa.array(found, pa.list_(pa.string()))], ["label", "found"]
             )
 
-    examples = (
-        known.select("label", "text")
-        .mapInArrow(sets, "label int, found string")
-        .groupBy("found")
-        .agg(F.count_if(F.col("label") > 0).alias("ones"), F.count("*").alias("n"))
-        .collect()
-    )
-    in_clean: Counter = Counter()
-    for row in examples:
-        for word in row["found"].split():
-            in_clean[word] += row["n"] - row["ones"]
+    texts = known.select("label", "text")
+    examples = saved(texts.mapInArrow(sets, "label int, found array<string>"))
+    words = examples.filter("label <= 0").select(F.explode("found").alias("word"))
+    # No more rows than candidates, which are words of the sample's toxic documents.
+    in_clean = dict(words.groupBy("word").agg(F.count("*").alias("n")).collect())
     telling = sorted(
-        word for word, n in candidates.items() if _tells(n, in_clean[word], toxic, clean)
+        word for word, n in candidates.items() if _tells(n, in_clean.get(word, 0), toxic, clean)
     )
     if not telling:
         share = np.log(toxic / clean)
         return ToxicityModel(costs.value, [], np.array([share]))
+    told = F.filter("found", lambda word: word.isin(telling))
+    rows = (
+        examples.groupBy(told.alias("found"))
+        .agg(F.count_if(F.col("label") > 0).alias("ones"), F.count("*").alias("n"))
+        .orderBy("found")
+        .collect()
+    )
     place = {word: i for i, word in enumerate(telling)}
-    present = [[place[word] for word in row["found"].split() if word in place] for row in examples]
-    ones = np.array([row["ones"] for row in examples], dtype=float)
-    zeros = np.array([row["n"] for row in examples], dtype=float) - ones
+    present = [[place[word] for word in row["found"]] for row in rows]
+    ones = np.array([row["ones"] for row in rows], dtype=float)
+    zeros = np.array([row["n"] for row in rows], dtype=float) - ones
     weights = sparse_logistic(present, len(telling), ones, zeros, PENALTY)
     return ToxicityModel(costs.value, telling, weights)
 
