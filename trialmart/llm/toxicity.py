@@ -43,7 +43,8 @@ MIN_DOCUMENTS = 3
 # ratio of its two shares against one for both. Eight nats come by chance once in 16,000 words.
 MIN_GAIN = 8.0
 # One in so many clean documents is asked first: a word that is too frequent there already is out.
-FIRST_CLEAN = 16
+# Below MIN_RATIO, so that words equally frequent in both are.
+FIRST_CLEAN = 4
 PENALTY = 0.3
 
 # What characters may stand for.
