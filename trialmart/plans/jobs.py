@@ -39,6 +39,7 @@ from trialmart.plans.kpi import (
 )
 from trialmart.session import PLAN_CONF, session_conf, sized_for, temporary_tables
 from trialmart.sources.catalog import Source, Sources
+from trialmart.sources.contract import checked
 from trialmart.sources.sinks import (
     finished_table,
     replace_days,
@@ -78,7 +79,7 @@ def calc_attempts(
 ) -> DataFrame:
     """Write the attempts of the given days; running it again replaces just those days."""
     broadcast_users = _settled(broadcast_users, users)
-    table, levels = attempts_table or experiment.attempts_table, sources.table(Source.LEVELS)
+    table, levels = attempts_table or experiment.attempts_table, checked(sources, Source.LEVELS)
     facts = attempt_facts(
         levels,
         users,
@@ -283,13 +284,13 @@ def create_dataset(
     them, only those of the metrics in ``cumulative`` are computed.
     """
     dates = dates or verify_ab_exp(sources, experiment)
-    enrolled = enrolled_users(sources.table(Source.AB_USERS), experiment)
+    enrolled = enrolled_users(checked(sources, Source.AB_USERS), experiment)
     user_count = count_unique_users(enrolled)
     broadcast_users = user_count <= max_broadcast_rows
     (first,), last = dates.require("test_start_date"), dates.test_end_date or date.today()
     cohort = experiment_cohort(
         enrolled,
-        sources.table(Source.SESSIONS),
+        checked(sources, Source.SESSIONS),
         experiment,
         dates,
         broadcast_users=broadcast_users,
@@ -299,7 +300,7 @@ def create_dataset(
             users = cohort_users(cohort)
             # The result has at most this many rows.
             rows = user_count * ((last - first).days + 1)
-            metrics = experiment.rows_of(sources.table(Source.AB_USERS_METRICS))
+            metrics = experiment.rows_of(checked(sources, Source.AB_USERS_METRICS))
             dataset = base_dataset(
                 cohort, cohort_user_days(metrics, users, broadcast_users=broadcast_users)
             )
