@@ -1,0 +1,141 @@
+"""Days replaced by one commit."""
+
+from datetime import date
+
+import pytest
+from conftest import rows
+from pyspark.sql import functions as F
+
+from trialmart.sources.commits import RUN, commit_days, valid_stretches
+from trialmart.sources.sinks import replace_days, set_property, table_property
+
+DAYS = [date(2024, 1, day) for day in range(1, 8)]
+
+
+def days_of(spark, *pairs):
+    return spark.createDataFrame(list(pairs), "day date, value int")
+
+
+def content(spark, table):
+    return rows(spark.table(table), "day", "value")
+
+
+def runs_stored(spark, table):
+    return {row["partition"] for row in spark.sql(f"SHOW PARTITIONS {table}_runs").collect()}
+
+
+def test_a_commit_is_repeatable_and_keeps_other_days(spark):
+    first = days_of(spark, (DAYS[0], 1), (DAYS[1], 2), (DAYS[1], 2), (DAYS[2], 4))
+    for _ in range(2):
+        table = commit_days(first, "commit_a", "day", DAYS[0], DAYS[4])
+        assert table.columns == ["day", "value"]
+        assert rows(table) == [(DAYS[0], 1), (DAYS[1], 2), (DAYS[1], 2), (DAYS[2], 4)]
+    # Day 1 gets new rows, day 2 becomes empty, day 0 and later days stay as they are.
+    commit_days(days_of(spark, (DAYS[1], 9)), "commit_a", "day", DAYS[1], DAYS[2])
+    assert content(spark, "commit_a") == [(DAYS[0], 1), (DAYS[1], 9)]
+    commit_days(days_of(spark, (DAYS[6], 5)), "commit_a", "day", DAYS[5], DAYS[6])
+    assert content(spark, "commit_a") == [(DAYS[0], 1), (DAYS[1], 9), (DAYS[6], 5)]
+    stretches = [(part.first, part.last) for part in valid_stretches(spark, "commit_a")]
+    assert stretches == [
+        (DAYS[0], DAYS[0]), (DAYS[1], DAYS[2]), (DAYS[3], DAYS[4]), (DAYS[5], DAYS[6])
+    ]
+    commit_days(days_of(spark), "commit_a", "day", DAYS[0], DAYS[5])
+    assert content(spark, "commit_a") == [(DAYS[6], 5)]
+    # No days: nothing changes.
+    commit_days(days_of(spark), "commit_a", "day", DAYS[6], DAYS[0])
+    assert content(spark, "commit_a") == [(DAYS[6], 5)]
+
+
+def test_an_empty_first_commit_gives_an_empty_table(spark):
+    assert rows(commit_days(days_of(spark), "commit_empty", "day", DAYS[0], DAYS[1])) == []
+    assert rows(commit_days(days_of(spark), "commit_none", "day", DAYS[1], DAYS[0])) == []
+    commit_days(days_of(spark, (DAYS[0], 1)), "commit_none", "day", DAYS[0], DAYS[0])
+    assert content(spark, "commit_none") == [(DAYS[0], 1)]
+
+
+@pytest.mark.parametrize("step", ["_point", "insertInto"])
+@pytest.mark.parametrize("is_first", [True, False])
+def test_a_write_broken_off_is_invisible_to_all_readers(spark, monkeypatch, step, is_first):
+    table = f"commit_lost_{step.lower()}_{is_first}".lower()
+    if not is_first:
+        first = days_of(spark, (DAYS[0], 1), (DAYS[1], 2), (DAYS[2], 3))
+        commit_days(first, table, "day", DAYS[0], DAYS[2])
+    new = days_of(spark, (DAYS[1], 9), (DAYS[3], 9))
+    if step == "_point":
+        with monkeypatch.context() as patch:
+            # All rows are written; only the commit itself is missing.
+            patch.setattr("trialmart.sources.commits._point", lambda *_: 1 / 0)
+            with pytest.raises(ZeroDivisionError):
+                commit_days(new, table, "day", DAYS[1], DAYS[3])
+        assert len(runs_stored(spark, table)) == (2 if is_first else 5)
+    else:
+        # One task fails, the others write their days.
+        broken = new.withColumn("value", (1 / (F.col("value") - F.dayofmonth("day") - 5)).cast("int"))
+        with pytest.raises(Exception, match="DIVIDE_BY_ZERO"):
+            commit_days(broken.repartition(4, "day"), table, "day", DAYS[1], DAYS[3])
+    if is_first:
+        assert not spark.catalog.tableExists(table)
+    else:
+        assert content(spark, table) == [(DAYS[0], 1), (DAYS[1], 2), (DAYS[2], 3)]
+        assert spark.sql(f"SELECT sum(value) FROM {table}").head()[0] == 6
+    commit_days(new, table, "day", DAYS[1], DAYS[3])
+    kept = [] if is_first else [(DAYS[0], 1)]
+    assert content(spark, table) == [*kept, (DAYS[1], 9), (DAYS[3], 9)]
+
+
+def test_readers_keep_the_rows_they_began_with_and_files_go_one_commit_later(spark):
+    commit_days(days_of(spark, (DAYS[0], 1), (DAYS[1], 2)), "commit_old", "day", DAYS[0], DAYS[1])
+    before = spark.table("commit_old")
+    commit_days(days_of(spark, (DAYS[0], 5)), "commit_old", "day", DAYS[0], DAYS[1])
+    assert rows(before) == [(DAYS[0], 1), (DAYS[1], 2)]
+    assert len(runs_stored(spark, "commit_old")) == 3
+    commit_days(days_of(spark, (DAYS[2], 7)), "commit_old", "day", DAYS[2], DAYS[2])
+    assert len(runs_stored(spark, "commit_old")) == 2
+    assert content(spark, "commit_old") == [(DAYS[0], 5), (DAYS[2], 7)]
+
+
+def test_a_filter_on_days_reads_their_files_only(spark):
+    commit_days(days_of(spark, *[(day, 1) for day in DAYS]), "commit_plan", "day", DAYS[0], DAYS[6])
+    commit_days(days_of(spark, (DAYS[3], 2)), "commit_plan", "day", DAYS[3], DAYS[4])
+    found = spark.table("commit_plan").filter(F.col("day") >= F.lit(DAYS[2]))
+    assert len(found.inputFiles()) == 4
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Filter" not in plan.replace("PartitionFilters", "").replace("DataFilters", "").replace(
+        "PushedFilters", ""
+    )
+    assert rows(found) == [(DAYS[2], 1), (DAYS[3], 2), (DAYS[5], 1), (DAYS[6], 1)]
+
+
+def test_rows_of_other_days_or_none_are_refused(spark):
+    for day in (DAYS[2], None):
+        with pytest.raises(Exception, match="not of the days 2024-01-01 to 2024-01-02"):
+            rows_ = days_of(spark, (DAYS[0], 1), (day, 2))
+            commit_days(rows_, "commit_strict", "day", DAYS[0], DAYS[1])
+    assert not spark.catalog.tableExists("commit_strict")
+
+
+def test_columns_are_matched_by_name_and_others_refused(spark):
+    commit_days(days_of(spark, (DAYS[0], 1)), "commit_names", "day", DAYS[0], DAYS[0])
+    swapped = days_of(spark, (DAYS[1], 2)).select("value", "day")
+    commit_days(swapped, "commit_names", "day", DAYS[1], DAYS[1])
+    assert content(spark, "commit_names") == [(DAYS[0], 1), (DAYS[1], 2)]
+    with pytest.raises(ValueError, match="other columns"):
+        other = days_of(spark, (DAYS[1], 2)).withColumn("more", F.lit(1))
+        commit_days(other, "commit_names", "day", DAYS[1], DAYS[1])
+    assert RUN not in spark.table("commit_names").columns
+
+
+def test_a_plain_table_is_replaced_in_place(spark):
+    replace_days(days_of(spark, (DAYS[0], 1), (DAYS[1], 2)), "commit_plain", "day", DAYS[0], DAYS[1])
+    commit_days(days_of(spark, (DAYS[1], 9)), "commit_plain", "day", DAYS[1], DAYS[1])
+    assert content(spark, "commit_plain") == [(DAYS[0], 1), (DAYS[1], 9)]
+    assert not spark.catalog.tableExists("commit_plain_runs")
+
+
+def test_properties_outlive_a_commit(spark):
+    commit_days(days_of(spark, (DAYS[0], 1)), "commit_property", "day", DAYS[0], DAYS[0])
+    set_property(spark, "commit_property", "some.mark", "here")
+    commit_days(days_of(spark, (DAYS[0], 2)), "commit_property", "day", DAYS[0], DAYS[0])
+    assert table_property(spark, "commit_property", "some.mark") == "here"
+    set_property(spark, "commit_property", "some.mark", None)
+    assert table_property(spark, "commit_property", "some.mark") is None

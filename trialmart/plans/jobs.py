@@ -39,6 +39,7 @@ from trialmart.plans.kpi import (
 )
 from trialmart.session import PLAN_CONF, session_conf, sized_for, temporary_tables
 from trialmart.sources.catalog import Source, Sources
+from trialmart.sources.commits import commit_days
 from trialmart.sources.contract import checked
 from trialmart.sources.sinks import (
     finished_table,
@@ -93,10 +94,10 @@ def calc_attempts(
     # Days too large for one task stay split.
     facts = facts.hint("rebalance", ATTEMPT_DAY)
     if broadcast_users:
-        return replace_days(facts, table, ATTEMPT_DAY, start, end)
+        return commit_days(facts, table, ATTEMPT_DAY, start, end)
     in_range = levels.filter(F.col("partition_date").between(F.lit(start), F.lit(end)))
     with sized_for(sources.spark, in_range.count()):
-        return replace_days(facts, table, ATTEMPT_DAY, start, end)
+        return commit_days(facts, table, ATTEMPT_DAY, start, end)
 
 
 def gameplay_metrics(

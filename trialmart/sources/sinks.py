@@ -73,12 +73,17 @@ def table_property(spark: SparkSession, table: str, name: str) -> str | None:
     return {row["key"]: row["value"] for row in properties}.get(name)
 
 
+def is_view(spark: SparkSession, table: str) -> bool:
+    return spark.catalog.getTable(table).tableType == "VIEW"
+
+
 def set_property(spark: SparkSession, table: str, name: str, value: str | None) -> None:
-    """Set a property of a table, or with None take it away."""
+    """Set a property of a table or view, or with None take it away."""
+    kind = "VIEW" if is_view(spark, table) else "TABLE"
     if value is None:
-        spark.sql(f"ALTER TABLE {table} UNSET TBLPROPERTIES IF EXISTS ('{name}')")
+        spark.sql(f"ALTER {kind} {table} UNSET TBLPROPERTIES IF EXISTS ('{name}')")
     else:
-        spark.sql(f"ALTER TABLE {table} SET TBLPROPERTIES ('{name}' = '{value}')")
+        spark.sql(f"ALTER {kind} {table} SET TBLPROPERTIES ('{name}' = '{value}')")
 
 
 def _stored_days(spark: SparkSession, table: str) -> list[str]:
