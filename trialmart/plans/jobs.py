@@ -37,6 +37,14 @@ from trialmart.plans.kpi import (
     m3_kpis,
     streak_kpis,
 )
+from trialmart.plans.steps import (
+    finish,
+    input_state,
+    is_finished,
+    mark_finished,
+    step_key,
+    table_state,
+)
 from trialmart.session import PLAN_CONF, session_conf, sized_for, temporary_tables
 from trialmart.sources.catalog import Source, Sources
 from trialmart.sources.commits import commit_days
@@ -276,6 +284,8 @@ def create_dataset(
     attempts_table: str | None = None,
     max_broadcast_rows: int = MAX_BROADCAST_ROWS,
     cumulative: Sequence[str] = CUMULATIVE_METRICS,
+    resume: bool = False,
+    inputs: str | None = None,
 ) -> DataFrame:
     """Build the user-by-day dataset of an experiment, save it, and return the saved table.
 
@@ -283,25 +293,82 @@ def create_dataset(
     are computed from the experiment's attempt table, which
     ``need_calc_attempts`` brings up to date first. Of the running values among
     them, only those of the metrics in ``cumulative`` are computed.
+
+    With ``resume`` the cohort is saved as well (``<dataset table>_cohort``), and steps that an
+    earlier run finished, from the same inputs with the same settings, are read instead of run:
+    the cohort, the attempts, the dataset. Whether inputs are the same is told by the files that
+    hold the rows of this experiment and its days; for sources that are no file tables, ``inputs``
+    has to name their state, for example by a version.
     """
     dates = dates or verify_ab_exp(sources, experiment)
-    enrolled = enrolled_users(checked(sources, Source.AB_USERS), experiment)
+    spark, table = sources.spark, dataset_table or experiment.dataset_table
+    attempts_table = attempts_table or (experiment.attempts_table if add_m3_metrics else None)
+    ab_users, sessions = checked(sources, Source.AB_USERS), checked(sources, Source.SESSIONS)
+    enrolled = enrolled_users(ab_users, experiment)
     user_count = count_unique_users(enrolled)
     broadcast_users = user_count <= max_broadcast_rows
     (first,), last = dates.require("test_start_date"), dates.test_end_date or date.today()
+    metrics = experiment.rows_of(checked(sources, Source.AB_USERS_METRICS))
     cohort = experiment_cohort(
-        enrolled,
-        checked(sources, Source.SESSIONS),
-        experiment,
-        dates,
-        broadcast_users=broadcast_users,
-    ).persist(StorageLevel.MEMORY_AND_DISK)
+        enrolled, sessions, experiment, dates, broadcast_users=broadcast_users
+    )
+    if resume:
+        cohort_table = f"{table}_cohort"
+        joined = _between(sessions, *dates.require("test_start_date", "enroll_end_date"))
+        cohort_key = step_key(
+            "cohort",
+            test=experiment.test_id,
+            platform=experiment.app_short,
+            dates=dates,
+            users=input_state(experiment.rows_of(ab_users), inputs),
+            sessions=input_state(joined, inputs),
+        )
+        with session_conf(spark, PLAN_CONF):
+            finish(spark, cohort_table, cohort_key, lambda: replace_table(cohort, cohort_table))
+        # From here on the saved one, so that no later step depends on a lost driver's cache.
+        cohort = spark.table(cohort_table)
+        if add_m3_metrics and need_calc_attempts:
+            start, end = dates.require("feature_start_date", "test_end_date")
+            played = _between(checked(sources, Source.LEVELS), start, end)
+            attempts_key = step_key(
+                "attempts",
+                cohort=cohort_key,
+                levels=input_state(played, inputs),
+                tie_breaker=tie_breaker,
+            )
+
+            def attempts_step() -> None:
+                calc_attempts(
+                    sources,
+                    experiment,
+                    start,
+                    end,
+                    cohort_users(cohort),
+                    broadcast_users=broadcast_users,
+                    tie_breaker=tie_breaker,
+                    attempts_table=attempts_table,
+                )
+
+            with session_conf(spark, PLAN_CONF):
+                finish(spark, attempts_table, attempts_key, attempts_step)
+            need_calc_attempts = False
+        dataset_key = step_key(
+            "dataset",
+            cohort=cohort_key,
+            metrics=input_state(metrics, inputs),
+            attempts=table_state(spark, attempts_table) if add_m3_metrics else None,
+            tie_breaker=tie_breaker,
+            cumulative=list(cumulative) if add_m3_metrics else None,
+        )
+        if is_finished(spark, table, dataset_key):
+            return spark.table(table)
+    else:
+        cohort = cohort.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        with session_conf(sources.spark, PLAN_CONF), temporary_tables(sources.spark):
+        with session_conf(spark, PLAN_CONF), temporary_tables(spark):
             users = cohort_users(cohort)
             # The result has at most this many rows.
             rows = user_count * ((last - first).days + 1)
-            metrics = experiment.rows_of(checked(sources, Source.AB_USERS_METRICS))
             dataset = base_dataset(
                 cohort, cohort_user_days(metrics, users, broadcast_users=broadcast_users)
             )
@@ -320,16 +387,21 @@ def create_dataset(
                     cumulative=cumulative,
                 )
                 dataset = add_gameplay(dataset, gameplay)
-                attempts = sources.spark.table(attempts_table or experiment.attempts_table)
-                rows = max(rows, attempts.count())
-            with sized_for(sources.spark, rows):
-                table = dataset_table or experiment.dataset_table
+                rows = max(rows, spark.table(attempts_table).count())
+            with sized_for(spark, rows):
                 replace_table(dataset, table)
                 # Gone when another writer replaces the table.
-                set_property(sources.spark, table, ONE_ROW_PER_USER_DAY, "true")
-                return sources.spark.table(table)
+                set_property(spark, table, ONE_ROW_PER_USER_DAY, "true")
+                if resume:
+                    mark_finished(spark, table, dataset_key)
+                return spark.table(table)
     finally:
-        cohort.unpersist()
+        if not resume:
+            cohort.unpersist()
+
+
+def _between(table: DataFrame, start: date, end: date) -> DataFrame:
+    return table.filter(F.col("partition_date").between(F.lit(start), F.lit(end)))
 
 
 def _saved(sources: Sources, experiment: Experiment, dataset_table: str | None) -> DataFrame:

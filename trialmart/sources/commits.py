@@ -56,6 +56,7 @@ def commit_days(df: DataFrame, table: str, day_column: str, start: date, end: da
     if exists and not is_view(spark, table):
         return replace_days(df, table, day_column, start, end)
     runs = f"{table}_runs"
+    valid = valid_stretches(spark, table) if exists else []
     if not spark.catalog.tableExists(runs):
         empty = spark.createDataFrame([], df.schema).withColumn(RUN, F.lit(""))
         empty.write.partitionBy(RUN, day_column).saveAsTable(runs)
@@ -63,7 +64,6 @@ def commit_days(df: DataFrame, table: str, day_column: str, start: date, end: da
     stored = spark.table(runs).columns
     if not set(columns) == set(df.columns) == set(stored) - {RUN}:
         raise ValueError(f"{table} has other columns than the rows to write")
-    valid = valid_stretches(spark, table) if exists else []
 
     run = uuid.uuid4().hex
     day = F.col(day_column)
@@ -84,6 +84,8 @@ def valid_stretches(spark: SparkSession, table: str) -> list[Stretch]:
     """Which run each stretch of days is read from, by the view's text."""
     described = spark.sql(f"DESCRIBE TABLE EXTENDED {table}")
     text = described.filter(F.col("col_name") == "View Text").head()["data_type"]
+    if not re.search(rf" FROM (\w+\.)*{table.split('.')[-1]}_runs WHERE ", text):
+        raise ValueError(f"{table} is a view that was not made by a commit")
     return [
         Stretch(run, date.fromisoformat(first), date.fromisoformat(last))
         for run, first, last in _TERM.findall(text)
