@@ -27,7 +27,7 @@ from trialmart.operators.cohort import (
 )
 from trialmart.operators.dataset import add_gameplay, base_dataset
 from trialmart.operators.monetisation import main_metrics_pivot, pre_period_covariate
-from trialmart.operators.panel import cumulative_metrics, observed_days, user_day_panel
+from trialmart.operators.panel import cumulative_panel, observed_days, user_day_panel
 from trialmart.operators.segments import session_segments, session_snapshot, valid_sessions
 from trialmart.operators.skew import MAX_BROADCAST_ROWS, join_users
 from trialmart.operators.timeline import attempt_features
@@ -142,7 +142,10 @@ class Case:
 
     @cached_property
     def full(self) -> DataFrame:
-        return add_gameplay(self.base, cumulative_metrics(self.panel))
+        partials = user_day_partials(self.features)
+        return add_gameplay(
+            self.base, cumulative_panel(self.users, partials, observed_days(self.attempts))
+        )
 
 
 def _lookup(case: Case) -> DataFrame:

@@ -12,6 +12,7 @@ from trialmart.operators.panel import (
     CUMULATIVE_METRICS,
     cumulative_metric,
     cumulative_metrics,
+    cumulative_panel,
     observed_days,
     user_day_panel,
 )
@@ -321,6 +322,39 @@ def test_cumulative_metrics(spark):
     assert len(CUMULATIVE_METRICS) == 16
 
 
+def test_running_values_of_the_sparse_panel_equal_those_of_the_dense_one(spark):
+    # Days 1, 3, 6, 7 and 20 are observed; users have gaps before, between and behind theirs.
+    played = {"u": (4, 9, 9), "v": (6, 10), "w": (23,), "x": (4, 6, 9, 10, 23), "gone": (6,)}
+    levels = [
+        level(i, user, at(day, i % 3), coins_spent=i, reason="completed" if i % 2 else "failed")
+        for i, (user, day) in enumerate((u, d) for u, days in played.items() for d in days)
+    ]
+    facts = facts_of(spark, levels, *played)
+    partials = user_day_partials(attempt_features(facts, END, tie_breaker="event_id"))
+    users, days = users_of(spark, "u", "v", "w", "x", "idle"), observed_days(facts)
+    dense = cumulative_metrics(user_day_panel(users, partials, days))
+    found = cumulative_panel(users, partials, days)
+    assert found.dtypes == dense.dtypes
+    assert rows(found) == rows(dense)
+    assert found.count() == 5 * 5
+    some = cumulative_panel(users, partials, days, ["wins"])
+    assert rows(some) == rows(dense.select(*some.columns))
+
+
+def test_days_that_are_not_observed_or_missing(spark):
+    facts = facts_of(spark, [level(i, "u", at(day)) for i, day in enumerate((4, 6, 9))], "u")
+    partials = user_day_partials(attempt_features(facts, END, tie_breaker="event_id"))
+    undated = partials.withColumn("n_day", F.expr("nullif(n_day, 6)"))
+    days = spark.sql("SELECT array(1, 2, 5, 7) AS days")
+    # Attempts on days 1, 3 and 6: day 3 falls between, and day 6 has no day in the second case.
+    columns = ("n_day", "attempts", "cum_user_attempts")
+    for frame, last in ((partials, 3), (undated, 2)):
+        found = cumulative_panel(users_of(spark, "u"), frame, days)
+        assert rows(found, *columns) == [(1, 1, 1), (2, 0, 1), (5, 0, 2), (7, 0, last)]
+    none = spark.sql("SELECT CAST(array() AS array<int>) AS days")
+    assert rows(cumulative_panel(users_of(spark, "u"), partials, none)) == []
+
+
 def test_totals_are_conserved(spark):
     levels, names = busy_levels(), ("hot", "warm", "quiet")
     facts = facts_of(spark, levels, *names)

@@ -102,8 +102,11 @@ def test_gameplay_shuffles_attempts_once_and_never_the_dense_panel(saved):
     assert [e for e in exchanges(above) if "event_user" in e] == []
     assert len([e for e in exchanges(below) if "event_user" in e]) == 2
     assert "Cartesian" not in plan and "NestedLoop" not in plan
-    # Nothing is shuffled between the unfolding into days and the running metrics.
-    assert exchanges(plan.split("Generate explode")[0]) == []
+    # Rows are merged, sorted and run through before they unfold into days, not afterwards.
+    unfolding, merging = plan.split("Generate explode", 1)
+    for step in ("Exchange", "Sort", "Window", "Aggregate"):
+        assert f"{step} " not in unfolding and f"{step}(" not in unfolding
+        assert step in merging
 
 
 def test_base_and_gameplay_join_where_they_are(saved):

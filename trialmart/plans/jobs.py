@@ -22,9 +22,8 @@ from trialmart.operators.dataset import add_gameplay, base_dataset
 from trialmart.operators.monetisation import metrics_with_covariate
 from trialmart.operators.panel import (
     CUMULATIVE_METRICS,
-    cumulative_metrics,
+    cumulative_panel,
     observed_days,
-    user_day_panel,
 )
 from trialmart.operators.skew import HOT_ROWS, HOT_SHARE, MAX_BROADCAST_ROWS
 from trialmart.operators.timeline import attempt_features
@@ -140,8 +139,7 @@ def gameplay_metrics(
     features = attempt_features(
         attempts, end, tie_breaker=tie_breaker, hot_rows=hot_rows, hot_share=hot_share
     )
-    panel = user_day_panel(users, user_day_partials(features), days)
-    return cumulative_metrics(panel, cumulative)
+    return cumulative_panel(users, user_day_partials(features), days, cumulative)
 
 
 def calc_m3_metrics(
@@ -256,7 +254,7 @@ def carried_metrics(
     observed = closed.select("event_user", "n_day").unionByName(opened.select("event_user", "n_day"))
     ids = users.select("event_user")
     days = observed_days(observed.distinct().join(ids, "event_user", "left_semi"))
-    return cumulative_metrics(user_day_panel(users, partials, days), cumulative)
+    return cumulative_panel(users, partials, days, cumulative)
 
 
 def cohort_user_days(
