@@ -5,10 +5,12 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from trialmart.llm.ctw import gram_keys, score_documents, text_bytes, train_bytes
+from trialmart.llm import ctw
+from trialmart.llm.ctw import GramTable, gram_keys, score_documents, text_bytes, train_bytes
 from trialmart.llm.queries import op4_ctw
 from trialmart.llm.words import lower_words
 
@@ -157,3 +159,53 @@ def test_awkward_rows(awkward):
     nothing = score_documents(awkward, trains=F.lit(False), depth=1)
     assert {r["train_tokens"] for r in nothing.collect()} == {0}
     assert score_documents(awkward.limit(0), trains=F.lit(True)).count() == 0
+
+
+def test_rows_stored_grow_with_words_and_grams_not_with_nodes(llm, monkeypatch):
+    stored = []
+    saved = ctw.saved
+
+    def counted(df):
+        stored.append(saved(df))
+        return stored[-1]
+
+    monkeypatch.setattr(ctw, "saved", counted)
+    df = llm.createDataFrame(list(enumerate(TEXTS)), "doc_id int, text string")
+    assert score_documents(df, trains=F.lit(True), depth=3).count() == len(TEXTS)
+    words = [lower_words(text) for text in TEXTS]
+    grams = set(gram_keys([text_bytes(w) for w in words], 3)[0].tolist())
+    types = len({w for one in words for w in one}) + 1
+    assert sum(df.count() for df in stored) <= types + 2 * len(grams) + len(TEXTS)
+
+
+@pytest.mark.parametrize("max_nodes", [3, 1000])
+def test_grams_of_held_out_rows_alone_are_scored(llm, max_nodes):
+    df = llm.createDataFrame([(0, "ab ab b"), (1, "zab q"), (2, "ba")], "doc_id int, text string")
+    found = score_documents(df, trains=F.col("doc_id") != 1, depth=2, max_nodes=max_nodes)
+    plain = Plain([b"ab ab b\n", b"ba\n"], 2)
+    got = {row["doc_id"]: row["score"] for row in found.collect()}
+    assert got[1] == pytest.approx(plain.score(b"zab q\n"), rel=1e-5)
+
+
+def test_portions_do_not_part_subtrees(monkeypatch):
+    monkeypatch.setattr(ctw, "_LEAVES_AT_ONCE", 3)
+    under = [1, 1, 2, 2, 2, 2, 2, 2, 3, 4, 4, 5]
+    rows = pa.record_batch(
+        [pa.array(under, pa.int32()), pa.array(range(12)), pa.array([1] * 12)],
+        ["under", "gram", "n"],
+    )
+    parts = [gram.tolist() for gram, _ in ctw._subtrees(rows.slice(i, 2) for i in range(0, 12, 2))]
+    assert len(parts) > 1
+    assert sum(parts, []) == list(range(12))
+    held = [{under[gram] for gram in part} for part in parts]
+    assert sum(map(len, held)) == len(set(under))
+    assert list(ctw._subtrees(iter([]))) == []
+
+
+@pytest.mark.parametrize("n", [0, 1, 5, 5000])
+def test_gram_table_finds_all_and_nothing_else(n):
+    grams = np.random.default_rng(n).choice(1 << 40, 2 * n, replace=False).astype(np.uint64)
+    logs = -np.arange(1, n + 1, dtype=float)
+    found, known = GramTable(grams[:n], logs).find(grams)
+    assert known.tolist() == [True] * n + [False] * n
+    assert found.tolist() == logs.tolist() + [0.0] * n
